@@ -1,0 +1,5 @@
+"""Registered queries. Importing this package registers them all."""
+
+from decklens.plans import score_queries, text_queries  # noqa: F401
+from decklens.plans.registry import ORACLES, QUERIES  # noqa: F401
+from decklens.plans.score_queries import deck_scores  # noqa: F401
