@@ -35,3 +35,165 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+# --- judge answers derived from the documents -----------------------------------------------------
+#
+# For slide n of deck d, h = 7 d + 13 n picks the answer, so that every branch of the parser occurs:
+# missing fields, missing and repeated slides, control characters, text around the JSON, broken JSON.
+
+
+def judge_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(deck_id, response)``: one raw judge answer per document, built inside the document's row."""
+    lines = F.size(SL.X.text_lines(F.col("text")))
+    decks = spread(documents(spark, sf_dir), "doc_id").select(
+        F.col("doc_id").alias("deck_id"), F.ceil(lines / SL.LINES_PER_SLIDE).cast("int").alias("n")
+    )
+    numbers = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+
+    def h(n):
+        return F.col("deck_id") * 7 + n * 13
+
+    def entry(n):
+        return F.struct(
+            n.alias("slide_number"),
+            F.when(h(n) % 10 == 0, F.lit("Portada")).when(h(n) % 10 != 1, F.lit("contenido")).alias("tipo"),
+            F.when(h(n) % 7 != 0, (h(n) % 19) / 2.0).alias("hss_score"),
+            F.lit("Bien¦dicho").alias("hss_feedback"),
+            F.when(h(n) % 5 != 0, (h(n) % 21) / 2.0).alias("nts_score"),
+            F.when(h(n) % 3 != 0, F.lit("Sigue")).alias("nts_feedback"),
+            F.when(h(n) % 4 != 0, (5 + h(n) % 60).cast("int")).alias("tiempo_estimado_segundos"),
+        )
+
+    def again(n):
+        null = F.lit(None).cast
+        return F.struct(
+            n.alias("slide_number"), F.lit("contenido").alias("tipo"), F.lit(1.0).alias("hss_score"),
+            null("string").alias("hss_feedback"), null("double").alias("nts_score"),
+            null("string").alias("nts_feedback"), F.lit(99).alias("tiempo_estimado_segundos"),
+        )
+
+    answers = F.concat(
+        F.transform(F.filter(numbers, lambda n: n % 9 != 8), entry),
+        F.transform(F.filter(numbers, lambda n: n % 6 == 5), again),
+    )
+    body = F.regexp_replace(F.to_json(F.struct(answers.alias("diapositivas"))), "¦", "\n\t")
+    whole = F.concat(F.lit("Aquí está la evaluación:\n"), body, F.lit("\nFin."))
+    return decks.select(
+        "deck_id",
+        F.when(F.col("deck_id") % 17 == 0, F.lit("No puedo evaluar la presentación."))
+        .when(F.col("deck_id") % 19 == 1, F.substring(whole, 1, 60))
+        .otherwise(whole)
+        .alias("response"),
+    )
+
+
+def restructure_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(deck_id, response)``: one raw rewriting answer per document."""
+    lines = F.size(SL.X.text_lines(F.col("text")))
+    decks = spread(documents(spark, sf_dir), "doc_id").select(
+        F.col("doc_id").alias("deck_id"), F.ceil(lines / SL.LINES_PER_SLIDE).cast("int").alias("n")
+    )
+    numbers = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+
+    def generated(n):
+        count = ((F.col("deck_id") + n) % 3).cast("int")
+        places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(
+            F.concat(F.lit("Título "), n.cast("string"), F.lit("."), i.cast("string")).alias("titulo_sugerido"),
+            F.concat(F.lit("Texto de la opción "), i.cast("string"), F.lit(".")).alias("contenido_optimizado"),
+            F.lit("definicion").alias("tipo_retorico_aplicado"),
+        ))
+
+    def entry(n):
+        return F.struct(
+            n.alias("slide_number"),
+            F.array(F.concat(F.lit("¿Qué enseña la diapositiva "), n.cast("string"), F.lit("?"))).alias("preguntas"),
+            F.when(n % 4 == 0, F.array(F.lit("Dato"))).otherwise(F.array().cast("array<string>")).alias("datos_curiosos"),
+            generated(n).alias("diapositivas_generadas"),
+        )
+
+    body = F.to_json(F.transform(F.filter(numbers, lambda n: n % 7 != 6), entry))
+    return decks.select(
+        "deck_id",
+        F.when(F.col("deck_id") % 17 == 0, F.lit("Sin respuesta"))
+        .otherwise(F.concat(F.lit("Claro:\n"), body, F.lit("\n")))
+        .alias("response"),
+    )
+
+
+# --- course tree ------------------------------------------------------------------------------------
+
+
+def course_tables(spark: SparkSession, sf_dir: str):
+    """Subjects, units, topics and subtopics: regions, nations, market segments, customers."""
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    subjects = region.select(
+        F.col("r_regionkey").cast("string").alias("subject_id"), F.col("r_name").alias("name"),
+        (F.col("r_regionkey") % 2).cast("int").alias("active"),
+    )
+    units = nation.select(
+        F.col("n_nationkey").cast("string").alias("unit_id"),
+        F.col("n_regionkey").cast("string").alias("subject_id"),
+        F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("number"),
+    )
+    topic_id = F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment")
+    numbered = customer.filter(F.col("c_nationkey") % 6 != 5)
+    topics = numbered.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("first")).select(
+        topic_id.alias("topic_id"), F.col("c_nationkey").cast("string").alias("unit_id"),
+        F.col("c_mktsegment").alias("name"), F.ascii("c_mktsegment").alias("number"),
+    )
+    subtopics = numbered.filter(F.col("c_mktsegment") != "BUILDING").select(
+        F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("subtopic_id"), topic_id.alias("topic_id"),
+        F.col("c_name").alias("name"), F.col("c_custkey").alias("number"),
+    )
+    return subjects, units, topics, subtopics
+
+
+# --- catalogue: each conversation is a deck, each turn one of its versions ---------------------------
+
+
+def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id").distinct().select(
+        F.col("conv_id").alias("deck_id"), (F.col("conv_id") % 5).cast("string").alias("subject_id"),
+        F.concat(F.lit("conv_"), F.col("conv_id").cast("string"), F.lit(".pptx")).alias("file_name"),
+    )
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = F.col("conv_id"), F.col("turn")
+    stem = F.concat(F.lit("p/"), c.cast("string"), F.lit("_v"), (t + 1).cast("string"))
+    null = F.lit(None).cast
+    return table(spark, sf_dir, "conversations").select(
+        F.concat_ws("/", c.cast("string"), t.cast("string")).alias("version_id"), c.alias("deck_id"),
+        (t + 1).cast("int").alias("version"), ((c + t) % 2).cast("int").alias("analysed"),
+        F.date_add(F.lit("2024-01-01").cast("date"), t.cast("int")).alias("loaded"),
+        (F.length("text") % 40).alias("total_slides"), F.sha2("text", 256).alias("hash"),
+        F.concat(stem, F.lit(".pptx")).alias("path"), F.concat(stem, F.lit("_thumb.png")).alias("thumb_path"),
+        F.when(t % 3 != 0, F.concat(stem, F.lit(".pdf"))).alias("pdf_path"),
+        null("double").alias("score"), null("string").alias("zone"), null("string").alias("time_report"),
+    )
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(spark, sf_dir).filter("analysed = 1").select(
+        "version_id", F.lit(0).alias("slide_number"), F.concat(F.lit("old "), "version_id").alias("result")
+    )
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decks(spark, sf_dir).filter("deck_id % 3 = 0").select(
+        "deck_id", F.concat(F.lit("s"), F.col("deck_id").cast("string")).alias("subtopic_id")
+    )
+
+
+def incoming_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploaded files; one in 23 sizes stands for an unreadable file without slides."""
+    lines = F.size(SL.X.text_lines(F.col("text")))
+    return documents(spark, sf_dir).select(
+        F.col("doc_id").alias("file_id"), F.col("doc_id").alias("arrival"), F.col("n_chars").alias("length"),
+        F.sha2("text", 256).alias("hash"),
+        F.when(F.col("n_chars") % 23 == 0, F.lit(0)).otherwise(F.ceil(lines / 3)).cast("int").alias("total_slides"),
+        (F.col("doc_id") % 6).cast("string").alias("subject_id"),
+        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pptx")).alias("file_name"),
+    )
