@@ -79,7 +79,7 @@ f AS (SELECT doc_id, n_chars, sha256(text) AS hash,
 @query("G4_register_decks", f"""
   WITH {_FILES},
   known AS (SELECT DISTINCT hash FROM f WHERE doc_id % 10 = 3),
-  s AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS rn FROM f WHERE doc_id % 6 <> 5)
+  s AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS rn FROM f WHERE doc_id % 6 <> 5),
   o AS (SELECT doc_id, CASE WHEN n_chars / 1048576.0 > 0.005 THEN 'too_large'
     WHEN k.hash IS NOT NULL THEN 'duplicate' WHEN total_slides = 0 THEN 'no_slides'
     WHEN rn > 1 THEN 'duplicate' ELSE 'accepted' END AS outcome

@@ -197,3 +197,78 @@ def incoming_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 6).cast("string").alias("subject_id"),
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pptx")).alias("file_name"),
     )
+
+
+# --- class time: each event is one tick of the clock --------------------------------------------------
+
+
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_ticks(table(spark, sf_dir, "events"))
+
+
+def as_ticks(events: DataFrame) -> DataFrame:
+    return events.select(
+        (F.col("user_id") % 7).alias("deck_id"), F.col("event_type").alias("group"),
+        F.date_format("ts", "yyyy-MM-dd").alias("session"), (F.col("user_id") % 20 + 1).cast("int").alias("slide"), "ts",
+    )
+
+
+def plans(tick_rows: DataFrame) -> DataFrame:
+    """A plan per session, by rule; a few sessions have none."""
+    day = F.dayofmonth(F.col("session").cast("date"))
+    return tick_rows.select("deck_id", "group", "session").distinct().select(
+        "*", ((F.col("deck_id") * 3 + day) % 13).cast("int").alias("planned")
+    )
+
+
+def times(tick_rows: DataFrame) -> DataFrame:
+    """Real seconds per deck, group and slide; every 97th count stands for a page left at once."""
+    counted = tick_rows.groupBy("deck_id", "group", "slide").agg(
+        F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts").cast("timestamp")).alias("seen")
+    )
+    return counted.select(
+        "deck_id", "group", "slide", F.when(F.col("n") % 97 == 0, F.lit(0)).otherwise(F.col("n")).alias("seconds"), "seen"
+    )
+
+
+def reference_times(tick_rows: DataFrame) -> DataFrame:
+    """Recommended seconds of the analysed slides 1..18 of every deck (0 for slide 9)."""
+    decks = tick_rows.select("deck_id").distinct()
+    slide = F.explode(F.sequence(F.lit(1), F.lit(18))).alias("slide")
+    seconds = F.when(F.col("slide") == 9, F.lit(0)).otherwise(10 + (F.col("slide") * 7 + F.col("deck_id")) % 30)
+    return decks.select("deck_id", slide).withColumn("recommended", seconds.cast("int"))
+
+
+# --- shapes: the block tags of a page ----------------------------------------------------------------
+
+_BLOCK = r"(?is)<(?:h1|p|li|footer|div|nav)\b[^>]*>[^<]*"
+
+
+def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One slide per page: headings, paragraphs, list items and footers as text shapes, ads as
+    pictures, navigation bars as tables; the place on the slide follows the place in the page.
+    Headings of every second page stand in the title placeholder."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("deck_id"), F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(0)).alias("blocks")
+    )
+    tag = lambda b: F.lower(F.regexp_extract(b, r"^<(\w+)", 1))
+
+    def shape(b, i):
+        kind = tag(b)
+        return F.struct(
+            F.when(kind == "div", F.lit("PICTURE")).when(kind == "nav", F.lit("TABLE")).otherwise(F.lit("TEXT_BOX")).alias("shape_type"),
+            ((kind == "h1") & (F.col("deck_id") % 2 == 0)).alias("is_title"),
+            (kind == "h1").alias("is_placeholder"),
+            F.lit(False).alias("has_image"),
+            F.when(kind != "nav", F.concat(kind, F.lit(" "), i.cast("string"))).alias("name"),
+            F.regexp_extract(b, r"(?s)>([^<]*)$", 1).alias("text"),
+            F.floor(i * 100 / F.size("blocks")).alias("top"),
+            F.when(kind == "h1", F.array(F.lit(None).cast("int"), F.lit(32)))
+            .when(kind == "p", F.array((i % 3 * 9).cast("int")))
+            .otherwise(F.array().cast("array<int>")).alias("run_sizes"),
+        )
+
+    return pages.select(
+        "deck_id", F.lit(1).alias("slide_number"), F.lit(100).cast("bigint").alias("slide_height"),
+        F.transform("blocks", shape).alias("shapes"),
+    )
