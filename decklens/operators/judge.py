@@ -1,8 +1,8 @@
 """Exchange with the text-model judge as tables: payloads out, responses in.
 
 No model is called here. Payload rows go to whatever runs the model; its raw answers come back as
-``(deck_id, response)`` rows. Payloads of a deck are cut into parts of ``SLIDES_PER_PART`` slides,
-so that no task gathers an unbounded deck.
+``(deck_id, response)`` rows. Payloads of a deck are cut into the same parts as its stored
+document, so that no task gathers an unbounded deck.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from decklens import schemas as S
 from decklens.functions import text as X
 from decklens.operators import metrics as M
 from decklens.operators import similarity as SIM
-from decklens.operators.score import SLIDES_PER_PART
+from decklens.operators.score import part_of, per_part
 
 _KEYS = ["deck_id", "slide_number"]
 _READ = {"mode": "PERMISSIVE", "allowUnquotedControlChars": "true"}
@@ -32,10 +32,6 @@ _ANSWER = T.StructType([
 ])
 
 
-def _part(slide_number: Column) -> Column:
-    return F.floor((slide_number - 1) / SLIDES_PER_PART).cast("int")
-
-
 # --- evaluation ---------------------------------------------------------------------------------
 
 
@@ -74,7 +70,7 @@ def judge_payload(slides: DataFrame, syllabus: DataFrame | None = None) -> DataF
         F.lit("}}"),
     )
     rows = payload_slides(slides).select(
-        "deck_id", _part(F.col("slide_number")).alias("part"),
+        "deck_id", part_of(F.col("slide_number")).alias("part"),
         F.struct("slide_number", entry.alias("entry")).alias("e"),
     )
     out = rows.groupBy("deck_id", "part").agg(F.array_sort(F.collect_list("e")).alias("es")).select(
@@ -83,7 +79,9 @@ def judge_payload(slides: DataFrame, syllabus: DataFrame | None = None) -> DataF
     )
     if syllabus is None:
         return out.withColumn("temario", F.lit("[]"))
-    return out.join(syllabus.select("deck_id", "temario"), "deck_id", "left")
+    sizes = slides.groupBy("deck_id").agg(F.max("slide_number").alias("total_slides"))
+    trees = per_part(sizes.join(syllabus.select("deck_id", "temario"), "deck_id"))
+    return out.join(trees.select("deck_id", "part", "temario"), ["deck_id", "part"], "left")
 
 
 def _answer(response: Column, outer: str, schema: T.DataType) -> Column:
@@ -198,7 +196,7 @@ def restructure_payload(scored: DataFrame, with_feedback: bool = True) -> DataFr
         F.col("needs_recommendation").alias("requiere_reestructuracion"),
     ] + ([F.col("feedback").alias("feedback_a_corregir")] if with_feedback else [])
     rows = scored.filter("is_content").select(
-        "deck_id", _part(F.col("slide_number")).alias("part"), F.struct(*fields).alias("e")
+        "deck_id", part_of(F.col("slide_number")).alias("part"), F.struct(*fields).alias("e")
     )
     return rows.groupBy("deck_id", "part").agg(
         F.to_json(F.array_sort(F.collect_list("e"))).alias("batch_data")

@@ -135,6 +135,18 @@ def with_wps(df: DataFrame) -> DataFrame:
     })
 
 
+def with_length_flags(df: DataFrame) -> DataFrame:
+    """Whether a slide has a title, and whether title and body stay below the length limits of the
+    slide types. Kept as flags, so that no text has to travel to where they are needed."""
+    title = F.coalesce("title", F.lit(""))
+    text = F.concat_ws(" ", title, "body_text")
+    return df.withColumns({
+        "has_title": X.has_text(title),
+        "under_visual": ~X.has_words(text, K.VISUAL_BELOW_WORDS),
+        "under_empty": ~X.has_words(text, K.EMPTY_BELOW_WORDS),
+    })
+
+
 def local_metrics(slides: DataFrame) -> DataFrame:
     """Everything that needs no judge."""
     return (
@@ -145,6 +157,7 @@ def local_metrics(slides: DataFrame) -> DataFrame:
         .transform(with_icd)
         .transform(with_icd_feedback)
         .transform(with_wps)
+        .transform(with_length_flags)
     )
 
 
@@ -164,10 +177,9 @@ def with_type(df: DataFrame) -> DataFrame:
     Pictures with little text and near-empty slides are typed by rule and lose their judged
     scores, but keep the judged time.
     """
-    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), "body_text")
-    ruled = N.let(text, lambda t: F.when(
-        (F.col("image_count") > 0) & ~X.has_words(t, K.VISUAL_BELOW_WORDS), F.lit("visual")
-    ).when(~X.has_words(t, K.EMPTY_BELOW_WORDS), F.lit("sin_contenido")))
+    ruled = F.when((F.col("image_count") > 0) & F.col("under_visual"), F.lit("visual")).when(
+        F.col("under_empty"), F.lit("sin_contenido")
+    )
     return df.withColumns({
         "slide_type": F.coalesce(ruled, F.lower("judged_type"), F.lit("contenido")),
         "seconds": F.coalesce("judged_seconds", F.lit(K.SECONDS_DEFAULT)),
@@ -179,7 +191,6 @@ def with_coherence(df: DataFrame) -> DataFrame:
     content = F.col("is_content")
     return df.withColumns({
         "hss": F.when(content, F.coalesce("hss_judged", F.lit(K.HSS_DEFAULT))),
-        "has_title": X.has_text(F.coalesce("title", F.lit(""))),
         "hss_text": F.when(content, F.coalesce("hss_feedback", F.lit(""))),
     }).withColumn(
         "hss_label",

@@ -174,6 +174,19 @@ def summarise_decks(scored: DataFrame, *parts: str) -> DataFrame:
     return out.select(*keep)
 
 
+def part_of(slide_number: Column) -> Column:
+    """Part of a deck a slide is stored in."""
+    return F.floor((slide_number - 1) / SLIDES_PER_PART).cast("int")
+
+
+def per_part(decks: DataFrame) -> DataFrame:
+    """Rows with ``(deck_id, total_slides)`` once per part of the deck."""
+    parts = F.ceil(F.col("total_slides") / SLIDES_PER_PART).cast("int")
+    return decks.withColumn("parts", parts).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    )
+
+
 def deck_documents(
     scored: DataFrame, topics: DataFrame | None = None, totals: DataFrame | None = None
 ) -> DataFrame:
@@ -226,13 +239,15 @@ def deck_documents(
         extra["facts"].alias("datos_curiosos"),
         F.when(content & (F.size(generated) > 0), F.struct(generated.alias("diapositivas_generadas"))).alias("reestructuracion"),
     )
-    gathered = scored.groupBy(
-        "deck_id", F.floor((F.col("slide_number") - 1) / SLIDES_PER_PART).cast("int").alias("part")
-    ).agg(F.array_sort(F.collect_list(slide)).alias("slides"))
-    return gathered.join(totals, "deck_id").select(
+    gathered = scored.groupBy("deck_id", part_of(F.col("slide_number")).alias("part")).agg(
+        F.array_sort(F.collect_list(slide)).alias("slides")
+    )
+    # The totals are repeated per part: the join then runs on (deck, part), where the gathered
+    # slides already are, and the parts of one large deck stay spread.
+    return gathered.join(per_part(totals), ["deck_id", "part"]).select(
         "deck_id",
         "part",
-        F.ceil(F.col("total_slides") / SLIDES_PER_PART).cast("int").alias("parts"),
+        "parts",
         F.struct(
             F.col("total_slides").alias("total_diapositivas"),
             F.struct(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from decklens.functions import numeric as N
@@ -13,7 +13,8 @@ def term_frequency(slides: DataFrame) -> DataFrame:
     """``(deck_id, slide_number, term, n, tf)``: occurrences and share of each term of a slide.
 
     Slides are spread by (deck, slide) first and exploded after that: the text travels once, in
-    compact form, and both aggregations then find their rows in place.
+    compact form, and counting and totals then find their rows in place. A window holds the
+    distinct terms of one slide.
     """
     text = X.joined_text(F.col("title"), F.col("content"))
     terms = (
@@ -22,10 +23,8 @@ def term_frequency(slides: DataFrame) -> DataFrame:
         .select("deck_id", "slide_number", F.explode(X.narrative_terms(F.col("text"))).alias("term"))
     )
     counted = terms.groupBy("deck_id", "slide_number", "term").agg(F.count(F.lit(1)).alias("n"))
-    totals = terms.groupBy("deck_id", "slide_number").agg(F.count(F.lit(1)).alias("total"))
-    return counted.join(totals, ["deck_id", "slide_number"]).select(
-        "deck_id", "slide_number", "term", "n", (F.col("n") / F.col("total")).alias("tf")
-    )
+    total = F.sum("n").over(Window.partitionBy("deck_id", "slide_number"))
+    return counted.withColumn("tf", F.col("n") / total)
 
 
 def previous_similarity(slides: DataFrame) -> DataFrame:

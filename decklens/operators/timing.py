@@ -184,9 +184,11 @@ def group_comparison(times: DataFrame, reference: DataFrame) -> DataFrame:
     """For each slide of the analysis and each group of the deck: real seconds (null when not
     shown), percent, status and the bar lengths as shares of the longest bar of the slide."""
     groups = times.select(*_GROUP).distinct()
-    slides = reference.select("deck_id", "slide", "recommended")
-    rows = groups.join(slides, "deck_id").join(
-        times.select(*_GROUP, "slide", "seconds"), [*_GROUP, "slide"], "left"
+    sizes = reference.groupBy("deck_id").agg(F.max("slide").alias("total_slides"))
+    rows = (
+        _grid(groups, sizes)
+        .join(reference.select("deck_id", "slide", "recommended"), ["deck_id", "slide"])
+        .join(times.select(*_GROUP, "slide", "seconds"), [*_GROUP, "slide"], "left")
     )
     longest = times.groupBy("deck_id", "slide").agg(F.max("seconds").alias("top"))
     scaled = rows.join(longest, ["deck_id", "slide"], "left").withColumn(

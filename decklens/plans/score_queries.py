@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from decklens.operators import metrics as M
 from decklens.operators import score as SC
 from decklens.plans import sql as S
 from decklens.plans import tables as T
 from decklens.plans.registry import query
+from decklens.session import staged
 from decklens.sources import analysis as AN
 
 rnd = S.rnd
@@ -102,23 +102,26 @@ def _flat(rows):
     )
 
 
+def _documents(spark, sf):
+    """Scores are written once; totals and slide lists are then both read from that table."""
+    scored = SC.score_slides(T.slides(spark, sf))
+    texts = ["title", "content", "footer", "slide_text", "body_text"]
+    return SC.deck_documents(staged(scored.drop(*texts)))
+
+
 @query("D7_deck_document", _DOCUMENT)
 def _(spark, sf):
-    documents = SC.deck_documents(SC.score_slides(T.slides(spark, sf)))
-    return _flat(AN.document_slides(documents))
+    return _flat(AN.document_slides(_documents(spark, sf)))
 
 
 @query("A17_analysis_json_source", _DOCUMENT)
 def _(spark, sf):
-    stored = SC.to_stored_json(SC.deck_documents(SC.score_slides(T.slides(spark, sf))))
-    return _flat(AN.stored_slides(stored))
+    return _flat(AN.stored_slides(SC.to_stored_json(_documents(spark, sf))))
 
 
 @query("A15_analysis_json_sink", _DOCUMENT)
 def _(spark, sf):
-    return _flat(AN.document_slides(AN.written_and_read(
-        SC.deck_documents(SC.score_slides(T.slides(spark, sf)))
-    )))
+    return _flat(AN.document_slides(AN.written_and_read(_documents(spark, sf))))
 
 
 @query("A16_csv_report_sink", f"""

@@ -185,15 +185,17 @@ def _(spark, sf):
 
 
 @query("B12_fold_search", """
-  SELECT p_partkey, p_name, count(*) OVER () AS k, (SELECT count(*) FROM part) AS n
-  FROM part WHERE contains(lower(strip_accents(p_name)), 'green')""")
+  SELECT p_partkey, p_name FROM part WHERE contains(lower(strip_accents(p_name)), 'ring')""")
 def _(spark, sf):
     parts = T.table(spark, sf, "part").select("p_partkey", "p_name")
-    found = parts.filter(X.fold_contains(F.col("p_name"), "  GRÉEN "))
-    return found.crossJoin(F.broadcast(parts.agg(
-        F.count(F.when(X.fold_contains(F.col("p_name"), "  GRÉEN "), 1)).alias("k"),
-        F.count(F.lit(1)).alias("n"),
-    )))
+    return parts.filter(X.fold_contains(F.col("p_name"), "  RÍNG "))
+
+
+@query("B12_fold_search_count", """
+  SELECT lang, count(*) FILTER (contains(lower(strip_accents(text)), 'etion')) AS k, count(*) AS n FROM documents GROUP BY lang""")
+def _(spark, sf):
+    hit = F.when(X.fold_contains(F.col("text"), "ÉTIÓN"), 1)
+    return T.documents(spark, sf).groupBy("lang").agg(F.count(hit).alias("k"), F.count(F.lit(1)).alias("n"))
 
 
 @query("B14_format_seconds", """

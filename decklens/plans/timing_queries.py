@@ -235,7 +235,7 @@ def _(spark, sf):
 def _(spark, sf):
     ticks = T.ticks(spark, sf)
     sessions = L.merge_sessions(None, L.session_rows(ticks, T.plans(ticks)))
-    reports = L.time_reports(sessions, L.slide_dwell(ticks).drop("first_ts")).filter("part = 0")
+    reports = L.time_reports(sessions, L.slide_dwell(ticks).drop("first_ts"))
     return TM.report_times(TM.parse_time_reports(reports)).select("deck_id", "group", "slide", "seconds")
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "decklens", cores: str = "8") -> SparkSession:
@@ -37,3 +37,14 @@ def scratch_folder(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="decklens-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{base.rstrip('/')}/decklens-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back.
+
+    For a costly result that several branches read: it is computed once, the branches start from
+    the table, and a lost executor costs no recomputation of the texts.
+    """
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

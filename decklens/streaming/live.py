@@ -6,7 +6,7 @@ also the correction for late rows that a stream has dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decklens import constants as K
@@ -181,22 +181,24 @@ def group_totals(sessions: DataFrame) -> DataFrame:
     )
 
 
-#: sessions per written report part
-SESSIONS_PER_PART = 500
+#: sessions, and slides, per written report part
+REPORT_PART = 500
+
+
+def _seconds_map() -> Column:
+    return F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct(F.col("slide").cast("string").alias("k"), F.col("seconds").cast("int").alias("v"))
+    )))
 
 
 def time_reports(sessions: DataFrame, dwell: DataFrame) -> DataFrame:
-    """The stored report form: ``(deck_id, group, part, report)`` as JSON text.
+    """The stored report form: ``(deck_id, group, part, time_report)`` as JSON text.
 
-    Sessions of a group are written in parts of ``SESSIONS_PER_PART``; totals stand in every part.
+    Part ``k`` carries the ``k``-th block of ``REPORT_PART`` sessions and of ``REPORT_PART``
+    slides, so neither list is unbounded; ordinary groups have one part. The group's totals stand
+    in every part. (The slides of a single session are bounded by its seconds.)
     """
-    slide_map = F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.col("slide").cast("string").alias("k"), F.col("seconds").cast("int").alias("v"))
-    )))
-    per_session = dwell.groupBy(*SESSION).agg(slide_map.alias("tiempos_slide"))
-    per_group = dwell.groupBy("deck_id", "group", "slide").agg(F.sum("seconds").alias("seconds")).groupBy(
-        "deck_id", "group"
-    ).agg(slide_map.alias("tiempos_por_slide"))
+    keys = ["deck_id", "group", "part"]
     record = F.struct(
         F.col("session_number").cast("string").alias("k"),
         F.struct(
@@ -204,18 +206,23 @@ def time_reports(sessions: DataFrame, dwell: DataFrame) -> DataFrame:
             "tiempos_slide",
         ).alias("v"),
     )
-    parts = (
-        sessions.join(per_session, SESSION)
-        .groupBy("deck_id", "group", F.floor((F.col("session_number") - 1) / SESSIONS_PER_PART).alias("part"))
-        .agg(F.collect_list(record).alias("entries"))
+    by_session = (
+        sessions.join(dwell.groupBy(*SESSION).agg(_seconds_map().alias("tiempos_slide")), SESSION)
+        .groupBy("deck_id", "group", F.floor((F.col("session_number") - 1) / REPORT_PART).alias("part"))
+        .agg(F.map_from_entries(F.collect_list(record)).alias("historial_sesiones"))
+    )
+    by_slide = (
+        dwell.groupBy("deck_id", "group", "slide").agg(F.sum("seconds").alias("seconds"))
+        .groupBy("deck_id", "group", F.floor((F.col("slide") - 1) / REPORT_PART).alias("part"))
+        .agg(_seconds_map().alias("tiempos_por_slide"))
     )
-    joined = parts.join(group_totals(sessions), ["deck_id", "group"]).join(per_group, ["deck_id", "group"])
-    return joined.select("deck_id", "group", "part", F.to_json(F.struct(
+    joined = by_session.join(by_slide, keys, "full").join(group_totals(sessions), ["deck_id", "group"])
+    return joined.select(*keys, F.to_json(F.struct(
         F.create_map(F.col("group"), F.struct(
             F.col("last_slide").cast("int").alias("ultima_diapositiva"),
             F.col("total_seconds").cast("int").alias("tiempo_total_seg"),
             "tiempos_por_slide",
-            F.map_from_entries("entries").alias("historial_sesiones"),
+            "historial_sesiones",
         )).alias("grupos"),
     )).alias("time_report"))
 
