@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from decklens.functions import numeric as N
+from decklens.functions import text as X
 from decklens.operators import metrics as M
 
 WORDS_MIN = 5
@@ -20,7 +21,7 @@ BUCKET = 1024
 def exclusive_quartiles(rows: DataFrame, scale: int) -> DataFrame:
     """Quartiles of ``rows(metric, v)`` at positions ``i * (n + 1) / 4``, interpolated.
 
-    ``v`` must be a multiple of ``1 / scale``. Exact, without sorting the corpus: values are
+    ``v`` must be a multiple of ``1 / scale``; nulls do not count. Exact, without sorting the corpus: values are
     counted per distinct value (partial counts before the shuffle), counts are summed per bucket
     of 1024 neighbouring values, the few bucket totals are accumulated to find the buckets that
     hold the wanted ranks, and only those buckets are looked into. No window sees more than the
@@ -28,7 +29,8 @@ def exclusive_quartiles(rows: DataFrame, scale: int) -> DataFrame:
     """
     counts = (
         rows.groupBy("metric", F.rint(F.col("v") * scale).cast("bigint").alias("tick"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("v").alias("n"))
+        .filter("n > 0")
         .withColumn("bucket", F.floor(F.col("tick") / BUCKET))
     )
     by_bucket = counts.groupBy("metric", "bucket").agg(
@@ -52,7 +54,11 @@ def exclusive_quartiles(rows: DataFrame, scale: int) -> DataFrame:
     wanted = placed.withColumn("ranks", ranks).filter(
         F.exists("ranks", lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("inside")))
     )
-    inside = counts.join(wanted, ["metric", "bucket"])
+    # Null-safe keys add no filter to either side, so that both sides remain the same aggregate
+    # and the corpus is counted once (its shuffle is reused).
+    c, w = counts.alias("c"), wanted.alias("w")
+    same = F.col("c.metric").eqNullSafe(F.col("w.metric")) & F.col("c.bucket").eqNullSafe(F.col("w.bucket"))
+    inside = c.join(w, same).select("c.*", "w.before", "w.size", "w.lowest", "w.highest", "w.ranks")
     in_bucket = Window.partitionBy("metric", "bucket").orderBy("tick").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -80,34 +86,40 @@ def exclusive_quartiles(rows: DataFrame, scale: int) -> DataFrame:
 
 
 def word_calibration(slides: DataFrame) -> DataFrame:
-    """Quartiles of body words over slides with at least 5 of them."""
-    counted = slides.transform(M.with_text).transform(M.with_counts)
-    rows = counted.filter(F.col("body_words") >= WORDS_MIN).select(
-        F.lit("palabras").alias("metric"), F.col("body_words").cast("double").alias("v")
-    )
-    return exclusive_quartiles(rows, 1)
+    """Quartiles of body words over slides with at least 5 of them.
 
+    Shorter slides get a null value instead of being filtered: a filter on the count would be
+    pushed below it and count the words of every slide twice.
+    """
+    words = X.word_count(X.body_text(F.col("content")))
+    usable = N.let(words, lambda n: F.when(n >= WORDS_MIN, n.cast("double")))
+    return exclusive_quartiles(slides.select(F.lit("palabras").alias("metric"), usable.alias("v")), 1)
 
-def calibration_rows(slides: DataFrame) -> DataFrame:
-    """Unclamped readability, density and their parts per slide, 2 decimals."""
+
+def _calibration_metrics(slides: DataFrame) -> DataFrame:
     m = (
         slides.transform(M.with_text).transform(M.with_counts)
         .transform(M.with_readability).transform(M.with_density)
     )
-    return m.filter(
-        (F.col("words") >= METRIC_WORDS_MIN) & (F.col("tokens") >= METRIC_TOKENS_MIN)
-    ).select(
+    return m.select(
         "deck_id", "slide_number", "words",
         N.py_round(F.col("syllables_per_word_raw"), 2).alias("silabas_por_palabra"),
         N.py_round(F.col("words_per_sentence_raw"), 2).alias("palabras_por_frase"),
         N.py_round(F.col("fsz_raw"), 2).alias("fsz"),
         F.col("dl"),
+        ((F.col("words") >= METRIC_WORDS_MIN) & (F.col("tokens") >= METRIC_TOKENS_MIN)).alias("usable"),
     )
 
 
+def calibration_rows(slides: DataFrame) -> DataFrame:
+    """Unclamped readability, density and their parts per slide, 2 decimals."""
+    return _calibration_metrics(slides).filter("usable").drop("usable")
+
+
 def metric_calibration(slides: DataFrame) -> DataFrame:
-    """Quartiles of the four calibration metrics."""
-    rows = calibration_rows(slides).unpivot(
-        [], ["fsz", "dl", "palabras_por_frase", "silabas_por_palabra"], "metric", "v"
-    )
+    """Quartiles of the four calibration metrics (unusable slides count as null)."""
+    names = ["fsz", "dl", "palabras_por_frase", "silabas_por_palabra"]
+    rows = _calibration_metrics(slides).select(
+        *[F.when(F.col("usable"), F.col(n)).alias(n) for n in names]
+    ).unpivot([], names, "metric", "v")
     return exclusive_quartiles(rows, 100)

@@ -91,7 +91,11 @@ def _answer(response: Column, outer: str, schema: T.DataType) -> Column:
 
 
 def _last_per_slide(entries: DataFrame, fields: list[str]) -> DataFrame:
-    """The last entry of each slide number wins."""
+    """The last entry of each slide number wins.
+
+    (Entries come from the outer form of explode: the plain form makes the optimizer add a size
+    filter, which would parse every response again.)
+    """
     return (
         entries.filter(F.col("e.slide_number").isNotNull())
         .groupBy("deck_id", F.col("e.slide_number").alias("slide_number"))
@@ -106,7 +110,7 @@ def parse_judge(responses: DataFrame) -> DataFrame:
     A response without readable JSON gives no row, so the defaults apply downstream.
     """
     parsed = responses.select("deck_id", _answer(F.col("response"), r"\{.*\}", _ANSWER).alias("a"))
-    entries = parsed.select("deck_id", F.posexplode("a.diapositivas").alias("place", "e"))
+    entries = parsed.select("deck_id", F.posexplode_outer("a.diapositivas").alias("place", "e"))
     fields = [f.name for f in _ANSWERED_SLIDE.fields if f.name != "slide_number"]
     return _last_per_slide(entries, fields).select(
         *_KEYS,
@@ -135,7 +139,8 @@ def parse_topics(responses: DataFrame) -> DataFrame:
 def covered_topics(topics: DataFrame) -> DataFrame:
     """Reported units, topics and subtopics as flat rows (null where a level is absent)."""
     return (
-        topics.select("deck_id", F.explode("temas_presentacion").alias("u"))
+        topics.select("deck_id", F.explode_outer("temas_presentacion").alias("u"))
+        .filter(F.col("u").isNotNull())
         .select("deck_id", F.col("u.unidad").alias("unit"), F.explode_outer("u.temas").alias("t"))
         .select("deck_id", "unit", F.col("t.tema").alias("topic"), F.explode_outer("t.subtemas").alias("subtopic"))
     )
@@ -206,7 +211,7 @@ def restructure_payload(scored: DataFrame, with_feedback: bool = True) -> DataFr
 def parse_restructure(responses: DataFrame) -> DataFrame:
     """Questions, curious facts and generated slides per slide; the last entry of a slide wins."""
     parsed = _answer(F.col("response"), r"\[\s*\{.*\}\s*\]", S.RESTRUCTURE_RESPONSE)
-    entries = responses.select("deck_id", F.posexplode(parsed).alias("place", "e"))
+    entries = responses.select("deck_id", F.posexplode_outer(parsed).alias("place", "e"))
     fields = [f.name for f in S.RESTRUCTURED_SLIDE.fields if f.name != "slide_number"]
     return _last_per_slide(entries, fields).select(
         *_KEYS,

@@ -20,7 +20,9 @@ _GROUP = ["deck_id", "group"]
 def parse_time_reports(reports: DataFrame, column: str = "time_report") -> DataFrame:
     """Stored report text as ``(deck_id, group, report)`` rows; broken text gives none."""
     parsed = reports.select("deck_id", F.from_json(column, S.TIME_REPORT).alias("r"))
-    return parsed.select("deck_id", F.explode("r.grupos").alias("group", "report"))
+    return parsed.select("deck_id", F.explode_outer("r.grupos").alias("group", "report")).filter(
+        F.col("group").isNotNull()
+    )
 
 
 def report_times(groups: DataFrame) -> DataFrame:

@@ -27,8 +27,8 @@ def document_slides(documents: DataFrame) -> DataFrame:
         "analysis.score_global_presentacion.zona_global",
         "analysis.tiempo_total_exposicion_segundos",
         "analysis.tiempo_total_formateado",
-        F.explode(F.coalesce("analysis.slides", F.array().cast(T.ArrayType(S.ANALYSED_SLIDE)))).alias("slide"),
-    )
+        F.explode_outer("analysis.slides").alias("slide"),
+    ).filter(F.col("slide").isNotNull())
     return flat.select(*[c for c in flat.columns if c != "slide"], "slide.*")
 
 

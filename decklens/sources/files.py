@@ -10,7 +10,10 @@ from decklens.functions import numeric as N
 
 
 def scan_files(spark: SparkSession, folder: str, pattern: str = "*.pptx", content: bool = False) -> DataFrame:
-    """Files below ``folder``, one row each. Without ``content`` no file is opened."""
+    """Files below ``folder``, one row each. Without ``content`` no file is opened.
+
+    Spark leaves files of length 0 out of its listings; as decks they would be unreadable anyway.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -10,7 +10,7 @@ from decklens import schemas as S
 
 def read_syllabus_map(spark: SparkSession, path: str) -> DataFrame:
     """``{unit: {"1.1": topic, "2.2.1": subtopic}}`` files as ``(path, syllabus)`` rows."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name())
+    raw = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
     return raw.select("path", F.from_json("value", S.SYLLABUS_MAP).alias("syllabus"))
 
 
