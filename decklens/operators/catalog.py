@@ -300,15 +300,24 @@ SYLLABUS_PART = 500
 
 
 def syllabus_rows(subjects: DataFrame, units: DataFrame, topics: DataFrame, subtopics: DataFrame) -> DataFrame:
-    """Units of each subject with their topics and subtopics, where there are any."""
-    u = units.select("unit_id", "subject_id", F.col("number").alias("unit_number"), F.col("name").alias("unit_name"))
+    """Units of each subject with their topics and subtopics, where there are any.
+
+    The outer joins are spelled as inner joins plus the entries without children: the adaptive
+    skew join can split a very large topic in an inner join, but not on the right of an outer one.
+    """
+    u = subjects.select("subject_id", F.col("name").alias("subject")).join(
+        units.select("unit_id", "subject_id", F.col("number").alias("unit_number"), F.col("name").alias("unit_name")),
+        "subject_id",
+    )
     t = topics.select("topic_id", "unit_id", F.col("number").alias("topic_number"), F.col("name").alias("topic_name"))
     s = subtopics.select("topic_id", F.col("number").alias("subtopic_number"), F.col("name").alias("subtopic_name"))
+    with_topic = u.join(t, "unit_id")
+    bare_units = u.join(t.select("unit_id").distinct(), "unit_id", "left_anti")
+    bare_topics = with_topic.join(s.select("topic_id").distinct(), "topic_id", "left_anti")
     return (
-        subjects.select("subject_id", F.col("name").alias("subject"))
-        .join(u, "subject_id")
-        .join(t, "unit_id", "left")
-        .join(s, "topic_id", "left")
+        with_topic.join(s, "topic_id")
+        .unionByName(bare_topics, allowMissingColumns=True)
+        .unionByName(bare_units, allowMissingColumns=True)
     )
 
 

@@ -16,7 +16,8 @@ from decklens.functions import numeric as N
 from decklens.functions import text as X
 
 _SECTION = rf"(?iu)^(?:Tema|Unidad|Cap[íi]tulo|Módulo)[{X.WS}]+\p{{Nd}}"
-_QUOTE = "(?s)[«\"\u201c].{60,}[»\"\u201d]"
+# From the first opening to the last closing mark: when any quotation is long enough, this one is.
+_QUOTE = "(?s)^[^«\"\u201c]*+[«\"\u201c].{60,}[»\"\u201d]"
 _YEAR = r"\((?:19|20)\p{Nd}{2}\)"
 _URL = r"(?i)https?://|www\."
 

@@ -132,18 +132,22 @@ def read_page_change_dwell(spark, folder: str) -> DataFrame:
 
 
 def overrun(ticks: DataFrame, plans: DataFrame, block_seconds: int = 3600) -> DataFrame:
-    """Elapsed seconds per session, whether they exceed a plan above 0, and since which tick."""
-    numbered = O.dense_number(
-        ticks.select(*SESSION, "ts"), SESSION, ["ts"], O.time_block("ts", block_seconds), "elapsed"
+    """Elapsed seconds per session, whether they exceed a plan above 0, and since which tick.
+
+    Totals come from a partial aggregate. The first tick beyond the plan is looked up by its
+    number, so no join brings all ticks of a session together.
+    """
+    totals = ticks.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("elapsed")).join(
+        plans.select(*SESSION, "planned"), SESSION, "left"
     )
-    joined = numbered.join(plans.select(*SESSION, "planned"), SESSION, "left")
-    past = (F.col("planned") > 0) & (F.col("elapsed") > F.col("planned"))
-    return joined.groupBy(*SESSION).agg(
-        F.max("elapsed").alias("elapsed"),
-        F.coalesce(F.max("planned"), F.lit(0)).alias("planned"),
-        F.coalesce(F.bool_or(past), F.lit(False)).alias("overrun"),
-        F.min(F.when(past, F.col("ts"))).alias("overrun_ts"),
+    judged = totals.select(
+        *SESSION, "elapsed", F.coalesce("planned", F.lit(0)).alias("planned"),
+        F.coalesce((F.col("planned") > 0) & (F.col("elapsed") > F.col("planned")), F.lit(False)).alias("overrun"),
     )
+    numbered = O.dense_number(ticks.select(*SESSION, "ts"), SESSION, ["ts"], O.time_block("ts", block_seconds), "n")
+    wanted = judged.filter("overrun").select(*SESSION, (F.col("planned") + 1).cast("bigint").alias("n"))
+    first = numbered.join(wanted, [*SESSION, "n"]).select(*SESSION, F.col("ts").alias("overrun_ts"))
+    return judged.join(first, SESSION, "left")
 
 
 def session_rows(ticks: DataFrame, plans: DataFrame) -> DataFrame:

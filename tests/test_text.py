@@ -185,3 +185,19 @@ def test_deviation(spark):
 def test_let_evaluates_once(apply):
     assert apply(lambda c: N.let(c + 1, lambda v: v * v), [1, 2], "int") == [4, 9]
     assert math.isclose(apply(lambda c: N.let(c / 3, lambda v: v + v), [1.0], "double")[0], 2 / 3)
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    n = 300_000
+    rows = ["x" * n, "1" * n + "a", " " * n + "a" + " " * n, "a " * n, "." * n, "«" * n, "y" * n, "A" * n, "\n" * n, "Aa " * n]
+    df = spark.createDataFrame([(r,) for r in rows], "v string")
+    c = F.col("v")
+    start = time.time()
+    got = df.select(
+        X.strip(c), X.word_count(c), X.syllable_count(c).alias("s"), X.sentence_count(c), X.clean_text(c), X.has_words(c, 26),
+        F.size(X.raw_tokens(c)), X.strip_person_names(c), F.size(X.longest_words(c)), X.collapse_whitespace(c),
+    ).collect()
+    assert time.time() - start < 60
+    assert got[0].s == 1 and got[3].s == n
