@@ -232,9 +232,15 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert_analyses(analyses: DataFrame, results: DataFrame) -> DataFrame:
-    """Store one analysis per version; the slide number is fixed to 0."""
-    rows = results.select("version_id", F.lit(0).alias("slide_number"), "result")
-    return upsert(analyses, rows, ["version_id", "slide_number"])
+    """Store the analysis of each version in ``results(version_id, result[, part])``.
+
+    A new analysis replaces the stored one whole. The slide number is fixed to 0; only the further
+    parts of a deck stored in several parts are numbered on from there.
+    """
+    number = F.col("part") if "part" in results.columns else F.lit(0)
+    rows = results.select("version_id", number.cast("int").alias("slide_number"), "result")
+    kept = analyses.join(rows.select("version_id"), "version_id", "left_anti")
+    return kept.unionByName(rows)
 
 
 def update_versions(versions: DataFrame, changes: DataFrame, *columns: str) -> DataFrame:

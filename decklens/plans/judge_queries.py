@@ -13,7 +13,9 @@ from decklens.operators import score as SC
 from decklens.plans import sql as S
 from decklens.plans import tables as T
 from decklens.plans import text_queries as TQ
+from decklens.plans.analysis import analyse_decks, store_analyses
 from decklens.plans.registry import query
+from decklens.sources import analysis as AN
 
 rnd = S.rnd
 _KEYS = ["deck_id", "slide_number"]
@@ -303,3 +305,54 @@ def _(spark, sf):
 def _(spark, sf):
     checked, official = _coverage(spark, sf)
     return J.unit_coverage(checked, official)
+
+
+# --- the whole analysis -----------------------------------------------------------------------------
+
+
+def _analysis(spark, sf):
+    return analyse_decks(T.slides(spark, sf), T.judge_responses(spark, sf), T.restructure_responses(spark, sf))
+
+
+_WHOLE = f"""
+  WITH {S.deck_score(_SCORED)}, {_MATERIAL}
+  SELECT s.deck_id, s.slide_number, slide_type, s.seconds, CASE WHEN is_content THEN slide_score END AS slide_score,
+    deck_score, d.total_seconds, CASE WHEN is_content THEN coalesce(question, '') END AS question,
+    CASE WHEN is_content AND generated > 0 THEN generated END AS generated,
+    CASE WHEN is_content THEN coalesce(hss_feedback, '') END AS hss_feedback
+  FROM scored s JOIN decks_scored d ON d.deck_id = s.deck_id
+  LEFT JOIN material m ON m.deck_id = s.deck_id AND m.slide_number = s.slide_number"""
+
+
+def _whole(rows):
+    generated = F.col("reestructuracion.diapositivas_generadas")
+    return rows.select(
+        "deck_id", "slide_number", F.col("tipo").alias("slide_type"), F.col("tiempo_exposicion").alias("seconds"),
+        F.col("score_slide").alias("slide_score"), F.col("score_global").alias("deck_score"),
+        F.col("tiempo_total_exposicion_segundos").alias("total_seconds"), F.array_join("preguntas", "|").alias("question"),
+        F.when(generated.isNotNull(), F.size(generated)).alias("generated"), F.col("metricas.hss.feedback").alias("hss_feedback"),
+    )
+
+
+@query("D7_whole_analysis", _WHOLE)
+def _(spark, sf):
+    return _whole(AN.document_slides(_analysis(spark, sf).documents))
+
+
+@query("G13_store_analysis", f"""
+  WITH {S.deck_score(_SCORED)}
+  SELECT doc_id || '/1' AS version_id, CAST(d.deck_id IS NOT NULL AS INTEGER) AS analysed, deck_score AS score, deck_zone AS zone,
+    CASE WHEN d.deck_id IS NOT NULL THEN CAST(total_slides AS BIGINT) END AS stored_slides
+  FROM documents LEFT JOIN decks_scored d ON d.deck_id = doc_id""")
+def _(spark, sf):
+    docs = T.documents(spark, sf)
+    none = F.lit(None).cast
+    version = F.concat(F.col("doc_id").cast("string"), F.lit("/1"))
+    versions = docs.select(
+        version.alias("version_id"), F.lit(0).alias("analysed"), none("double").alias("score"), none("string").alias("zone")
+    )
+    old = versions.select("version_id", F.lit(0).alias("slide_number"), F.lit("{old").alias("result"))
+    current = docs.select(F.col("doc_id").alias("deck_id"), version.alias("version_id"))
+    new_versions, analyses = store_analyses(_analysis(spark, sf), current, versions, old)
+    stored = AN.stored_slides(analyses.drop("slide_number")).groupBy("version_id").agg(F.count(F.lit(1)).alias("stored_slides"))
+    return new_versions.join(stored, "version_id", "left")

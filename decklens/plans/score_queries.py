@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from decklens.operators import score as SC
 from decklens.plans import sql as S
 from decklens.plans import tables as T
+from decklens.plans.analysis import analyse_decks
 from decklens.plans.registry import query
-from decklens.session import staged
 from decklens.sources import analysis as AN
 
 rnd = S.rnd
@@ -103,10 +103,7 @@ def _flat(rows):
 
 
 def _documents(spark, sf):
-    """Scores are written once; totals and slide lists are then both read from that table."""
-    scored = SC.score_slides(T.slides(spark, sf))
-    texts = ["title", "content", "footer", "slide_text", "body_text"]
-    return SC.deck_documents(staged(scored.drop(*texts)))
+    return analyse_decks(T.slides(spark, sf)).documents
 
 
 @query("D7_deck_document", _DOCUMENT)
@@ -126,7 +123,7 @@ def _(spark, sf):
 
 @query("A16_csv_report_sink", f"""
   WITH {S.METRICS}
-  SELECT deck_id, slide_number, words, {rnd('spw_raw', 2)} AS silabas_por_palabra,
+  SELECT deck_id, slide_number, CAST(words AS INTEGER) AS words, {rnd('spw_raw', 2)} AS silabas_por_palabra,
     {rnd('wps_raw', 2)} AS palabras_por_frase, {rnd('fsz_raw', 2)} AS fsz, {rnd('dl_raw', 2)} AS dl
   FROM m WHERE words >= 10 AND tokens >= 5""")
 def _(spark, sf):

@@ -195,7 +195,7 @@ def _varied(spark, sf):
 
 @query("E1_classifier_features", f"""
   WITH {_VARIED}
-  SELECT deck_id, slide_number, w, w_title, bullets, abw, yp, up, is_quote, is_section, kt_portada, kt_indice, kt_referencias, kt_cierre FROM f""")
+  SELECT deck_id, slide_number, CAST(w AS INTEGER) AS w, CAST(w_title AS INTEGER) AS w_title, CAST(bullets AS INTEGER) AS bullets, abw, yp, up, is_quote, is_section, kt_portada, kt_indice, kt_referencias, kt_cierre FROM f""")
 def _(spark, sf):
     return CL.classifier_features(_varied(spark, sf)).select("deck_id", "slide_number", *CL.FEATURES)
 

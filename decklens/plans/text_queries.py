@@ -252,7 +252,8 @@ _metric("C6_icd_feedback", ["icd_feedback"], f"""
       {S.tokens('slide_text', 6)}, lambda t: NOT list_contains({S.DENSITY_STOP}, t))),
       lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda s: s.w) AS ex FROM m)""", "mx")
 _metric("C7_wps", ["body_words", "wps", "wps_excess", "wps_in_range"],
-        "body_words, wps, greatest(0, body_words - 50) AS wps_excess, body_words <= 50 AS wps_in_range")
+        "CAST(body_words AS INTEGER) AS body_words, wps, CAST(greatest(0, body_words - 50) AS INTEGER) AS wps_excess, "
+        "body_words <= 50 AS wps_in_range")
 _metric("C8_wps_zone", ["wps_zone"], "wps_zone")
 _metric("C9_wps_feedback", ["wps_feedback"], f"""
     CASE WHEN body_words > 50 THEN {S.quoted(K.WPS_MESSAGE[0])} || (body_words - 50)

@@ -81,7 +81,7 @@ def _(spark, sf):
   WITH {_DEVS},
   u AS (SELECT *, 'under' AS side, row_number() OVER (PARTITION BY deck_id, "group" ORDER BY pct, seen, slide) AS rank FROM devs WHERE pct < 0),
   o AS (SELECT *, 'over' AS side, row_number() OVER (PARTITION BY deck_id, "group" ORDER BY pct DESC, seen DESC, slide DESC) AS rank FROM devs WHERE pct > 0)
-  SELECT deck_id, "group", side, rank, slide, seconds, recommended, pct
+  SELECT deck_id, "group", side, CAST(rank AS INTEGER) AS rank, slide, seconds, recommended, pct
   FROM (SELECT * FROM u UNION ALL SELECT * FROM o) WHERE rank <= 3""")
 def _(spark, sf):
     return TM.top_deviations(TM.deviations(*_tables(spark, sf)))
