@@ -79,8 +79,7 @@ def judge_payload(slides: DataFrame, syllabus: DataFrame | None = None) -> DataF
     )
     if syllabus is None:
         return out.withColumn("temario", F.lit("[]"))
-    sizes = slides.groupBy("deck_id").agg(F.max("slide_number").alias("total_slides"))
-    trees = per_part(sizes.join(syllabus.select("deck_id", "temario"), "deck_id"))
+    trees = per_part(syllabus.select("deck_id", "temario"), slides)
     return out.join(trees.select("deck_id", "part", "temario"), ["deck_id", "part"], "left")
 
 

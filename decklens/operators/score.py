@@ -179,12 +179,11 @@ def part_of(slide_number: Column) -> Column:
     return F.floor((slide_number - 1) / SLIDES_PER_PART).cast("int")
 
 
-def per_part(decks: DataFrame) -> DataFrame:
-    """Rows with ``(deck_id, total_slides)`` once per part of the deck."""
-    parts = F.ceil(F.col("total_slides") / SLIDES_PER_PART).cast("int")
-    return decks.withColumn("parts", parts).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    )
+def per_part(decks: DataFrame, slides: DataFrame) -> DataFrame:
+    """Rows of ``decks`` once per part that occurs in ``slides``, with the number of ``parts``."""
+    found = slides.select("deck_id", part_of(F.col("slide_number")).alias("part")).distinct()
+    counted = found.groupBy("deck_id").agg(F.count(F.lit(1)).cast("int").alias("parts"))
+    return found.join(decks.join(counted, "deck_id"), "deck_id")
 
 
 def deck_documents(
@@ -244,7 +243,7 @@ def deck_documents(
     )
     # The totals are repeated per part: the join then runs on (deck, part), where the gathered
     # slides already are, and the parts of one large deck stay spread.
-    return gathered.join(per_part(totals), ["deck_id", "part"]).select(
+    return gathered.join(per_part(totals, scored), ["deck_id", "part"]).select(
         "deck_id",
         "part",
         "parts",

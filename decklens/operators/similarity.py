@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from decklens.functions import numeric as N
 from decklens.functions import text as X
+from decklens.operators import ordered as O
 
 
 def term_frequency(slides: DataFrame) -> DataFrame:
@@ -27,10 +28,17 @@ def term_frequency(slides: DataFrame) -> DataFrame:
     return counted.withColumn("tf", F.col("n") / total)
 
 
+def renumbered(slides: DataFrame, block: int = 10_000) -> DataFrame:
+    """Slides whose numbers have gaps, with ``place`` = 1, 2, 3, ... in their order."""
+    cut = F.floor(F.col("slide_number") / block)
+    return O.dense_number(slides, ["deck_id"], ["slide_number"], cut, "place")
+
+
 def previous_similarity(slides: DataFrame) -> DataFrame:
     """``sim_previous`` (null on a deck's first slide) and ``sim_average`` (1.0 there), 4 decimals.
 
-    The neighbour is the slide numbered one lower, whatever its type. Every slide is sent to two
+    The neighbour is the slide numbered one lower, whatever its type; number slides with gaps by
+    :func:`renumbered` first. Every slide is sent to two
     places, its own number and the next one; there the two term counts meet. The key is
     (deck, slide), so even one enormous deck spreads over all tasks; texts are shuffled once and
     are exploded only after the shuffle, where counting, products and the final sums need no

@@ -46,7 +46,8 @@ def analyse_decks(
 def store_analyses(analysis: Analysis, deck_versions: DataFrame, versions: DataFrame, analyses: DataFrame):
     """New ``(versions, analyses)`` tables with the analysis of ``deck_versions(deck_id, version_id)``:
     documents stored, score and zone set, versions marked as analysed."""
-    stored = SC.to_stored_json(analysis.documents).join(deck_versions, "deck_id")
+    by_part = SC.per_part(deck_versions.select("deck_id", "version_id"), analysis.scored)
+    stored = SC.to_stored_json(analysis.documents).drop("parts").join(by_part, ["deck_id", "part"])
     changed = analysis.decks.join(deck_versions, "deck_id").select(
         "version_id", F.col("deck_score").alias("score"), F.col("deck_zone").alias("zone"), F.lit(1).alias("analysed")
     )

@@ -160,3 +160,25 @@ def test_scores_stay_in_range(spark):
         F.min("fsz").alias("e"), F.max("fsz").alias("f"),
     ).first()
     assert 0 <= got.a <= got.b <= 10 and 0 <= got.c <= got.d <= 10 and 0 <= got.e <= got.f <= 100
+
+
+def test_sparse_numbers_lose_nothing(spark):
+    rows = [("d", n, "t", [words(20)], 0) for n in (0, 1, 499, 500, 501, 70_000)] + [("e", 9_000_000, "t", [words(20)], 0)]
+    docs = SC.deck_documents(SC.score_slides(slides(spark, rows))).collect()
+    got = sorted((r.deck_id, s.slide_number) for r in docs for s in r.analysis.slides)
+    assert got == sorted((r[0], r[1]) for r in rows) and {r.parts for r in docs if r.deck_id == "d"} == {4}
+    again = SIM.renumbered(slides(spark, rows)).select("deck_id", F.col("place").alias("slide_number"), "title", "content")
+    sims = {(r.deck_id, r.slide_number): r.sim_previous for r in SIM.previous_similarity(again).collect()}
+    assert sims == {("d", 1): None, **{("d", n): 1.0 for n in range(2, 7)}, ("e", 1): None}
+
+
+def test_one_hot_deck_is_spread(spark):
+    """A deck with a third of all slides: no partition of the text shuffle holds much more than its share."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") < 1000, F.lit("hot")).otherwise((F.col("id") % 500).cast("string")).alias("deck_id"),
+        F.when(F.col("id") < 1000, F.col("id")).otherwise(F.floor(F.col("id") / 500)).cast("int").alias("slide_number"),
+        F.lit("red datos").alias("title"), F.array(F.lit("nube")).alias("content"),
+    )
+    assert SIM.previous_similarity(df).count() == 3000
+    placed = df.repartition(8, "deck_id", "slide_number").groupBy(F.spark_partition_id()).count()
+    assert max(r[1] for r in placed.collect()) < 3000 / 8 * 1.5
