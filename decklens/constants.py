@@ -1,6 +1,6 @@
-"""Fixed values that define the metrics: thresholds, weights, labels, word lists, patterns, messages.
+"""Thresholds, weights, labels, word lists, patterns and messages.
 
-Everything here is a value the results depend on; nothing here is logic.
+The results are defined by these values; nothing here is logic.
 """
 
 from __future__ import annotations
@@ -133,41 +133,61 @@ TOP_DEVIATIONS = 3
 GROUP_MAX_CHARS = 5
 PLAN_MAX_MINUTES = 90
 
-# --- word lists -------------------------------------------------------------------------------------
+# --- word lists (fixed values) ------------------------------------------------------------------------
 
-# Function words for the lexical density and the longest-word examples.
+# Function words for the lexical density and the longest-word examples. (Phrases of several words
+# are left out: they can never equal one token.)
 DENSITY_STOP_WORDS = tuple("""
 el la los las un una unos unas
-a ante bajo con contra de desde durante en entre hacia hasta mediante para por según sin sobre tras
+a ante bajo con contra de desde durante en entre
+hacia hasta mediante para por según sin sobre tras
 versus vía
-y e ni o u pero sino aunque porque pues que si como cuando donde mientras ya además también así
-yo tú él ella nosotros vosotros ellos ellas me te se nos os le les lo mi tu su nuestro vuestra
-nuestros sus
-quien quienes cual cuales cuyo cuya qué quién cómo cuándo dónde cuánto
-es son era eran fue fueron ser estar estoy estás está estamos están estaba estaban hay haber ha han
-había hubiera tiene tienen tenía tener puede pueden podía poder debe deben debía deber hace hacen
-hacer
-este esta estos estas ese esa esos esas aquel aquella aquellos aquellas mucho muchos poco pocos
-todo todos toda todas otro otros otra otras más menos muy bien mal tan tanto cuanto
+y e ni o u pero sino aunque porque pues que
+si como cuando donde mientras ya además también
+así
+yo tú él ella nosotros vosotros ellos ellas
+me te se nos os le les lo
+mi tu su nuestro vuestra nuestros sus
+quien quienes cual cuales cuyo cuya
+qué quién cómo cuándo dónde cuánto
+es son era eran fue fueron ser estar estoy estás
+está estamos están estaba estaban hay haber ha han
+había hubiera tiene tienen tenía tener puede pueden
+podía poder debe deben debía deber hace hacen hacer
+este esta estos estas ese esa esos esas
+aquel aquella aquellos aquellas mucho muchos poco pocos
+todo todos toda todas otro otros otra otras
+más menos muy bien mal tan tanto cuanto
 no sí tampoco nunca jamás siempre aún todavía
 al del
-embargo entonces luego después antes finalmente primero segundo tercero
+embargo entonces luego
+después antes finalmente primero segundo tercero
+""".split())
+
+# Stop words of the title keywords.
+TITLE_STOP_WORDS = tuple("""
+el la los las un una unos unas a ante bajo con contra
+de desde en entre hacia hasta para por según sin sobre
+tras y e ni o u pero sino aunque porque que si como
+cuando donde mientras ya también además este esta estos
+estas ese esa esos esas aquel aquella aquellos aquellas
+yo tú él ella nosotros ellos me te se nos es son
 """.split())
 
-_SHARED_STOP_WORDS = """
-el la los las un una unos unas a ante bajo con contra de desde en entre hacia hasta para por según
-sin sobre tras y e ni o u pero sino aunque porque que si como cuando donde mientras ya también
-además yo tú él ella nosotros ellos me te se nos es son
-"""
-# Stop words of the title keywords and, below, of the narrative term vectors.
-TITLE_STOP_WORDS = tuple((_SHARED_STOP_WORDS + """
-este esta estos estas ese esa esos esas aquel aquella aquellos aquellas
-""").split())
-NARRATIVE_STOP_WORDS = tuple((_SHARED_STOP_WORDS + "era fue ser estar").split())
 # Generic academic words that never count as title keywords.
 ACADEMIC_FILLER = tuple("""
-ejemplo caso importante definicion concepto introduccion conclusion tema unidad capitulo objetivo
-descripcion analisis nota resumen fundamentos presentacion
+ejemplo caso importante definicion concepto introduccion
+conclusion tema unidad capitulo objetivo descripcion
+analisis nota resumen fundamentos presentacion
+""".split())
+
+# Stop words of the narrative term vectors.
+NARRATIVE_STOP_WORDS = tuple("""
+el la los las un una unos unas a ante bajo con contra
+de desde en entre hacia hasta para por según sin sobre
+tras y e ni o u pero sino aunque porque que si como
+cuando donde mientras ya también además yo tú él ella
+nosotros ellos me te se nos es son era fue ser estar
 """.split())
 
 # --- messages shown to the author -------------------------------------------------------------------

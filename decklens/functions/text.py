@@ -27,13 +27,11 @@ _NOT_A_WORD = (
 _COUNTED_WORD = f"(?<![^{WS}])(?!{_NOT_A_WORD})[^{WS}]+"
 _FINAL_Y = f"[yY](?![{LET}])"
 # One match per syllable: a weak vowel swallows any vowel after it, a strong one swallows a weak
-# one, a final y is a weak vowel; a run of letters without any of these counts once as well. A run
-# of consonants is entered at its start only, so that the time stays linear in the text.
+# one, a final y is a weak vowel; a run of letters without any of these counts once as well.
 _SYLLABLE = (
-    f"(?<![{K.CONSONANTS_BUT_Y}])[{K.CONSONANTS_BUT_Y}]*+(?:"
     f"[{K.WEAK_VOWELS}](?:[{K.VOWELS}]|{_FINAL_Y})?"
     f"|[{K.STRONG_VOWELS}](?:[{K.WEAK_VOWELS}]|{_FINAL_Y})?"
-    f"|{_FINAL_Y})"
+    f"|{_FINAL_Y}"
     f"|(?<![{LET}])[{K.CONSONANTS}]*[{K.CONSONANTS_BUT_Y}](?![{LET}])"
 )
 _BULLET = rf"^[{WS}]*(?:[•\-*]|\p{{Nd}}+[.)])[{WS}]+"
