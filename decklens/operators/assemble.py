@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decklens import constants as K
-from decklens.functions import numeric as N
 from decklens.functions import text as X
 
 _LEAF = ("shape_type", "is_title", "is_placeholder", "has_image", "name", "text", "top", "run_sizes")

@@ -12,13 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _blocks(rows: DataFrame, keys: list[str], block: Column) -> DataFrame:
-    return rows.withColumn("_block", block)
-
-
 def dense_number(rows: DataFrame, keys: list[str], order: list[str], block: Column, name: str = "number") -> DataFrame:
     """1, 2, 3, ... within each group by ``order`` (which must have no ties)."""
-    cut = _blocks(rows, keys, block)
+    cut = rows.withColumn("_block", block)
     per_block = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_block.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
@@ -32,7 +28,7 @@ def dense_number(rows: DataFrame, keys: list[str], order: list[str], block: Colu
 
 def next_value(rows: DataFrame, keys: list[str], order: str, block: Column, name: str = "next") -> DataFrame:
     """The following value of ``order`` within each group; null on the last row."""
-    cut = _blocks(rows, keys, block)
+    cut = rows.withColumn("_block", block)
     per_block = cut.groupBy(*keys, "_block").agg(F.min(order).alias("_first"))
     later = Window.partitionBy(*keys).orderBy("_block")
     starts = per_block.select(*keys, "_block", F.lead("_first").over(later).alias("_after"))

@@ -45,7 +45,7 @@ def _tables(spark, sf):
 
 def _sessions(spark, sf):
     ticks = T.ticks(spark, sf)
-    merged = L.merge_sessions(None, L.session_rows(ticks, T.plans(ticks)))
+    merged = L.merge_sessions(None, L.session_rows(L.slide_dwell(ticks), T.plans(ticks)))
     return merged.select("deck_id", "group", F.col("session_number").cast("string").alias("session"), "planned", "duration")
 
 
@@ -169,7 +169,7 @@ _DWELL = f"""
 
 @query("I1_slide_dwell_batch", _DWELL)
 def _(spark, sf):
-    return L.slide_dwell(T.ticks(spark, sf)).drop("first_ts")
+    return L.slide_dwell(T.ticks(spark, sf)).drop("first_ts", "last_ts")
 
 
 def _tick_stream(spark, sf):
@@ -181,7 +181,7 @@ def _tick_stream(spark, sf):
 def _(spark, sf):
     folder = scratch_folder(spark)
     L.stream_slide_dwell(_tick_stream(spark, sf), folder, f"{folder}/checkpoint").awaitTermination()
-    return L.read_slide_dwell(spark, folder)
+    return L.read_slide_dwell(spark, folder).drop("first_ts", "last_ts")
 
 
 _CHANGES = f"""
@@ -214,28 +214,39 @@ def _(spark, sf):
     return L.overrun(ticks, T.plans(ticks)).withColumn("overrun_ts", F.col("overrun_ts").cast("string"))
 
 
-@query("I4_merge_session_report", f"""
+_TOTALS = f"""
   WITH {_TICKS},
   s AS (SELECT t.deck_id, t."group", t.session, count(*) AS duration, arg_max(slide, ts) AS last_slide, max(planned) AS planned
     FROM ticks t JOIN plans p ON p.deck_id = t.deck_id AND p."group" = t."group" AND p.session = t.session GROUP BY ALL)
   SELECT deck_id, "group", CAST(sum(duration) AS BIGINT) AS total_seconds, count(*) AS sessions,
     arg_max(last_slide, session) AS last_slide, arg_max(planned, session) AS last_planned
-  FROM s GROUP BY ALL""")
+  FROM s GROUP BY ALL"""
+
+
+@query("I4_merge_session_report", _TOTALS)
 def _(spark, sf):
     ticks = T.ticks(spark, sf)
-    rows = L.session_rows(ticks, T.plans(ticks))
+    rows = L.session_rows(L.slide_dwell(ticks), T.plans(ticks))
     # Two merges, the second repeating a part of the first: the result must not change.
     stored = L.merge_sessions(None, rows.filter(F.col("deck_id") % 2 == 0)).drop("session_number")
     return L.group_totals(L.merge_sessions(stored, rows))
 
 
+@query("I4_merge_from_stream", _TOTALS)
+def _(spark, sf):
+    folder = scratch_folder(spark)
+    L.stream_slide_dwell(_tick_stream(spark, sf), folder, f"{folder}/checkpoint").awaitTermination()
+    rows = L.session_rows(L.read_slide_dwell(spark, folder), T.plans(T.ticks(spark, sf)))
+    return L.group_totals(L.merge_sessions(None, rows))
+
+
 @query("I4_stored_report_slides", f"""
   WITH {_TICKS}
   SELECT deck_id, "group", slide, CAST(count(*) AS INTEGER) AS seconds FROM ticks GROUP BY ALL""")
 def _(spark, sf):
     ticks = T.ticks(spark, sf)
-    sessions = L.merge_sessions(None, L.session_rows(ticks, T.plans(ticks)))
-    reports = L.time_reports(sessions, L.slide_dwell(ticks).drop("first_ts"))
+    sessions = L.merge_sessions(None, L.session_rows(L.slide_dwell(ticks), T.plans(ticks)))
+    reports = L.time_reports(sessions, L.slide_dwell(ticks).drop("first_ts", "last_ts"))
     return TM.report_times(TM.parse_time_reports(reports)).select("deck_id", "group", "slide", "seconds")
 
 
@@ -245,7 +256,7 @@ def _(spark, sf):
   SELECT deck_id, "group", CAST(least(greatest(0, last_slide - 1), 9 + deck_id) AS INTEGER) AS start_index FROM g""")
 def _(spark, sf):
     ticks = T.ticks(spark, sf)
-    groups = L.group_totals(L.merge_sessions(None, L.session_rows(ticks, T.plans(ticks))))
+    groups = L.group_totals(L.merge_sessions(None, L.session_rows(L.slide_dwell(ticks), T.plans(ticks))))
     pages = ticks.select("deck_id").distinct().withColumn("pages", F.col("deck_id") + 10)
     return L.resume_position(groups, pages)
 

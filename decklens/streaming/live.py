@@ -20,8 +20,11 @@ SESSION = ["deck_id", "group", "session"]
 
 
 def slide_dwell(ticks: DataFrame) -> DataFrame:
-    """Seconds per slide of each session: ticks counted, partial counts before the shuffle."""
-    return ticks.groupBy(*SESSION, "slide").agg(F.count(F.lit(1)).alias("seconds"), F.min("ts").alias("first_ts"))
+    """Seconds per slide of each session, with its first and last tick; partial counts before the
+    shuffle."""
+    return ticks.groupBy(*SESSION, "slide").agg(
+        F.count(F.lit(1)).alias("seconds"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )
 
 
 def _batch_folder(folder: str, batch_id: int) -> str:
@@ -39,8 +42,8 @@ def stream_slide_dwell(ticks: DataFrame, folder: str, checkpoint: str, late: str
         ticks.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", late)
         .groupBy(*SESSION, "slide", F.window("ts", "1 day").alias("day"))
-        .agg(F.count(F.lit(1)).alias("seconds"))
-        .select(*SESSION, "slide", F.col("day.start").alias("day"), "seconds")
+        .agg(F.count(F.lit(1)).alias("seconds"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .select(*SESSION, "slide", F.col("day.start").alias("day"), "seconds", "first_ts", "last_ts")
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -56,11 +59,12 @@ def stream_slide_dwell(ticks: DataFrame, folder: str, checkpoint: str, late: str
 
 
 def read_slide_dwell(spark, folder: str) -> DataFrame:
-    """Seconds per slide and session from the stream's output."""
+    """Seconds per slide and session from the stream's output, as :func:`slide_dwell` gives them."""
+    ends = [F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
     latest = spark.read.parquet(f"{folder}/dwell").groupBy(*SESSION, "slide", "day").agg(
-        F.max("seconds").alias("seconds")
+        F.max("seconds").alias("seconds"), *ends
     )
-    return latest.groupBy(*SESSION, "slide").agg(F.sum("seconds").alias("seconds"))
+    return latest.groupBy(*SESSION, "slide").agg(F.sum("seconds").alias("seconds"), *ends)
 
 
 # --- dwell from page changes ----------------------------------------------------------------------
@@ -150,10 +154,10 @@ def overrun(ticks: DataFrame, plans: DataFrame, block_seconds: int = 3600) -> Da
     return judged.join(first, SESSION, "left")
 
 
-def session_rows(ticks: DataFrame, plans: DataFrame) -> DataFrame:
-    """One row per session with time: duration, plan, start, last slide."""
-    rows = ticks.groupBy(*SESSION).agg(
-        F.count(F.lit(1)).alias("duration"), F.min("ts").alias("start"), F.max_by("slide", "ts").alias("last_slide")
+def session_rows(dwell: DataFrame, plans: DataFrame) -> DataFrame:
+    """One row per session with time: duration, plan, start, last slide; from batch or stream dwell."""
+    rows = dwell.groupBy(*SESSION).agg(
+        F.sum("seconds").alias("duration"), F.min("first_ts").alias("start"), F.max_by("slide", "last_ts").alias("last_slide")
     )
     return rows.join(plans.select(*SESSION, "planned"), SESSION, "left").select(
         *SESSION, "duration", "start", "last_slide", F.coalesce("planned", F.lit(0)).alias("planned")

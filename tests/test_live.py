@@ -86,13 +86,13 @@ def test_overrun(spark, ticks):
 
 def test_merge_is_idempotent_and_round_trips(spark, ticks):
     df, rows = ticks
-    new = L.session_rows(df, plans(spark, 600))
+    new = L.session_rows(L.slide_dwell(df), plans(spark, 600))
     first = L.merge_sessions(None, new.filter("session = 's0'")).drop("session_number")
     merged = L.merge_sessions(first, new)
     assert sorted((r.group, r.session, r.session_number) for r in merged.collect()) == [(g, f"s{d}", d + 1) for g in "AB" for d in range(3)]
     totals = L.group_totals(merged)
     assert {(r.group, r.total_seconds, r.sessions) for r in totals.collect()} == {("A", 600, 3), ("B", 600, 3)}
-    reports = L.time_reports(merged, L.slide_dwell(df).drop("first_ts"))
+    reports = L.time_reports(merged, L.slide_dwell(df))
     groups = TM.parse_time_reports(reports)
     times = {(r.group, r.slide): r.seconds for r in TM.report_times(groups).collect()}
     assert sum(times.values()) == 1200 and len(times) == 12
@@ -104,8 +104,8 @@ def test_merge_is_idempotent_and_round_trips(spark, ticks):
 def test_report_parts(spark, ticks, monkeypatch):
     monkeypatch.setattr(L, "REPORT_PART", 2)
     df, _ = ticks
-    merged = L.merge_sessions(None, L.session_rows(df, plans(spark, 600)))
-    reports = L.time_reports(merged, L.slide_dwell(df).drop("first_ts"))
+    merged = L.merge_sessions(None, L.session_rows(L.slide_dwell(df), plans(spark, 600)))
+    reports = L.time_reports(merged, L.slide_dwell(df))
     assert {(r.group, r.part) for r in reports.collect()} == {(g, p) for g in "AB" for p in range(3)}
     groups = TM.parse_time_reports(reports)
     assert TM.report_times(groups).agg(F.sum("seconds")).first()[0] == 1200
