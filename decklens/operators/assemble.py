@@ -93,7 +93,7 @@ def _read(shape: Column, height: Column) -> Column:
         shape["name"].alias("name"),
         X.clean_text(F.coalesce(shape["text"], F.lit(""))).alias("text"),
         shape["top"].alias("top"),
-        (shape["top"] / height).alias("ratio"),
+        F.try_divide(shape["top"], height).alias("ratio"),
         F.coalesce(shape["is_title"], F.lit(False)).alias("is_title"),
         is_image(shape).alias("image"),
         first_font_size(shape["run_sizes"]).alias("size"),

@@ -119,7 +119,7 @@ def parse_judge(responses: DataFrame) -> DataFrame:
         "hss_feedback",
         F.col("nts_score").try_cast("double").alias("nts_judged"),
         "nts_feedback",
-        F.col("tiempo_estimado_segundos").try_cast("double").cast("int").alias("judged_seconds"),
+        F.col("tiempo_estimado_segundos").try_cast("double").try_cast("int").alias("judged_seconds"),
     )
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "decklens", cores: str = "8") -> SparkSession:
-    """A local session for tests and benches. On a cluster, use the cluster's own session."""
+    """A local session for tests and benches. On a cluster, use the cluster's own session.
+
+    (Recording call sites for error messages is off: it slows the building of long expressions.)
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -20,6 +23,7 @@ def local_session(name: str = "decklens", cores: str = "8") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
