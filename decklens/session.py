@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,7 @@ def local_session(name: str = "decklens", cores: str = "8") -> SparkSession:
         .appName(name)
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"/tmp/decklens-scratch/{uuid.uuid4().hex}")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -31,16 +30,19 @@ def local_session(name: str = "decklens", cores: str = "8") -> SparkSession:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's ``spark.checkpoint.dir``.
+    """A new folder that all executors share, deleted when the session's JVM ends.
 
-    Only where that setting is absent (a local test session) a temporary folder takes its place.
+    It lies under ``spark.checkpoint.dir``; where that is unset, under the warehouse.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="decklens-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return f"{base.rstrip('/')}/decklens-{uuid.uuid4().hex}"
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    folder = f"{base.rstrip('/')}/decklens-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/table"
 
 
 def staged(df: DataFrame) -> DataFrame:
