@@ -9,7 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decklens.session import staged  # noqa: F401  (the shared folder of the cluster)
+from decklens.session import staged
+
+#: A join side is broadcast up to this size, which is measured first; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 #: Text bytes that a Python task works on at once.
 SLICE_BYTES = 4 << 20
@@ -19,17 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_key(text: str = "text") -> Column:
-    """128-bit identity of a text (null: null)."""
-    return F.unhex(F.md5(F.col(text)))
+def measured(df: DataFrame, row_bytes: Column | int) -> DataFrame:
+    """``df`` staged, and marked for broadcast if the sum of ``row_bytes`` is within BROADCAST_BYTES."""
+    rows = staged(df)
+    total = rows.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(rows) if total <= BROADCAST_BYTES else rows
 
 
-def pieces(column: pa.Array) -> Iterator[pa.Array]:
-    """A string column cut so that each piece holds about SLICE_BYTES (or one long text)."""
+def pieces(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A string column cut so that each piece holds about ``size`` bytes (or one long text)."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(lengths):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > size:
             yield column.slice(start, i - start)
             start, held = i, 0
         held += int(n)
@@ -37,11 +42,11 @@ def pieces(column: pa.Array) -> Iterator[pa.Array]:
         yield column.slice(start)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut in the same way by one of their columns."""
     for batch in batches:
         start = 0
-        for piece in pieces(batch.column(column)):
+        for piece in pieces(batch.column(column), size):
             yield batch.slice(start, len(piece))
             start += len(piece)
 

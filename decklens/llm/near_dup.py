@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as digest
 
-from decklens.llm.common import as_texts, slices, staged
+from decklens.llm.common import as_texts, measured, slices, staged
 from decklens.llm.components import components
 
 WORDS = 5
@@ -241,7 +241,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     dealt = nodes.select("node", F.explode("keys").alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("bucket", "pivot")
     members = staged(dealt.join(shared, "bucket"))
-    shingle_bags = staged(shingled(rows.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"])))
+    shingle_bags = staged(shingled(rows.join(measured(members.select("node").distinct(), 32), "node", "left_semi").select("node", "text").dropDuplicates(["node"])))
 
     # Round 0: each node with the smallest pivot of its buckets.
     pairs = members.filter("node <> pivot").groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b"))
