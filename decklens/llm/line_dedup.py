@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as digest
 
-from decklens.llm.common import as_bytes, slices, staged
+from decklens.llm.common import as_bytes, measured, slices, staged
 
 DEPTH = 4
 SIMILARITY = 0.8
@@ -103,16 +103,17 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
     codes = staged(line_codes(rows, depth))
     # One row per distinct line. Documents are ordered by doc_id, nulls last, then by text_key.
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
-    lines = staged(codes.groupBy("leaf", "line").agg(
-        F.min(F.struct(who.alias("doc"), F.col("place").alias("place"))).alias("first"), F.max(who).alias("last")))
-    crowded = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf")
+    lines = codes.groupBy("leaf", "line").agg(
+        F.min(F.struct(who.alias("doc"), F.col("place").alias("place"))).alias("first"), F.max(who).alias("last"))
+    crowded = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf", F.lit(True).alias("crowded"))
+    # A line of one document, alone in its leaf, recurs nowhere.
+    lines = staged(lines.join(crowded, "leaf", "left").filter("crowded or first.doc <> last"))
     # Lines that share their leaf: their later tokens, counted by place over the distinct lines.
     wanted = (
-        lines.join(crowded, "leaf")
-        .groupBy(F.col("first.doc.id").alias("_id"), F.col("first.doc.key").alias("_key"))
+        lines.filter("crowded").groupBy(F.col("first.doc.id").alias("_id"), F.col("first.doc.key").alias("_key"))
         .agg(F.collect_set("first.place").alias("places"))
     )
-    tokens = staged(line_tokens(rows, wanted, depth).distinct())
+    tokens = staged(line_tokens(rows, measured(wanted, F.size("places") * 4 + 32), depth).distinct())
     common = tokens.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     kept = tokens.join(common, ["leaf", "place", "token"], "left_semi")
     # Order-free code of the kept (place, token) pairs; the leaf fixes length and leading tokens.
@@ -122,11 +123,11 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
         F.sum(F.shiftright(part, 20)).alias("sum"))
     template = template.filter(F.col("n") + depth >= F.col("size") * similarity).select(
         "leaf", "line", F.xxhash64("code", "sum").alias("template"))
-    named = lines.join(template, ["leaf", "line"], "left").select(
-        "leaf", "line", "first", "last", F.coalesce("template", "line").alias("template"), F.col("template").isNotNull().alias("general"))
-    groups = named.groupBy("leaf", "template", "general").agg(F.min("first.doc").alias("doc"), F.max("last").alias("last_doc"))
-    recurring = named.join(groups.filter("doc != last_doc").select("leaf", "template", "general", "doc"), ["leaf", "template", "general"])
-    lost = codes.join(recurring.select("leaf", "line", "doc"), ["leaf", "line"]).filter(who != F.col("doc"))
+    named = staged(lines.join(template, ["leaf", "line"], "left").select(
+        "leaf", "line", F.col("first.doc").alias("doc"), "last", F.coalesce("template", "line").alias("template"), F.col("template").isNotNull().alias("general")))
+    groups = named.groupBy("leaf", "template", "general").agg(F.min("doc").alias("kept_doc"), F.max("last").alias("last_doc"))
+    recurring = named.join(groups.filter("kept_doc <> last_doc").drop("last_doc"), ["leaf", "template", "general"])
+    lost = codes.join(recurring.select("leaf", "line", "kept_doc"), ["leaf", "line"]).filter(who != F.col("kept_doc"))
     return lost.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
@@ -142,6 +143,7 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILAR
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     lost = dropped_lines(docs, depth, similarity).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "places")
+    lost = measured(lost, F.size("places") * 4 + 32)
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", F.xxhash64("doc_id", "text").alias("text_key"))
     met = row.join(lost, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     text = F.col("_row")["text"]

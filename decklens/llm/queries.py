@@ -47,8 +47,7 @@ def string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = token_files.stored(table(spark, sf_dir, "documents"))
-    return read.select("doc_id", "start", "n_tokens", token_files.ids_crc32("ids").alias("ids_crc32"))
+    return token_files.stored(table(spark, sf_dir, "documents"), ids=False, crc=True)
 
 
 def pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
