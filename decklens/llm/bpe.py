@@ -71,7 +71,8 @@ def _encode_udf(ranks_path: str):
             rows.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
         return pa.concat_arrays(rows) if rows else pa.array([], pa.list_(pa.int32()))
 
-    return encode
+    # Spark would otherwise run the encoder again inside each later function of its ids.
+    return encode.asNondeterministic()
 
 
 def encode(docs: DataFrame, ranks_path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -15,23 +15,23 @@ smallest; larger differences are exceptions. All numbers are little-endian.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from decklens.llm.common import as_texts, slices
+from decklens.llm.common import as_texts, measured, slices
 from decklens.session import scratch_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,6 +48,8 @@ MAGIC = b"PFR1"
 def _pack(values: np.ndarray, width: int) -> bytes:
     if width == 0:
         return b""
+    if width in (16, 32):
+        return values.astype(f"<u{width // 8}").tobytes()
     kind = "<u2" if width <= 16 else "<u4"
     raw = values.astype(kind).view(np.uint8).reshape(len(values), -1)
     return np.packbits(np.unpackbits(raw, axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes()
@@ -56,6 +58,8 @@ def _pack(values: np.ndarray, width: int) -> bytes:
 def _unpack(packed: bytes, n: int, width: int) -> np.ndarray:
     if width == 0:
         return np.zeros(n, np.uint32)
+    if width in (16, 32):
+        return np.frombuffer(packed, f"<u{width // 8}").astype(np.uint32)
     size = 16 if width <= 16 else 32
     bits = np.zeros((n, size), np.uint8)
     bits[:, :width] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n * width, bitorder="little").reshape(n, width)
@@ -117,12 +121,14 @@ class UnitEncoder:
 
     A unit is the text between two single spaces, each of which stands between characters that are
     no white space. A piece of the pre-tokeniser never reaches over such a space, so units encode
-    for themselves, each with the space before it; so does a full stop or comma after a letter. The
-    memory is bounded (the units met first, which are the frequent ones, stay) and only saves time.
+    for themselves, each with the space before it; so do a full stop or comma after a letter, and a
+    line that begins after a single line feed, with it. The memory is bounded, holds the units met first, among them all frequent ones, and only saves time.
     """
 
-    MAX_UNITS = 500_000
+    MAX_UNITS = 600_000
     MAX_CHARS = 40
+    #: Units handed to the library at once.
+    TOGETHER = 2048
     _cut = regex.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -132,45 +138,66 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.marks = dict(zip(".,", self._bytes([".", ","])))
-        #: Ids of " " + unit; None if the unit's edges are white space, so that its spaces cut nothing.
-        self.known: dict[str, bytes | None] = {}
+        #: Ids of " " + unit. New units whose edges are white space have None: their spaces cut nothing.
+        self.known: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), self.TOGETHER):
+            out.extend(array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + self.TOGETHER], add_special_tokens=False))
+        return out
 
-    def _learn(self, units: set[str]) -> None:
-        known, marks, marked = self.known, self.marks, []
-        for u in list(units):
+    def _new(self, units: set[str]) -> dict[str, bytes | None]:
+        """Ids of units that are not known yet."""
+        known, marks, out, split = self.known, self.marks, {}, []
+        whole: set[str] = set()
+        for u in units:
             if not u or u[0].isspace() or u[-1].isspace():
-                known[u] = None
-                units.remove(u)
-            elif u[-1] in marks and u[-2:-1].isalpha():
-                marked.append(u)
-                units.remove(u)
-                if u[:-1] not in known:
-                    units.add(u[:-1])
-        fresh = list(units)
-        known.update(zip(fresh, self._bytes([" " + u for u in fresh])))
-        for u in marked:
-            core = known[u[:-1]]
-            known[u] = core + marks[u[-1]] if core is not None else self._bytes([" " + u])[0]
+                out[u] = None
+                continue
+            # The unit's first line ends at its mark, if a letter precedes it; later lines follow a feed.
+            if "\n" not in u:
+                if u[-1] not in marks or not u[-2:-1].isalpha():
+                    whole.add(u)
+                    continue
+                parts, mark = [u[:-1]], marks[u[-1]]
+            else:
+                first, *lines = u.split("\n")
+                if not all([x and not x[0].isspace() and not x[-1].isspace() for x in (first, *lines)]):
+                    whole.add(u)
+                    continue
+                mark = marks.get(first[-1], b"") if first[-2:-1].isalpha() else b""
+                parts = [first[:-1] if mark else first, *["\n" + x for x in lines]]
+            whole.update([p for p in parts if p not in known])
+            split.append((u, parts, mark))
+        fresh = list(whole)
+        ids = dict(zip(fresh, self._bytes([u if u[0] == "\n" else " " + u for u in fresh])))
+        for u, parts, mark in split:
+            head, *rest = [ids.get(p) or known[p] for p in parts]
+            out[u] = b"".join([head, mark, *rest])
+        out.update(ids)
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.MAX_UNITS:
-            self.known = {u: v for u, v in islice(self.known.items(), self.MAX_UNITS // 2) if len(u) <= self.MAX_CHARS}
         rows = [t.split(" ") for t in texts]
         heads = [r.pop(0) for r in rows]
-        self._learn(set().union(*rows).difference(self.known))
-        of = self.known.__getitem__
+        # Units that begin with a line feed are known for its sake; in a text they are no units.
+        get = self.known.get
+        ids = [list(map(get, row)) for row in rows]
+        missing = [[k for k, v in enumerate(row) if v is None] for row in ids]
+        new = self._new({row[k] for row, gaps in zip(rows, missing) for k in gaps})
         out = []
-        for text, head, row in zip(texts, self._bytes(heads), rows):
-            units = list(map(of, row))
-            if None in units or (row and text[: text.index(" ")][-1:].strip() == ""):
+        for text, head, row, found, gaps in zip(texts, self._bytes(heads), rows, ids, missing):
+            for k in gaps:
+                found[k] = new[row[k]]
+            if None in found or " \n" in text or (row and text[: text.index(" ")][-1:].strip() == ""):
                 first, *rest = self._cut.split(text)
                 out.append(b"".join(self._bytes([first, *[" " + u for u in rest]])))
             else:
-                out.append(head + b"".join(units))
+                out.append(head + b"".join(found))
+        if len(self.known) < self.MAX_UNITS:
+            self.known.update((u, v) for u, v in new.items() if v is not None and len(u) <= self.MAX_CHARS and "\n" not in u[1:])
         return out
 
 
@@ -196,6 +223,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number = TaskContext.get().partitionId(), 0
         encoder = unit_encoder(tokenizer)
+        gc.disable()  # millions of short strings and no cycles: its passes take a tenth of the time
         end = np.array([end_id], "<u4").tobytes()
         ids, held, size = [], [], 0
 
@@ -205,7 +233,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
                 "shard": shard, "segment": number, "n_values": len(values), "doc_ids": ids,
                 "lengths": [len(h) // 4 for h in held], "payload": encode_segment(values)}], schema=schema)
 
-        for b in slices(batches):
+        for b in slices(batches, size=1 << 20):
             for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder(as_texts(b.column("text")))):
                 ids.append(doc_id)
                 held.append(data + end)
@@ -222,11 +250,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
     ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(segments, _SEGMENT).write.parquet(folder)
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids: the documents of the file.
+def read_tokens(spark: SparkSession, folder: str, ids: bool = True, crc: bool = False) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens: the documents of the file.
 
-    A segment's start is the sum of the shards and segments before it; only these counts are added
-    up, over one row per shard and, within a shard, one row per segment.
+    With ``ids`` an array<int> of the ids, with ``crc`` ids_crc32: the unsigned CRC-32 of the ids read,
+    as little-endian unsigned 32-bit integers. A segment's start is the sum of the shards and segments
+    before it; only these counts are added up, over one row per shard and, within a shard, one row
+    per segment.
     """
     rows = spark.read.schema(_SEGMENT).parquet(folder)
     counts = rows.select("shard", "segment", "n_values")
@@ -242,29 +272,22 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 one = b.slice(r, 1)
                 lengths = np.array(one.column("lengths")[0].as_py(), np.int64)
                 ends = np.cumsum([0, *lengths])
-                ids = decode_segment(one.column("payload")[0].as_py()).view(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    one.column("doc_ids").flatten(), pa.array(one.column("start")[0].as_py() + ends[:-1]), pa.array(lengths),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["doc_id", "start", "n_tokens", "ids"])
-
-    met = rows.join(starts, ["shard", "segment"]).select("doc_ids", "lengths", "payload", "start")
-    return met.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def ids_crc32(ids: str) -> Column:
-    """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers (null: null)."""
-
-    @F.arrow_udf("long")
-    def crc(column: pa.Array) -> pa.Array:
-        ends, flat = column.offsets.to_numpy(), column.values.to_numpy().astype("<u4")
-        nulls = column.is_null().to_numpy(zero_copy_only=False)
-        return pa.array([None if nulls[i] else zlib.crc32(flat[ends[i] : ends[i + 1]]) for i in range(len(column))], pa.int64())
+                values = decode_segment(one.column("payload")[0].as_py()).astype("<u4", copy=False)
+                out = [one.column("doc_ids").flatten(), pa.array(one.column("start")[0].as_py() + ends[:-1]), pa.array(lengths)]
+                if ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int32))))
+                if crc:
+                    out.append(pa.array([zlib.crc32(values[i:j]) for i, j in zip(ends[:-1], ends[1:])], pa.int64()))
+                yield pa.RecordBatch.from_arrays(out, names)
 
-    return crc(F.col(ids))
+    kinds = ["doc_id long", "start long", "n_tokens long", *["ids array<int>"] * ids, *["ids_crc32 long"] * crc]
+    names = [k.split()[0] for k in kinds]
+    met = rows.join(measured(starts, 32), ["shard", "segment"]).select("doc_ids", "lengths", "payload", "start")
+    return met.mapInArrow(documents, ", ".join(kinds))
 
 
-def stored(docs: DataFrame) -> DataFrame:
+def stored(docs: DataFrame, ids: bool = True, crc: bool = False) -> DataFrame:
     """Write ``docs`` to a new file in the shared folder and read it back."""
     folder = scratch_folder(docs.sparkSession)
     write_tokens(docs, folder)
-    return read_tokens(docs.sparkSession, folder)
+    return read_tokens(docs.sparkSession, folder, ids, crc)
