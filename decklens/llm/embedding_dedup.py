@@ -112,33 +112,45 @@ def compare(part: pa.Table, cosine: float) -> pa.Table:
     node, copies, home, own = (part.column(c).to_numpy() for c in ("node", "copies", "home", "own"))
     unit = units(_vectors(part.column("embedding").combine_chunks(), dim))
     place = rotated(unit)
-    # Two rows meet if the smaller node is at home here and, for two parts, they are of one each.
-    meets = (node[:, None] < node[None, :]) & home[:, None]
-    if i != j:
-        meets &= own[:, None] != own[None, :]
-
-    def within(block: np.ndarray) -> np.ndarray:
-        x = place[:, block]
-        square = (x * x).sum(1)
-        return square[:, None] + square[None, :] - 2 * (x @ x.T) <= budget(cosine, block, dim)
-
     cut = blocks(dim)
-    linked = meets & within(cut[k])
-    if not linked.any():
+
+    def distance(block: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((place[np.ix_(a, block)] - place[np.ix_(b, block)]) ** 2).sum(1)
+
+    # Rows meet if the smaller node is at home here and, for two parts, they are of one each.
+    x = place[:, cut[k]]
+    square = (x * x).sum(1)
+    found_a, found_b = [], []
+    at_home = np.flatnonzero(home)
+    for start in range(0, len(at_home), 256):
+        rows = at_home[start : start + 256]
+        close = square[rows, None] + square[None, :] - 2 * (x[rows] @ x.T) <= budget(cosine, cut[k], dim)
+        a, b = np.nonzero(close)
+        a = rows[a]
+        meet = (node[a] < node[b]) & ((i == j) | (own[a] != own[b]))
+        a, b = a[meet], b[meet]
+        for s in range(0, len(a), 1 << 16):
+            c, d = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+            linked = np.einsum("ij,ij->i", unit[c], unit[d]) >= cosine
+            c, d = c[linked], d[linked]
+            for earlier in cut[:k]:
+                new = distance(earlier, c, d) > budget(cosine, earlier, dim)
+                c, d = c[new], d[new]
+            found_a.append(c)
+            found_b.append(d)
+    if not found_a:
         return pa.table(out)
-    linked &= unit @ unit.T >= cosine
-    for earlier in cut[:k]:
-        linked &= ~within(earlier)
-    both = linked | linked.T
-    some = np.flatnonzero(both.any(1))
-    both = both[np.ix_(some, some)]
-    root = node[some]
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    links = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
+    root = node.copy()
     while True:
-        low = np.minimum(root, np.where(both, root[None, :], np.iinfo(np.int64).max).min(1)) if len(some) else root
-        if (low == root).all():
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        if (root == before).all():
             break
-        root = low
-    return pa.table({"node": node[some], "links": both @ copies[some], "root": root})
+    some = np.flatnonzero(links)
+    return pa.table({"node": node[some], "links": links[some].astype(np.int64), "root": root[some]})
 
 
 def valid(embedding: str = "embedding") -> Column:
