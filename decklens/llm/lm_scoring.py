@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decklens.llm.common import as_texts, slices, staged
+from decklens.llm.common import as_texts, measured, pieces, slices, staged
 
 MAX_WORDS = 50_000
 #: Bigrams are modelled between the so many most frequent words.
@@ -108,8 +108,8 @@ def _bounded(counts: DataFrame, key: str, most: int):
             break
         least = r["n"]
     if least is None:
-        return counts.limit(0).toPandas()
-    return counts.filter(F.col("n") >= least).toPandas().sort_values(["n", key], ascending=[False, True], kind="stable")
+        return counts.limit(0).toArrow().to_pandas()
+    return counts.filter(F.col("n") >= least).toArrow().to_pandas().sort_values(["n", key], ascending=[False, True], kind="stable")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def target_counts(docs: DataFrame, shared: Shared) -> tuple[np.ndarray, np.ndarr
         at = np.flatnonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[at])], ["place", "n"])
 
-    got = docs.select("text").mapInArrow(of, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(of, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     both = np.zeros(len(shared.words) + 1 + len(shared.bigrams))
     both[got["place"].to_numpy(int)] = got["n"].to_numpy(float)
     return both[: len(shared.words) + 1], both[len(shared.words) + 1 :]
@@ -203,8 +203,6 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     @F.arrow_udf("struct<n_tokens:long,target_loss:double,background_loss:double,score:double>")
     def losses(text: pa.Array) -> pa.Array:
-        from decklens.llm.common import pieces
-
         parts = []
         for piece in pieces(text):
             ids, at_text = shared.ids(as_texts(piece))
@@ -227,4 +225,5 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The target set: documents labelled good (quality 1) and by no label bad or toxic."""
     good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return docs.join(good.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id"), "doc_id", "left_semi")
+    good = good.filter("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+    return docs.join(measured(good, 16), "doc_id", "left_semi")
