@@ -35,8 +35,10 @@ BANDS, ROWS = 28, 4
 PIVOT_ROUNDS = 2
 #: Components of the longer signature, one byte each, and the share of equal ones below which a pair
 #: cannot be linked: 0.8 less 4.75 standard deviations, so that one pair in a million is missed.
-SKETCH = 512
+SKETCH = 1024
 SKETCH_MARGIN = 4.75
+#: Bytes of text whose shingles a task holds at once.
+SLICE = 1 << 20
 #: Members of a bucket that one block compares with as many others.
 BLOCK = 1000
 
@@ -147,7 +149,7 @@ def signed(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> DataFra
     """(doc_id, node, keys): one key per band; no keys for a text without words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             text, codes, weights = bags(as_texts(b.column("text")))
             parts = signatures(text, codes, weights, b.num_rows, bands * per_band).reshape(-1, bands, per_band)
             key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (b.num_rows, 1))
@@ -165,7 +167,7 @@ def shingled(rows: DataFrame) -> DataFrame:
     """(node, codes, weights, sketch) of (node, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, size=SLICE):
             text, codes, weights = bags(as_texts(b.column("text")))
             ends = pa.array(np.searchsorted(text, np.arange(b.num_rows + 1)), pa.int32())
             sketch = signatures(text, codes, weights, b.num_rows, SKETCH).astype(np.uint8)
@@ -178,28 +180,31 @@ def shingled(rows: DataFrame) -> DataFrame:
 
 
 def near_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of members (bucket, size, node, component, sketch) of one bucket, but of different
-    components, whose sketches allow the similarity. A large bucket is cut into blocks by the
-    hash of the node, and each pair of blocks is a task's work."""
+    """(a, b): pairs of members (bucket, band, size, node, component, keys, sketch) of one bucket, but of
+    different components, whose sketches allow the similarity. A pair leaves the bucket of the
+    first band that it shares only. A large bucket is cut into blocks by the hash of the node, and
+    each pair of blocks is a task's work."""
     least = similarity - SKETCH_MARGIN * np.sqrt(similarity * (1 - similarity) / SKETCH)
     cuts = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")
     dealt = (
         members.withColumn("_cuts", cuts).withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
-        .select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "component", "sketch")
+        .select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "band", "node", "component", "keys", "sketch")
     )
 
     def of(block: pa.Table) -> pa.Table:
         nodes, parts, own = (block.column(c).to_numpy() for c in ("node", "component", "_own"))
         sketches = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), SKETCH)
-        i, j = block.column("i")[0].as_py(), block.column("j")[0].as_py()
+        i, j, band = (block.column(c)[0].as_py() for c in ("i", "j", "band"))
+        keys = block.column("keys").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)[:, :band]
         right = np.flatnonzero(own == j)
         out_a, out_b = [], []
         for x in np.flatnonzero(own == i):
             others = right[(parts[right] != parts[x]) & ((nodes[right] < nodes[x]) if i == j else True)]
             share = (sketches[others] == sketches[x]).mean(1)
-            near = nodes[others[share >= least]]
+            others = others[share >= least]
+            near = nodes[others[~(keys[others] == keys[x]).any(1)]]
             out_a.append(np.maximum(near, nodes[x]))
             out_b.append(np.minimum(near, nodes[x]))
         empty = [np.zeros(0, np.int64)]
@@ -238,7 +243,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     rows = docs.select("doc_id", node.alias("node"), "text")
     table = staged(signed(rows, bands, per_band))
     nodes = table.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
-    dealt = nodes.select("node", F.explode("keys").alias("bucket"))
+    dealt = nodes.select("node", F.posexplode("keys").alias("band", "bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("bucket", "pivot")
     members = staged(dealt.join(shared, "bucket"))
     shingle_bags = staged(shingled(rows.join(measured(members.select("node").distinct(), 32), "node", "left_semi").select("node", "text").dropDuplicates(["node"])))
@@ -249,20 +254,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     links = staged(verified(tested, shingle_bags, similarity))
     parts = staged(components(links))
     for turn in range(1, PIVOT_ROUNDS + 1):
-        placed = members.join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        code = F.xxhash64("node")
+        placed = members.join(parts, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
         mixed = placed.groupBy("bucket").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
-            F.bit_xor(code).alias("code"), F.min_by("node", F.struct("component", F.xxhash64("node", F.lit(turn)))).alias("pivot"),
-        ).filter("low <> high")
-        # Buckets with the same members are one bucket.
-        mixed = mixed.groupBy("size", "code", "low", "high").agg(F.min_by(F.struct("bucket", "pivot"), "bucket").alias("one")).select("one.*", "size", "low")
+            F.min_by("node", F.struct("component", F.xxhash64("node", F.lit(turn)))).alias("pivot"),
+        ).filter("low <> high").drop("high")
         apart = placed.join(mixed, "bucket")
         if turn < PIVOT_ROUNDS:
             pairs = apart.filter("component <> low").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
         else:
-            sketches = shingle_bags.select("node", "sketch")
-            pairs = near_in_blocks(apart.select("bucket", "size", "node", "component").join(sketches, "node"), similarity)
+            sketches = shingle_bags.select("node", "sketch").join(nodes.select("node", "keys"), "node")
+            pairs = near_in_blocks(apart.select("bucket", "band", "size", "node", "component").join(sketches, "node"), similarity)
         pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         tested = tested.unionByName(pairs)
         links = links.unionByName(staged(verified(pairs, shingle_bags, similarity)))
