@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> For
                 [b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.float64()), pa.array(x, pa.list_(pa.float64()))],
                 ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(of, "doc_id long, quality double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInArrow(of, "doc_id long, quality double, x array<double>").toArrow().to_pandas().sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit_forest(x, (got["quality"].to_numpy(float) > 0).astype(float), list(FEATURES.values()))
 

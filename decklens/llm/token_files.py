@@ -125,7 +125,7 @@ class UnitEncoder:
     line that begins after a single line feed, with it. The memory is bounded, holds the units met first, among them all frequent ones, and only saves time.
     """
 
-    MAX_UNITS = 600_000
+    MAX_UNITS = 900_000
     MAX_CHARS = 40
     #: Units handed to the library at once.
     TOGETHER = 2048
