@@ -1,3 +0,0 @@
-"""Operators of a training-data pipeline, and their registered queries."""
-
-from decklens.llm.queries import ORACLES, QUERIES  # noqa: F401

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from decklens.llm import QUERIES, bpe, embedding_dedup, language, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, token_files
+from decklens.llm import bpe, embedding_dedup, language, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, token_files
+from decklens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 LONG = "word " * 30_000
