@@ -226,26 +226,41 @@ def stored_text(asked: DataFrame, stored: DataFrame, column: str) -> DataFrame:
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """``table`` with the rows of ``changes`` replaced or added by key."""
-    kept = table.join(changes.select(*keys), keys, "left_anti")
-    return kept.unionByName(changes.select(*table.columns))
+    """``table`` with the rows of ``changes`` replaced or added by key.
+
+    Of several changes of one key, the one with the greatest values, column by column, counts.
+    """
+    new = _one_per_key(changes.select(*table.columns), keys)
+    kept = table.join(new.select(*keys), keys, "left_anti")
+    return kept.unionByName(new)
+
+
+def _one_per_key(changes: DataFrame, keys: list[str]) -> DataFrame:
+    rest = [c for c in changes.columns if c not in keys]
+    if not rest:
+        return changes.distinct()
+    return changes.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_new")).select(*keys, "_new.*")
 
 
 def upsert_analyses(analyses: DataFrame, results: DataFrame) -> DataFrame:
     """Store the analysis of each version in ``results(version_id, result[, part])``.
 
     A new analysis replaces the stored one whole. The slide number is fixed to 0; only the further
-    parts of a deck stored in several parts are numbered on from there.
+    parts of a deck stored in several parts are numbered on from there. Of several results for one
+    version and part, the greatest text counts.
     """
     number = F.col("part") if "part" in results.columns else F.lit(0)
-    rows = results.select("version_id", number.cast("int").alias("slide_number"), "result")
+    rows = _one_per_key(results.select("version_id", number.cast("int").alias("slide_number"), "result"), ["version_id", "slide_number"])
     kept = analyses.join(rows.select("version_id"), "version_id", "left_anti")
     return kept.unionByName(rows)
 
 
 def update_versions(versions: DataFrame, changes: DataFrame, *columns: str) -> DataFrame:
-    """Overwrite ``columns`` of the versions named in ``changes`` by ``version_id``."""
-    new = changes.select(
+    """Overwrite ``columns`` of the versions named in ``changes`` by ``version_id``.
+
+    Of several changes of one version, the one with the greatest values, column by column, counts.
+    """
+    new = _one_per_key(changes.select("version_id", *columns), ["version_id"]).select(
         "version_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns]
     )
     joined = versions.join(new, "version_id", "left")

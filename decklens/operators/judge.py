@@ -124,12 +124,16 @@ def parse_judge(responses: DataFrame) -> DataFrame:
 
 
 def parse_topics(responses: DataFrame) -> DataFrame:
-    """``(deck_id, temas_presentacion)``; an unreadable response gives an empty list."""
+    """``(deck_id, temas_presentacion)``, one row per deck: the lists of all its answers together.
+
+    An unreadable response gives an empty list; the lists of several answers stand in order of content.
+    """
     parsed = _answer(F.col("response"), r"\{.*\}", _ANSWER)["temas_presentacion"]
-    return responses.select(
+    lists = responses.select(
         "deck_id",
-        F.coalesce(parsed, F.array().cast(T.ArrayType(S.COVERED_UNIT))).alias("temas_presentacion"),
+        F.coalesce(parsed, F.array().cast(T.ArrayType(S.COVERED_UNIT))).alias("_topics"),
     )
+    return lists.groupBy("deck_id").agg(F.flatten(F.sort_array(F.collect_list("_topics"))).alias("temas_presentacion"))
 
 
 # --- syllabus coverage ------------------------------------------------------------------------------

@@ -43,10 +43,11 @@ def report_sessions(groups: DataFrame) -> DataFrame:
 
 
 def report_totals(groups: DataFrame) -> DataFrame:
-    return groups.select(
-        *_GROUP, F.col("report.tiempo_total_seg").alias("stored_total"),
-        F.col("report.planeado_seg").alias("group_planned"),
-        F.col("report.ultima_diapositiva").alias("last_slide"),
+    """Stored totals, one row per group: a report in several parts repeats them in each."""
+    return groups.groupBy(*_GROUP).agg(
+        F.max("report.tiempo_total_seg").alias("stored_total"),
+        F.max("report.planeado_seg").alias("group_planned"),
+        F.max("report.ultima_diapositiva").alias("last_slide"),
     )
 
 
@@ -128,7 +129,9 @@ def group_summary(
         deck = deck.join(deck_totals.select("deck_id", "total_seconds"), "deck_id", "left").withColumn(
             "ref_sum", F.coalesce(F.nullif("total_seconds", F.lit(0)), "ref_sum")
         )
-    joined = real.join(planned_seconds(sessions), _GROUP, "left").join(deck, "deck_id")
+    # A group without sessions falls back on its own plan; a deck without an analysis keeps its groups.
+    own = totals if totals is not None and "group_planned" in totals.columns else None
+    joined = real.join(planned_seconds(sessions, own), _GROUP, "left").join(deck, "deck_id", "left")
     total = F.coalesce(F.nullif("stored_total", F.lit(0)), "summed")
     return joined.withColumn("real_total", total).select(
         *_GROUP, F.coalesce("planned", F.lit(0)).alias("planned"), "real_total",

@@ -29,12 +29,13 @@ def _id(*parts: Column | str) -> Column:
 def load_syllabus(nested: DataFrame, subjects: DataFrame):
     """``(subjects, units, topics, subtopics)`` rows to append for authored course trees.
 
-    A subject whose name is stored already is skipped whole. Ids are hashes of the path of names
+    A subject whose name is stored already is skipped whole; of several trees of one name, the
+    first by content is loaded. Ids are hashes of the path of names
     and numbers, so loading twice gives the same rows.
     """
     fresh = nested.join(
         subjects.select(F.col("name").alias("unidad_aprendizaje")), "unidad_aprendizaje", "left_anti"
-    )
+    ).groupBy("unidad_aprendizaje").agg(F.min("unidades").alias("unidades"))
     new = fresh.select(
         _id("unidad_aprendizaje").alias("subject_id"), F.col("unidad_aprendizaje").alias("name"), "unidades"
     )

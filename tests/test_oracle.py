@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from decklens import plans
 from check import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -32,7 +33,7 @@ def test_entry(spark):
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-@pytest.mark.parametrize("name", [n for n in E.queries() if not n.startswith(("I1_slide_dwell_stream", "I2_page_change_stream", "I4_merge_from_stream", "A15", "A16"))])
+@pytest.mark.parametrize("name", [n for n in plans.QUERIES if not n.startswith(("I1_slide_dwell_stream", "I2_page_change_stream", "I4_merge_from_stream", "A15", "A16"))])
 def test_plans_stay_in_the_jvm(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not [n for n in PYTHON_NODES if n in plan]
