@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decklens.session import staged
+from decklens import session
 
 #: A join side is broadcast up to this size, which is measured first; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -17,11 +17,27 @@ BROADCAST_BYTES = 32 << 20
 #: Text bytes that a Python task works on at once.
 SLICE_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch on its way to a Python task. Spark's own bound (64 MB, 10,000 rows) counts
+#: several times over in an executor: in the JVM's buffers, in the stream, and in the worker.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, with Arrow batches of about BATCH_BYTES."""
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        return session.staged(df)
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
 def measured(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     """``df`` staged, and marked for broadcast if the sum of ``row_bytes`` is within BROADCAST_BYTES."""
     rows = staged(df)
@@ -29,12 +45,12 @@ def measured(df: DataFrame, row_bytes: Column | int) -> DataFrame:
     return F.broadcast(rows) if total <= BROADCAST_BYTES else rows
 
 
-def pieces(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
-    """A string column cut so that each piece holds about ``size`` bytes (or one long text)."""
+def pieces(column: pa.Array, size: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.Array]:
+    """A string column cut so that each piece holds about ``size`` bytes (or one long text), and ``rows`` at most."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(lengths):
-        if held and held + n > size:
+        if held and held + n > size or rows and i - start == rows:
             yield column.slice(start, i - start)
             start, held = i, 0
         held += int(n)
@@ -42,11 +58,11 @@ def pieces(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
         yield column.slice(start)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
     """Batches cut in the same way by one of their columns."""
     for batch in batches:
         start = 0
-        for piece in pieces(batch.column(column), size):
+        for piece in pieces(batch.column(column), size, rows):
             yield batch.slice(start, len(piece))
             start += len(piece)
 

@@ -39,6 +39,8 @@ SKETCH = 1024
 SKETCH_MARGIN = 4.75
 #: Bytes of text whose shingles a task holds at once.
 SLICE = 1 << 20
+#: Texts whose longer signatures a task draws at once (16 KB each while drawn).
+SKETCHED = 512
 #: Members of a bucket that one block compares with as many others.
 BLOCK = 1000
 
@@ -167,7 +169,7 @@ def shingled(rows: DataFrame) -> DataFrame:
     """(node, codes, weights, sketch) of (node, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, size=SLICE):
+        for b in slices(batches, size=SLICE, rows=SKETCHED):
             text, codes, weights = bags(as_texts(b.column("text")))
             ends = pa.array(np.searchsorted(text, np.arange(b.num_rows + 1)), pa.int32())
             sketch = signatures(text, codes, weights, b.num_rows, SKETCH).astype(np.uint8)
