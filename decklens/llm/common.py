@@ -15,7 +15,7 @@ from decklens import session
 BROADCAST_BYTES = 32 << 20
 
 #: Text bytes that a Python task works on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes of an Arrow batch on its way to a Python task. Spark's own bound (64 MB, 10,000 rows) counts
 #: several times over in an executor: in the JVM's buffers, in the stream, and in the worker.
@@ -27,11 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of this session hold about BATCH_BYTES."""
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, with Arrow batches of about BATCH_BYTES."""
     spark = df.sparkSession
     before = spark.conf.get(_BATCH_SETTING)
-    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    bound_batches(spark)
     try:
         return session.staged(df)
     finally:
