@@ -57,6 +57,11 @@ def text_lines(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(_STRIPPED_LINE), F.lit(0))
 
 
+def feed_lines(c: Column) -> Column:
+    """As :func:`text_lines`, but lines end at a line feed only; a bare carriage return stays inside."""
+    return F.filter(F.transform(F.split(c, "\n"), strip), lambda line: line != "")
+
+
 def clean_text(c: Column) -> Column:
     """Lines stripped, blank ones dropped, joined by ``" \\n "``."""
     return F.array_join(text_lines(c), " \n ")
@@ -69,7 +74,7 @@ def collapse_whitespace(c: Column) -> Column:
 
 def content_lines(content: Column) -> Column:
     """Non-blank stripped lines of an array of blocks."""
-    return text_lines(F.array_join(content, "\n"))
+    return feed_lines(F.array_join(content, "\n"))
 
 
 def _joined(title: Column, content: Column, separator: str) -> Column:
@@ -147,7 +152,7 @@ def sentence_split(c: Column) -> Column:
             .otherwise(F.array(line))
         )
 
-    return F.flatten(F.transform(text_lines(c), in_line))
+    return F.flatten(F.transform(feed_lines(c), in_line))
 
 
 def raw_tokens(c: Column) -> Column:

@@ -201,3 +201,12 @@ def test_long_runs_take_linear_time(spark):
     ).collect()
     assert time.time() - start < 60
     assert got[0].s == 1 and got[3].s == n
+
+
+def test_bare_carriage_return_ends_no_sentence(spark):
+    rows = [("uno dos\rtres cuatro",), ("uno\r\ndos",), ("a\n \r \nb",), ("\r",), ("",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select(
+        X.sentence_split(F.col("t")).alias("s"), X.sentence_count(F.col("t")).alias("n"), X.content_lines(F.array("t")).alias("l")).collect()
+    assert [r.s for r in got] == [["uno dos\rtres cuatro"], ["uno", "dos"], ["a", "b"], [], [], None]
+    assert [r.n for r in got] == [1, 2, 2, 0, 0, None]
+    assert [r.l for r in got[:5]] == [r.s for r in got[:5]]
