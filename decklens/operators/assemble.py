@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from decklens import constants as K
 from decklens.functions import text as X
@@ -29,15 +30,35 @@ def _leaf(shape: Column) -> Column:
     return F.struct(*[shape[f].alias(f) for f in _LEAF])
 
 
-def flatten_groups(shapes: Column, depth: int = 1) -> Column:
-    """Leaf shapes in drawing order; a ``GROUP`` is replaced by its ``children``.
+def nesting(shapes: T.ArrayType) -> int:
+    """Number of levels of ``children`` that an array of shapes has."""
+    fields = {f.name: f.dataType for f in shapes.elementType.fields}
+    return 1 + nesting(fields["children"]) if "children" in fields else 0
 
-    ``depth`` is the number of nesting levels the schema has.
+
+def flatten_shapes(slides: DataFrame, column: str = "shapes") -> DataFrame:
+    """Slides whose nested shapes are replaced by their leaves, at whatever depth the schema has."""
+    return slides.withColumn(column, flatten_groups(F.col(column), nesting(slides.schema[column].dataType)))
+
+
+def leaf_rows(rows: DataFrame) -> DataFrame:
+    """Shape rows of any depth to leaf rows for :func:`gather_shapes`.
+
+    ``path`` (``array<int>``) holds the positions from the slide down to the shape. ``GROUP`` rows go;
+    arrays compare entry by entry, so the path is the drawing order ``z``.
+    """
+    return rows.filter(~F.col("shape_type").eqNullSafe("GROUP")).withColumnRenamed("path", "z")
+
+
+def flatten_groups(shapes: Column, depth: int) -> Column:
+    """Leaf shapes in drawing order; a ``GROUP`` is replaced by its ``children``, an empty one by nothing.
+
+    ``depth`` is the number of nesting levels the schema has (:func:`nesting`).
     """
 
     def expand(shape: Column, level: int) -> Column:
         if level == 0:
-            return F.array(_leaf(shape))
+            return F.filter(F.array(_leaf(shape)), lambda s: ~s["shape_type"].eqNullSafe("GROUP"))
         inner = F.flatten(F.transform(shape["children"], lambda child: expand(child, level - 1)))
         return F.when(shape["shape_type"] == "GROUP", inner).otherwise(F.array(_leaf(shape)))
 

@@ -155,11 +155,11 @@ def check_coverage(covered: DataFrame, deck_subject: DataFrame, official: DataFr
     ``official`` holds ``(subject_id, unit, topic, subtopic)`` label rows. The stored form keeps
     reported names unchecked; here made-up names can be told apart.
     """
-    tree = official.select("subject_id", "unit", "topic", "subtopic")
+    none = F.lit(None).cast("string")
+    topics = [(none, none), (F.col("topic"), none), (F.col("topic"), F.col("subtopic"))]
+    levels = F.array(*[F.struct(t.alias("topic"), s.alias("subtopic")) for t, s in topics])
     every = (
-        tree.select("subject_id", "unit", F.lit(None).cast("string").alias("topic"), F.lit(None).cast("string").alias("subtopic"))
-        .unionByName(tree.select("subject_id", "unit", "topic", F.lit(None).cast("string").alias("subtopic")))
-        .unionByName(tree)
+        official.select("subject_id", "unit", F.explode(levels).alias("l")).select("subject_id", "unit", "l.*")
         .distinct()
         .withColumn("official", F.lit(True))
     )

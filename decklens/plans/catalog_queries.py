@@ -63,11 +63,11 @@ def _(spark, sf):
 
 @query("G3_duplicate_by_hash", """
   WITH k AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE lang = 'es' OR doc_id % 10 = 3)
-  SELECT doc_id AS file_id, sha256(text) IN (SELECT hash FROM k) AS known FROM documents WHERE lang <> 'es'""")
+  SELECT doc_id AS file_id, sha256(text) IN (SELECT hash FROM k) AS known FROM documents""")
 def _(spark, sf):
     docs = T.documents(spark, sf).select("doc_id", "lang", F.sha2("text", 256).alias("hash"))
     known = docs.filter("lang = 'es' OR doc_id % 10 = 3")
-    asked = docs.filter("lang <> 'es'").select(F.col("doc_id").alias("file_id"), "hash")
+    asked = docs.select(F.col("doc_id").alias("file_id"), "hash")
     return C.known_hash(asked, known).select("file_id", "known")
 
 
@@ -105,18 +105,26 @@ def _(spark, sf):
   known AS (SELECT hash FROM versions),
   s AS (SELECT f.*, t.version, d.subject_id, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS rn
     FROM f JOIN tops t ON t.deck_id = doc_id % 120 JOIN decks d ON d.deck_id = t.deck_id),
-  g AS (SELECT *, n_chars / 1048576.0 <= 30 AND hash NOT IN (SELECT hash FROM known) AND total_slides > 0 AND rn = 1 AS ok FROM s)
-  SELECT doc_id % 120 AS deck_id, CAST(version + row_number() OVER (PARTITION BY doc_id % 120 ORDER BY doc_id) AS INTEGER) AS version,
+  g AS (SELECT *, CASE WHEN n_chars / 1048576.0 > 30 THEN 'too_large' WHEN hash IN (SELECT hash FROM known) THEN 'duplicate'
+    WHEN total_slides = 0 THEN 'no_slides' WHEN rn > 1 THEN 'duplicate' ELSE 'accepted' END AS outcome FROM s)
+  SELECT doc_id AS file_id, outcome, doc_id % 120 AS deck_id, CAST(version + row_number() OVER (PARTITION BY doc_id % 120 ORDER BY doc_id) AS INTEGER) AS version,
     CAST(total_slides AS INTEGER) AS total_slides, 'presentaciones/' || r_name || '/doc_' || doc_id || '_v'
       || (version + row_number() OVER (PARTITION BY doc_id % 120 ORDER BY doc_id)) || '.pptx' AS path
-  FROM g JOIN region ON CAST(r_regionkey AS VARCHAR) = subject_id WHERE ok""")
+  FROM g JOIN region ON CAST(r_regionkey AS VARCHAR) = subject_id WHERE outcome = 'accepted'
+  UNION ALL SELECT doc_id, outcome, doc_id % 120, NULL, CAST(total_slides AS INTEGER), NULL FROM g WHERE outcome <> 'accepted'
+  UNION ALL SELECT doc_id, 'no_deck', doc_id % 120, NULL, CAST(total_slides AS INTEGER), NULL FROM f
+    WHERE doc_id % 120 NOT IN (SELECT deck_id FROM decks)""")
 def _(spark, sf):
     files = T.incoming_files(spark, sf).drop("subject_id").withColumn("deck_id", F.col("file_id") % 120)
-    new, _rejected = C.append_versions(
+    new, rejected = C.append_versions(
         files, T.decks(spark, sf), T.versions(spark, sf), T.course_tables(spark, sf)[0],
         F.lit("2024-01-01").cast("date"), block=128,
     )
-    return new.select("deck_id", "version", "total_slides", "path")
+    number = F.regexp_extract("path", r"doc_(\d+)_v", 1).cast("bigint").alias("file_id")
+    stored = new.select(number, F.lit("accepted").alias("outcome"), "deck_id", "version", "total_slides", "path")
+    return stored.unionByName(
+        rejected.select("file_id", F.col("reason").alias("outcome"), "deck_id", "total_slides"), allowMissingColumns=True
+    )
 
 
 @query("G6_latest_versions", f"""
@@ -152,14 +160,15 @@ def _(spark, sf):
 
 
 _TREE = """
-tops AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_nationkey % 6 <> 5),
-tree AS (SELECT CAST(r_regionkey AS VARCHAR) AS subject_id, r_name AS subject, n_nationkey AS unit_number,
-    ascii(t.c_mktsegment) AS topic_number, c.c_custkey AS subtopic_number,
-    'Unidad Temática ' || n_nationkey || '. ' || n_name AS unit,
-    n_nationkey || '.' || ascii(t.c_mktsegment) || ' ' || t.c_mktsegment AS topic,
-    n_nationkey || '.' || ascii(t.c_mktsegment) || '.' || c.c_custkey || ' ' || c.c_name AS subtopic
-  FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN tops t ON t.c_nationkey = n_nationkey
-  LEFT JOIN customer c ON c.c_nationkey = n_nationkey AND c.c_mktsegment = t.c_mktsegment AND c.c_mktsegment <> 'BUILDING')"""
+units AS (SELECT n_regionkey AS r, CAST(n_nationkey AS INTEGER) AS u, n_name FROM nation
+  UNION ALL SELECT r_regionkey, CAST(r_regionkey + 100 AS INTEGER), r_name FROM region),
+tops AS (SELECT DISTINCT c_nationkey, ascii(c_mktsegment) AS num, c_mktsegment FROM customer
+  UNION ALL SELECT n_nationkey, 0, 'REPASO' FROM nation),
+tree AS (SELECT CAST(r_regionkey AS VARCHAR) AS subject_id, r_name AS subject, u AS unit_number,
+    num AS topic_number, c.c_custkey AS subtopic_number, 'Unidad Temática ' || u || '. ' || n_name AS unit,
+    u || '.' || num || ' ' || t.c_mktsegment AS topic, u || '.' || num || '.' || c.c_custkey || ' ' || c.c_name AS subtopic
+  FROM region JOIN units ON r = r_regionkey LEFT JOIN tops t ON t.c_nationkey = u
+  LEFT JOIN customer c ON c.c_nationkey = u AND c.c_mktsegment = t.c_mktsegment)"""
 
 
 @query("G10_syllabus_tree", f"WITH {_TREE} SELECT * FROM tree ORDER BY unit_number, topic_number, subtopic_number")

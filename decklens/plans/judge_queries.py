@@ -256,7 +256,7 @@ covered AS (
     unnest(CASE WHEN doc_id % 4 = 0 THEN ['BUILDING', 'INVENTADO'] ELSE ['BUILDING'] END) AS seg
   FROM documents JOIN nation ON n_nationkey % 7 = doc_id % 7),
 named AS (SELECT deck_id, subject_id, unit, nk || '.' || ascii(seg) || ' ' || seg AS topic, nk, seg FROM covered),
-topics AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_nationkey % 6 <> 5),
+topics AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer UNION ALL SELECT n_nationkey, 'REPASO' FROM nation),
 checked AS (
   SELECT n.deck_id, n.subject_id, n.unit, n.topic,
     t.c_nationkey IS NOT NULL AND CAST(x.n_regionkey AS VARCHAR) = n.subject_id AS official

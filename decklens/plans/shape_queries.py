@@ -104,12 +104,28 @@ def _(spark, sf):
         )
 
     grouped = F.transform(F.sequence(F.lit(1), F.size("shapes"), F.lit(4)), group)
-    flat = shapes.filter(F.size("shapes") > 0).select("deck_id", grouped.alias("gs")).select(
-        "deck_id", F.posexplode(A.flatten_groups(F.col("gs"))).alias("z", "s")
-    )
+    nested = shapes.filter(F.size("shapes") > 0).select("deck_id", grouped.alias("gs"))
+    flat = A.flatten_shapes(nested, "gs").select("deck_id", F.posexplode("gs").alias("z", "s"))
     return flat.select("deck_id", "z", "s.name")
 
 
+@query("A7_leaf_paths", f"WITH {_SHAPES} SELECT deck_id, CAST(z AS INTEGER) AS z, name FROM shapes")
+def _(spark, sf):
+    """Shape i lies in i % 4 groups, each of which has a row of its own; rows come unordered."""
+    i = F.col("i")
+    path = F.concat(F.array(i), F.array_repeat(F.lit(0), i % 4))
+    paths = F.transform(F.sequence(F.lit(1), i % 4 + 1), lambda n: F.slice(path, F.lit(1), n))
+    placed = T.page_shapes(spark, sf).select(
+        "deck_id", "slide_number", "slide_height", F.posexplode("shapes").alias("i", "s")
+    ).select("*", F.explode(paths).alias("path")).select(
+        "deck_id", "slide_number", "slide_height", "path", F.col("s").withField(
+            "shape_type", F.when(F.size("path") <= i % 4, F.lit("GROUP")).otherwise(F.col("s.shape_type"))
+        ).alias("s"),
+    ).select("deck_id", "slide_number", "slide_height", "path", "s.*")
+    slides = A.gather_shapes(A.leaf_rows(placed))
+    return slides.select("deck_id", F.posexplode("shapes").alias("z", "s")).select("deck_id", "z", "s.name")
+
+
 _LINES = f"""
 ls AS (SELECT doc_id, {S.lines('text')} AS l FROM documents),
 rows AS (SELECT doc_id, unnest(l) AS txt, unnest(range(1, len(l) + 1)) AS i, len(l) AS n FROM ls),
@@ -152,14 +168,15 @@ def _(spark, sf):
 
 # --- classifier -------------------------------------------------------------------------------------
 
-#: titles and bodies vary by rule, so that keywords, years, links, bullets and quotes occur
+#: titles and bodies vary by rule, so that keywords, years, links, bullets and quotes occur; some slides
+#: are followed by a short one under the negative number
 _VARIED = f"""{S.SLIDES},
 v0 AS (SELECT deck_id, slide_number, (deck_id * 5 + slide_number * 3) % 29 AS k, title, content FROM slides),
+v1 AS (FROM v0 UNION ALL SELECT deck_id, -slide_number, k, title, ['Texto breve'] FROM v0 WHERE k IN (2, 4, 7, 8, 9, 11)),
 v AS (SELECT deck_id, slide_number, k, CASE WHEN k = 1 THEN 'Índice general' WHEN k = 2 THEN 'Tema 3' WHEN k = 3 THEN 'REFERENCIAS Bibliográficas'
       WHEN k = 4 THEN '¿Preguntas?' WHEN k = 5 THEN 'Bienvenidos' WHEN k = 6 THEN 'Agendas' WHEN k IN (7, 11) THEN '' ELSE title END AS title,
-    list_transform(CASE WHEN k IN (2, 4, 7, 8, 9, 11) THEN [coalesce(left(content[1], 40), '')] ELSE content END,
-      lambda c: CASE WHEN k = 8 THEN c || ' (1999)' WHEN k = 9 THEN 'WWW.x.org ' || c WHEN k = 10 THEN '• ' || c
-        WHEN k = 12 THEN '«' || c || '»' ELSE c END) AS content FROM v0),
+    list_transform(content, lambda c: CASE WHEN k = 8 THEN c || ' (1999)' WHEN k = 9 THEN 'WWW.x.org ' || c WHEN k = 10 THEN '• ' || c
+        WHEN k = 12 THEN '«' || c || '»' ELSE c END) AS content FROM v1),
 f0 AS (SELECT *, list_filter(list_transform(string_split(array_to_string(content, chr(10)), chr(10)), lambda l: trim(l)), lambda l: l <> '') AS ls FROM v),
 f1 AS (SELECT *, {S.plain_words("array_to_string(ls, ' ')")} AS w, {S.plain_words('title')} AS w_title,
     len(list_filter(ls, lambda l: regexp_matches(l, '^\\s*([•\\-*]|\\d+[.)])\\s+'))) AS bullets,
@@ -178,8 +195,11 @@ def _varied(spark, sf):
     title = F.when(F.lit(False), F.lit(""))
     for n, t in titles.items():
         title = title.when(k == n, F.lit(t))
-    first = F.coalesce(F.left(F.get("content", 0), F.lit(40)), F.lit(""))
-    short = F.when(k.isin(2, 4, 7, 8, 9, 11), F.array(first)).otherwise(F.col("content"))
+    whole = F.struct("slide_number", "content", "image_only")
+    short = F.struct(
+        (-F.col("slide_number")).alias("slide_number"), F.array(F.lit("Texto breve")).alias("content"), F.lit(False).alias("image_only")
+    )
+    both = F.when(k.isin(2, 4, 7, 8, 9, 11), F.array(whole, short)).otherwise(F.array(whole))
 
     def changed(c):
         return (
@@ -187,9 +207,12 @@ def _varied(spark, sf):
             .when(k == 10, F.concat(F.lit("• "), c)).when(k == 12, F.concat(F.lit("«"), c, F.lit("»"))).otherwise(c)
         )
 
-    return T.slides(spark, sf).select(
-        "deck_id", "slide_number", title.otherwise(F.col("title")).alias("title"),
-        F.transform(short, changed).alias("content"), "image_only",
+    varied = T.slides(spark, sf).select(
+        "deck_id", k.alias("k"), title.otherwise(F.col("title")).alias("title"), F.explode(both).alias("s")
+    )
+    k = F.col("k")
+    return varied.select(
+        "deck_id", "s.slide_number", "title", F.transform("s.content", changed).alias("content"), "s.image_only"
     )
 
 

@@ -126,7 +126,10 @@ def restructure_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def course_tables(spark: SparkSession, sf_dir: str):
-    """Subjects, units, topics and subtopics: regions, nations, market segments, customers."""
+    """Subjects, units, topics and subtopics: regions, nations, market segments, customers.
+
+    Each region has a unit without topics, each nation a topic without subtopics.
+    """
     region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
     subjects = region.select(
         F.col("r_regionkey").cast("string").alias("subject_id"), F.col("r_name").alias("name"),
@@ -136,14 +139,20 @@ def course_tables(spark: SparkSession, sf_dir: str):
         F.col("n_nationkey").cast("string").alias("unit_id"),
         F.col("n_regionkey").cast("string").alias("subject_id"),
         F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("number"),
-    )
+    ).unionByName(region.select(
+        F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("unit_id"),
+        F.col("r_regionkey").cast("string").alias("subject_id"),
+        F.col("r_name").alias("name"), (F.col("r_regionkey") + 100).cast("int").alias("number"),
+    ))
     topic_id = F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment")
-    numbered = customer.filter(F.col("c_nationkey") % 6 != 5)
-    topics = numbered.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("first")).select(
+    topics = customer.select("c_nationkey", "c_mktsegment").distinct().select(
         topic_id.alias("topic_id"), F.col("c_nationkey").cast("string").alias("unit_id"),
         F.col("c_mktsegment").alias("name"), F.ascii("c_mktsegment").alias("number"),
-    )
-    subtopics = numbered.filter(F.col("c_mktsegment") != "BUILDING").select(
+    ).unionByName(nation.select(
+        F.concat(F.col("n_nationkey").cast("string"), F.lit("/REPASO")).alias("topic_id"),
+        F.col("n_nationkey").cast("string").alias("unit_id"), F.lit("REPASO").alias("name"), F.lit(0).alias("number"),
+    ))
+    subtopics = customer.select(
         F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("subtopic_id"), topic_id.alias("topic_id"),
         F.col("c_name").alias("name"), F.col("c_custkey").alias("number"),
     )

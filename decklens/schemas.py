@@ -23,7 +23,7 @@ SLIDE = _struct(
 #: one deck as an extractor delivers it
 DECK_EXTRACT = _struct(deck_id=_s, filename=_s, total_slides=_i, slides=T.ArrayType(SLIDE))
 
-#: one leaf shape, or a group whose children follow in ``children`` (two more levels)
+#: one leaf shape; nested input adds ``children`` to it, leaf rows a ``path``
 _LEAF = dict(
     shape_type=_s, is_title=_b, is_placeholder=_b, has_image=_b, name=_s, text=_s, top=_l,
     run_sizes=T.ArrayType(_i),

@@ -91,6 +91,20 @@ def test_groups_in_order(spark):
     df = spark.createDataFrame([([shape("a") + (None,), shape(kind="GROUP") + ([shape("b") + (None,), inner, shape("e") + (None,)],), shape("f") + (None,)],)], schema)
     got = df.select(F.transform(A.flatten_groups(F.col("gs"), 2), lambda s: s["text"]).alias("t")).first().t
     assert got == list("abcdef")
+    flat = A.flatten_shapes(df, "gs").first().gs
+    assert [s.text for s in flat] == list("abcdef")
+    empty = spark.createDataFrame([([shape(kind="GROUP") + ([shape(kind="GROUP") + (None,)],), shape("x") + (None,)],)], schema)
+    assert [s.text for s in A.flatten_shapes(empty, "gs").first().gs] == ["x"]
+
+
+def test_leaf_rows_of_any_depth(spark):
+    rows = [([1], "GROUP", None), ([1, 0], "GROUP", None), ([1, 0, 2], "TEXT_BOX", "b"), ([1, 0, 0, 0, 0], "TEXT_BOX", "a"), ([2], None, "c"), ([10], "TEXT_BOX", "d")]
+    placed = spark.createDataFrame(
+        [("d", 1, 100, p, *shape(t, kind=k)) for p, k, t in reversed(rows)],
+        f"deck_id string, slide_number int, slide_height bigint, path array<int>, {SHAPE}",
+    )
+    got = A.gather_shapes(A.leaf_rows(placed)).first().shapes
+    assert [s.text for s in got] == ["a", "b", "c", "d"]
 
 
 # --- classifier -----------------------------------------------------------------------------------
