@@ -59,7 +59,7 @@ def flatten_groups(shapes: Column, depth: int) -> Column:
     def expand(shape: Column, level: int) -> Column:
         if level == 0:
             return F.filter(F.array(_leaf(shape)), lambda s: ~s["shape_type"].eqNullSafe("GROUP"))
-        inner = F.flatten(F.transform(shape["children"], lambda child: expand(child, level - 1)))
+        inner = F.coalesce(F.flatten(F.transform(shape["children"], lambda child: expand(child, level - 1))), F.array())
         return F.when(shape["shape_type"] == "GROUP", inner).otherwise(F.array(_leaf(shape)))
 
     return F.flatten(F.transform(shapes, lambda s: expand(s, depth)))
