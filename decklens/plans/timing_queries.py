@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from decklens.operators import catalog as C
 from decklens.operators import timing as TM
 from decklens.plans import tables as T
 from decklens.plans.registry import query
@@ -250,6 +251,35 @@ def _(spark, sf):
     return TM.report_times(TM.parse_time_reports(reports)).select("deck_id", "group", "slide", "seconds")
 
 
+@query("I4_store_time_report", f"""
+  WITH {_TICKS},
+  t AS (SELECT deck_id, "group", slide, CAST(count(*) AS INTEGER) AS seconds, min(ts) AS seen FROM ticks GROUP BY ALL)
+  SELECT deck_id || '/2' AS version_id, 'deck_' || deck_id || '.pptx' AS file_name, "group", slide, seconds,
+    CAST(row_number() OVER (PARTITION BY deck_id, "group" ORDER BY seen, slide) - 1 AS INTEGER) AS place FROM t
+  UNION ALL SELECT DISTINCT deck_id || '/1', NULL, NULL, NULL, NULL, NULL FROM ticks""")
+def _(spark, sf):
+    """Reports of all decks, stored at the newest of two versions and read back."""
+    ticks = T.ticks(spark, sf)
+    dwell = L.slide_dwell(ticks)
+    sessions = L.merge_sessions(None, L.session_rows(dwell, T.plans(ticks)))
+    decks = ticks.select("deck_id").distinct().withColumn(
+        "file_name", F.concat(F.lit("deck_"), F.col("deck_id").cast("string"), F.lit(".pptx"))
+    )
+    versions = decks.select("deck_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("version")).select(
+        "deck_id", "version", F.concat_ws("/", F.col("deck_id").cast("string"), F.col("version").cast("string")).alias("version_id"),
+        F.lit(None).cast("string").alias("time_report"),
+    )
+    reports = L.deck_reports(sessions, dwell, decks).join(C.latest_versions(versions, "version_id"), "deck_id")
+    stored = C.update_time_reports(versions, reports)
+    form = "archivo string, grupos map<string, struct<tiempos_por_slide: map<string, int>>>"
+    groups = stored.select("version_id", F.from_json("time_report", form).alias("r")).select(
+        "version_id", F.col("r.archivo").alias("file_name"), F.explode_outer("r.grupos").alias("group", "g")
+    )
+    return groups.select(
+        "version_id", "file_name", "group", F.posexplode_outer("g.tiempos_por_slide").alias("place", "slide", "seconds")
+    ).withColumn("slide", F.col("slide").cast("int"))
+
+
 @query("I5_resume_position", f"""
   WITH {_TICKS},
   g AS (SELECT deck_id, "group", arg_max(slide, ts) AS last_slide FROM ticks GROUP BY ALL)

@@ -199,6 +199,60 @@ def _seconds_map() -> Column:
     )))
 
 
+def _visited_map() -> Column:
+    """Seconds per slide in the order of first visits."""
+    visits = F.array_sort(F.collect_list(F.struct("first_ts", "slide", F.col("seconds").cast("int").alias("v"))))
+    return F.map_from_entries(F.transform(visits, lambda e: F.struct(e["slide"].cast("string").alias("k"), e["v"].alias("v"))))
+
+
+def _session_record() -> Column:
+    return F.struct(
+        F.col("session_number").cast("string").alias("k"),
+        F.struct(
+            F.col("planned").cast("int").alias("planeado_seg"), F.col("duration").cast("int").alias("duracion_seg"),
+            "tiempos_slide",
+        ).alias("v"),
+    )
+
+
+def _by(field: str):
+    return lambda a, b: F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0)
+
+
+def _group_record() -> Column:
+    return F.struct(
+        F.col("last_slide").cast("int").alias("ultima_diapositiva"),
+        F.col("total_seconds").cast("int").alias("tiempo_total_seg"),
+        "tiempos_por_slide",
+        "historial_sesiones",
+    )
+
+
+def deck_reports(sessions: DataFrame, dwell: DataFrame, decks: DataFrame) -> DataFrame:
+    """``(deck_id, time_report)``: one report with all groups of the deck, as a version stores it.
+
+    Sessions stand by number, groups by name, slides in the order of their first visit, so the same
+    rows give the same text. ``decks`` brings ``file_name``. The text is one value of one version and
+    grows with the sessions of its deck; for groups of any size use :func:`time_reports`.
+    """
+    keys = ["deck_id", "group"]
+    entries = F.array_sort(F.collect_list(F.struct("session_number", _session_record().alias("r"))), _by("session_number"))
+    by_session = (
+        sessions.join(dwell.groupBy(*SESSION).agg(_visited_map().alias("tiempos_slide")), SESSION)
+        .groupBy(*keys).agg(F.map_from_entries(F.transform(entries, lambda e: e["r"])).alias("historial_sesiones"))
+    )
+    by_slide = (
+        dwell.groupBy(*keys, "slide").agg(F.sum("seconds").alias("seconds"), F.min("first_ts").alias("first_ts"))
+        .groupBy(*keys).agg(_visited_map().alias("tiempos_por_slide"))
+    )
+    groups = by_session.join(by_slide, keys).join(group_totals(sessions), keys)
+    entry = F.struct(F.col("group").alias("k"), _group_record().alias("v"))
+    whole = groups.groupBy("deck_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), _by("k"))).alias("grupos"))
+    return whole.join(decks.select("deck_id", F.col("file_name").alias("archivo")), "deck_id").select(
+        "deck_id", F.to_json(F.struct("archivo", "grupos")).alias("time_report")
+    )
+
+
 def time_reports(sessions: DataFrame, dwell: DataFrame) -> DataFrame:
     """The stored report form: ``(deck_id, group, part, time_report)`` as JSON text.
 
@@ -207,13 +261,7 @@ def time_reports(sessions: DataFrame, dwell: DataFrame) -> DataFrame:
     in every part. (The slides of a single session are bounded by its seconds.)
     """
     keys = ["deck_id", "group", "part"]
-    record = F.struct(
-        F.col("session_number").cast("string").alias("k"),
-        F.struct(
-            F.col("planned").cast("int").alias("planeado_seg"), F.col("duration").cast("int").alias("duracion_seg"),
-            "tiempos_slide",
-        ).alias("v"),
-    )
+    record = _session_record()
     by_session = (
         sessions.join(dwell.groupBy(*SESSION).agg(_seconds_map().alias("tiempos_slide")), SESSION)
         .groupBy("deck_id", "group", F.floor((F.col("session_number") - 1) / REPORT_PART).alias("part"))
@@ -226,12 +274,7 @@ def time_reports(sessions: DataFrame, dwell: DataFrame) -> DataFrame:
     )
     joined = by_session.join(by_slide, keys, "full").join(group_totals(sessions), ["deck_id", "group"])
     return joined.select(*keys, F.to_json(F.struct(
-        F.create_map(F.col("group"), F.struct(
-            F.col("last_slide").cast("int").alias("ultima_diapositiva"),
-            F.col("total_seconds").cast("int").alias("tiempo_total_seg"),
-            "tiempos_por_slide",
-            "historial_sesiones",
-        )).alias("grupos"),
+        F.create_map(F.col("group"), _group_record()).alias("grupos"),
     )).alias("time_report"))
 
 
