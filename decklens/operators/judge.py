@@ -35,14 +35,17 @@ _ANSWER = T.StructType([
 # --- evaluation ---------------------------------------------------------------------------------
 
 
-def payload_slides(slides: DataFrame) -> DataFrame:
-    """What the judge is told of each slide: title, shortened body, shared keywords, cosine."""
+def payload_slides(slides: DataFrame, max_chars: int | None = K.PAYLOAD_CHARS) -> DataFrame:
+    """What the judge is told of each slide: title, body, shared keywords, cosine.
+
+    Bodies longer than ``max_chars`` are shortened with an ellipsis; None keeps them whole.
+    """
     body = X.strip_person_names(X.body_text(F.col("content")))
     title = X.strip(F.col("title"))
     told = M.title_overlap(slides).select(
         *_KEYS,
         F.when(title != "", title).otherwise(F.lit(K.NO_TITLE)).alias("titulo"),
-        X.truncate(body).alias("contenido_truncado"),
+        (body if max_chars is None else X.truncate(body, max_chars)).alias("contenido_truncado"),
         "overlap",
     )
     similarity = SIM.previous_similarity(slides)
@@ -52,11 +55,14 @@ def payload_slides(slides: DataFrame) -> DataFrame:
     )
 
 
-def judge_payload(slides: DataFrame, syllabus: DataFrame | None = None) -> DataFrame:
+def judge_payload(
+    slides: DataFrame, syllabus: DataFrame | None = None, max_chars: int | None = K.PAYLOAD_CHARS
+) -> DataFrame:
     """``(deck_id, part, batch_data, temario)``: one JSON array of slides per deck part.
 
     Shared keywords are a list, or the word ``Ninguno`` when there are none. ``syllabus`` may
-    bring ``(deck_id, temario)`` with the course tree as JSON.
+    bring ``(deck_id, temario)`` with the course tree as JSON. ``max_chars`` as in
+    :func:`payload_slides`.
     """
     # The keyword field is a list or a plain word, so both forms are written and the right one kept.
     shared = F.when(F.size("overlap") > 0, F.to_json("overlap")).otherwise(F.lit(f'"{K.NO_OVERLAP}"'))
@@ -69,7 +75,7 @@ def judge_payload(slides: DataFrame, syllabus: DataFrame | None = None) -> DataF
         F.lit('},"nts_diagnostico":{"similitud_coseno":'), F.col("similitud_coseno").cast("string"),
         F.lit("}}"),
     )
-    rows = payload_slides(slides).select(
+    rows = payload_slides(slides, max_chars).select(
         "deck_id", part_of(F.col("slide_number")).alias("part"),
         F.struct("slide_number", entry.alias("entry")).alias("e"),
     )
@@ -192,15 +198,18 @@ def unit_coverage(checked: DataFrame, official: DataFrame) -> DataFrame:
 # --- restructuring ------------------------------------------------------------------------------------
 
 
-def restructure_payload(scored: DataFrame, with_feedback: bool = True) -> DataFrame:
+def restructure_payload(
+    scored: DataFrame, with_feedback: bool = True, max_chars: int | None = K.RESTRUCTURE_CHARS
+) -> DataFrame:
     """``(deck_id, part, batch_data)``: content slides to rewrite, as JSON per deck part.
 
     The feedback to correct is part of the payload; without it the receiver could not tell
-    which metric failed.
+    which metric failed. Texts end after ``max_chars`` characters; None keeps them whole.
     """
+    text = F.col("body_text")
     fields = [
         F.col("slide_number"),
-        F.substring("body_text", 1, K.RESTRUCTURE_CHARS).alias("contenido_original"),
+        (text if max_chars is None else F.substring(text, 1, max_chars)).alias("contenido_original"),
         F.col("needs_recommendation").alias("requiere_reestructuracion"),
     ] + ([F.col("feedback").alias("feedback_a_corregir")] if with_feedback else [])
     rows = scored.filter("is_content").select(

@@ -108,19 +108,20 @@ _PERSON = "[A-ZÁÉÍÓÚ][a-záéíóú]{2,}\\s+[A-ZÁÉÍÓÚ][a-záéíóú]{
 _SIMS = TQ._cosine_sql(S.SLIDES + ",", "slides", "slide_text").rsplit("SELECT deck_id, slide_number, CASE", 1)[0]
 
 
-@query("F1_judge_payload", f"""
+_PAYLOAD = f"""
   {_SIMS},
   told AS (SELECT deck_id, slide_number, title, trim(regexp_replace(body_text, '{_PERSON}', '', 'g')) AS body FROM slides),
   k AS (SELECT *, list_sort(list_intersect(
     list_filter({S.tokens('title', 4)}, lambda t: NOT list_contains({S.TITLE_STOP}, t)),
     list_filter({S.tokens('body', 4)}, lambda t: NOT list_contains({S.TITLE_STOP}, t)))) AS o FROM told)
   SELECT k.deck_id, k.slide_number, CASE WHEN title = '' THEN '[SIN TÍTULO]' ELSE title END AS titulo,
-    CASE WHEN length(body) > 400 THEN substring(body, 1, 400) || '...' ELSE body END AS contenido_truncado,
+    {{body}} AS contenido_truncado,
     CASE WHEN len(o) > 0 THEN '["' || array_to_string(o, '","') || '"]' ELSE 'Ninguno' END AS solapamiento,
     CASE WHEN has_previous THEN {rnd('cosine', 4)} ELSE 1.0 END AS similitud
-  FROM k JOIN sims s ON s.deck_id = k.deck_id AND s.slide_number = k.slide_number""")
-def _(spark, sf):
-    payload = J.judge_payload(T.slides(spark, sf))
+  FROM k JOIN sims s ON s.deck_id = k.deck_id AND s.slide_number = k.slide_number"""
+
+
+def _told(payload):
     item = (
         "array<struct<slide_number:int,titulo:string,contenido_truncado:string,"
         "hss_diagnostico:struct<solapamiento_lexico:string>,nts_diagnostico:struct<similitud_coseno:double>>>"
@@ -132,16 +133,39 @@ def _(spark, sf):
     )
 
 
-@query("F5_restructure_payload", f"""
-  WITH {_SCORED}
-  SELECT deck_id, slide_number, substring(body_text, 1, 1500) AS contenido_original,
-    needs_recommendation AS requiere_reestructuracion FROM scored WHERE is_content""")
+@query("F1_judge_payload", _PAYLOAD.replace("{body}", "CASE WHEN length(body) > 400 THEN substring(body, 1, 400) || '...' ELSE body END"))
 def _(spark, sf):
-    payload = J.restructure_payload(SC.combined_feedback(_scored(spark, sf)))
+    return _told(J.judge_payload(T.slides(spark, sf)))
+
+
+@query("F1_judge_payload_whole", _PAYLOAD.replace("{body}", "body"))
+def _(spark, sf):
+    return _told(J.judge_payload(T.slides(spark, sf), max_chars=None))
+
+
+def _to_rewrite(text):
+    return f"""
+  WITH {_SCORED}
+  SELECT deck_id, slide_number, {text} AS contenido_original,
+    needs_recommendation AS requiere_reestructuracion FROM scored WHERE is_content"""
+
+
+def _rewritable(spark, sf, **settings):
+    payload = J.restructure_payload(SC.combined_feedback(_scored(spark, sf)), **settings)
     item = "array<struct<slide_number:int,contenido_original:string,requiere_reestructuracion:boolean>>"
     return payload.select("deck_id", F.explode(F.from_json("batch_data", item)).alias("e")).select("deck_id", "e.*")
 
 
+@query("F5_restructure_payload", _to_rewrite("substring(body_text, 1, 1500)"))
+def _(spark, sf):
+    return _rewritable(spark, sf)
+
+
+@query("F5_restructure_payload_whole", _to_rewrite("body_text"))
+def _(spark, sf):
+    return _rewritable(spark, sf, max_chars=None)
+
+
 # --- rewriting --------------------------------------------------------------------------------------
 
 _MATERIAL = """
