@@ -201,8 +201,13 @@ def id_and_max_version(asked: DataFrame, decks: DataFrame, versions: DataFrame)
     )
 
 
-def version_history(decks: DataFrame, versions: DataFrame) -> DataFrame:
-    """All versions of each deck, newest first. The sort is a range shuffle, not one task."""
+def version_history(decks: DataFrame, versions: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """All versions of each deck, newest first; only of the decks in ``asked`` (``deck_id``) if given.
+
+    The sort is a range shuffle, not one task.
+    """
+    if asked is not None:
+        decks = decks.join(asked.select("deck_id"), "deck_id", "left_semi")
     return (
         decks.join(versions, "deck_id")
         .select("deck_id", "file_name", "version", "loaded", "total_slides", "analysed", "pdf_path")

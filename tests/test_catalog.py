@@ -151,3 +151,13 @@ def test_document_adapter(spark):
     df = spark.createDataFrame([(1, "Título\na\n\n b \nc\nd\ne"), (2, " \n "), (3, " ".join(["w"] * 26)), (4, "x" * 181)], "doc_id int, text string")
     got = {(r.deck_id, r.slide_number): (r.title, r.content) for r in SL.slides_from_documents(df).collect()}
     assert got == {(1, 1): ("Título", ["a", "b"]), (1, 2): ("c", ["d", "e"]), (3, 1): ("", [" ".join(["w"] * 26)]), (4, 1): ("", ["x" * 181])}
+
+
+def test_history_of_asked_decks(spark):
+    decks = spark.createDataFrame([("a", "x"), ("b", "y")], "deck_id string, file_name string")
+    versions = spark.createDataFrame(
+        [("a", 1), ("b", 1), ("b", 2)], "deck_id string, version int"
+    ).selectExpr("*", "date'2024-01-01' AS loaded", "3 AS total_slides", "0 AS analysed", "'p' AS pdf_path")
+    asked = spark.createDataFrame([("b",), ("b",), ("z",)], "deck_id string")
+    assert [(r.deck_id, r.version) for r in C.version_history(decks, versions, asked).collect()] == [("b", 2), ("b", 1)]
+    assert C.version_history(decks, versions).count() == 3
