@@ -1,193 +1,176 @@
 """LM scoring by cross-entropy difference.
 
-Two n-gram models, one of a target set and one of all documents as background, share a vocabulary,
-a set of modelled bigrams and the smoothing; background counts are scaled to the target's number of
-tokens, so that smoothing weighs the same in both. A document's score is the mean over its tokens of
-target loss less background loss (nats): the lower, the more it reads like the target.
-
-All counts are taken over all documents and added up by Spark. The model that is sent to the tasks
-is bounded by MAX_WORDS, FREQUENT and MAX_BIGRAMS, whatever the corpus; the least frequent words
-and bigrams within these bounds go together with all others of their count.
+Two n-gram models, one of a target set and one of all documents as background, share a vocabulary
+and the smoothing; background counts are scaled to the target's number of tokens, so that smoothing
+weighs the same in both. A document's score is the mean over its tokens of target loss less
+background loss (nats): the lower, the more it reads like the target.
+
+Every word and every bigram of the corpus is modelled: the counts are a table that grows with the
+input and is never whole in one place. Documents are dealt into blocks of about BLOCK_BYTES of text.
+A block's distinct n-grams are counted first, the counts of all blocks are added up by n-gram, and
+each block gets the sums of its own n-grams back; so a frequent n-gram is one row a block. A sum of
+one occurrence is not sent back: it is what an n-gram without a sum has.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest as digest
 
 from decklens.llm.common import as_texts, measured, pieces, slices, staged
 
-MAX_WORDS = 50_000
-#: Bigrams are modelled between the so many most frequent words.
-FREQUENT = 4096
-MAX_BIGRAMS = 1_000_000
+#: Text bytes of a block of documents.
+BLOCK_BYTES = 16 << 20
 #: Smoothing: additive for words, Dirichlet weight of the word model for bigrams.
 ALPHA = 0.5
 MU = 50.0
-#: Distinct words or bigrams that a task holds before it passes their counts on.
-HELD = 300_000
+#: Tokens that a task holds before it passes their counts on, and words whose codes it remembers.
+HELD = 4_000_000
+KNOWN = 300_000
+#: Rows of counts in one Arrow batch.
+TOGETHER = 200_000
+_BEFORE, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def tokens(text: str) -> list[str]:
     return text.lower().split()
 
 
+class Codes(dict):
+    """64-bit codes of words; only those met first are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        code = digest(word.encode())
+        if len(self) < KNOWN:
+            self[word] = code
+        return code
+
+
 @dataclass(frozen=True)
-class Shared:
-    """Vocabulary (word -> id by frequency, 0 is any other word) and the sorted modelled bigrams."""
+class Grams:
+    """Keys of the n-grams of some texts: of each word, of the word as a predecessor, of each bigram."""
 
-    words: dict[str, int]
-    bigrams: np.ndarray
+    text: np.ndarray  # number of the text that a token is in
+    words: np.ndarray
+    at: np.ndarray  # places of tokens that have a predecessor in their text
+    before: np.ndarray
+    pairs: np.ndarray
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all tokens, and the number of the text that each is in."""
+    @classmethod
+    def of(cls, texts: list[str], codes: Codes) -> Grams:
         rows = [tokens(t) for t in texts]
-        get = self.words.get
-        flat = np.fromiter((get(w, 0) for row in rows for w in row), np.int64, sum(map(len, rows)))
-        return flat, np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        get = codes.__getitem__
+        words = np.fromiter((get(w) for row in rows for w in row), np.uint64, sum(map(len, rows)))
+        text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at = np.flatnonzero(text[1:] == text[:-1]) + 1
+        first = words[at - 1]
+        return cls(text, words, at, first * _BEFORE, first * _FIRST + words[at] * _SECOND)
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(block, word, key, n) of ``rows`` (block, text): n-grams counted within each task and block."""
 
-    def pairs(self, ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of tokens that end a modelled bigram, and which one."""
-        at, key = frequent_pairs(ids, text)
-        if not len(self.bigrams):
-            return at[:0], key[:0]
-        found = np.minimum(np.searchsorted(self.bigrams, key), len(self.bigrams) - 1)
-        hit = self.bigrams[found] == key
-        return at[hit], found[hit]
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held, size, now = Codes(), [], 0, None
+
+        def passed():
+            for word in (True, False):
+                parts = [x for g in held for x in ((g.words,) if word else (g.before, g.pairs))]
+                keys, n = np.unique(np.concatenate(parts), return_counts=True)
+                for i in range(0, len(keys), TOGETHER):
+                    k = keys[i : i + TOGETHER].view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(k), now, np.int64)), pa.array(np.full(len(k), word)), pa.array(k), pa.array(n[i : i + TOGETHER])],
+                        ["block", "word", "key", "n"])
 
+        for b in slices(batches):
+            blocks = b.column("block").to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for i, j in zip(starts, starts[1:]):
+                if held and (blocks[i] != now or size > HELD):
+                    yield from passed()
+                    held, size = [], 0
+                now = int(blocks[i])
+                held.append(Grams.of(as_texts(b.column("text").slice(i, j - i)), codes))
+                size += len(held[-1].words)
+        if held:
+            yield from passed()
 
-def frequent_pairs(ids: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose token and predecessor in the same text are frequent words, and the pair's key."""
-    if len(ids) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = ids[:-1], ids[1:]
-    at = np.flatnonzero((a > 0) & (b > 0) & (a <= FREQUENT) & (b <= FREQUENT) & (text[:-1] == text[1:]))
-    return at + 1, a[at] * (FREQUENT + 1) + b[at]
+    return rows.select("block", "text").mapInArrow(of, "block long, word boolean, key long, n long")
 
 
 @dataclass(frozen=True)
-class Model:
-    """Losses of one corpus over the shared vocabulary."""
+class Rates:
+    """Smoothed losses of one corpus from counts of n-grams."""
 
-    word_loss: np.ndarray
-    backoff_loss: np.ndarray  # of a word's loss after a frequent word, when the bigram has no count
-    bigram: np.ndarray  # counts of the modelled bigrams
-    kept: np.ndarray  # counts of modelled bigrams by first word
+    tokens: float  # after scaling
+    size: int  # of the vocabulary
+    scale: float
 
-    @classmethod
-    def of(cls, words: np.ndarray, bigram: np.ndarray, shared: Shared) -> Model:
-        p = (words + ALPHA) / (words.sum() + ALPHA * len(words))
-        first = shared.bigrams // (FREQUENT + 1)
-        kept = np.bincount(first, bigram, FREQUENT + 1) if len(first) else np.zeros(FREQUENT + 1)
-        return cls(-np.log(p), -np.log(MU / (kept + MU)), bigram, kept)
-
-    def losses(self, ids: np.ndarray, text: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """Loss of every token; the first of a text, and one after a rare word, by the word alone."""
-        loss = self.word_loss[ids]
-        before = ids[:-1]
-        after = np.flatnonzero((text[:-1] == text[1:]) & (before > 0) & (before <= FREQUENT)) + 1 if len(ids) > 1 else np.zeros(0, int)
-        own = np.exp(-self.word_loss[ids[at]])
-        loss[after] += self.backoff_loss[ids[after - 1]]
-        loss[at] = -np.log((self.bigram[which] + MU * own) / (self.kept[ids[at - 1]] + MU))
-        return loss
-
-
-def _bounded(counts: DataFrame, key: str, most: int):
-    """Rows of (key, n) by descending n, then key: all down to the lowest n that keeps within ``most``."""
-    held, least = 0, None
-    # Each count is one row at least, so that no more than ``most`` counts can matter.
-    for r in counts.groupBy("n").count().orderBy(F.desc("n")).limit(most).collect():
-        held += r["count"]
-        if held > most:
-            break
-        least = r["n"]
-    if least is None:
-        return counts.limit(0).toArrow().to_pandas()
-    return counts.filter(F.col("n") >= least).toArrow().to_pandas().sort_values(["n", key], ascending=[False, True], kind="stable")
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; counts are added up in each task first."""
+    def word(self, n: np.ndarray) -> np.ndarray:
+        return (n * self.scale + ALPHA) / (self.tokens + ALPHA * self.size)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+    def losses(self, words: np.ndarray, at: np.ndarray, before: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Loss of every token by the bigram it ends; of the first of a text by the word alone."""
+        p = self.word(words)
+        q = p.copy()
+        q[at] = (pairs * self.scale + MU * p[at]) / (before * self.scale + MU)
+        return -np.log(q)
 
-        def passed():
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
 
-        for b in slices(batches):
-            for t in as_texts(b.column("text")):
-                held.update(tokens(t))
-            if len(held) > HELD:
-                yield passed()
-        yield passed()
+@dataclass(frozen=True)
+class Model:
+    """One corpus: its rates, and its counts by n-gram."""
 
-    return docs.select("text").mapInArrow(of, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rates: Rates
+    counts: DataFrame
+    column: str
 
+    @property
+    def word_loss(self) -> np.ndarray:
+        """Losses of all words, for a look at small corpora: they are collected."""
+        rows = self.counts.filter("word and first").select(self.column).toArrow()
+        return -np.log(self.rates.word(rows.column(0).to_numpy().astype(float)))
 
-def bigram_counts(docs: DataFrame, shared: Shared) -> DataFrame:
-    """(key, n) of the bigrams of frequent words over all texts."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+def blocked(docs: DataFrame) -> DataFrame:
+    """(block, row, text), staged: neighbouring rows, as many as have about BLOCK_BYTES of text on average."""
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    mean = rows.agg(F.avg(F.coalesce(F.octet_length(F.col("row")["text"]), F.lit(0)))).first()[0] or 0
+    bits = int(BLOCK_BYTES / (mean + 16)).bit_length() - 1
+    return rows.select(F.shiftright("at", max(bits, 0)).alias("block"), "row", F.col("row")["text"].alias("text"))
 
-        def passed():
-            keys, n = np.unique(np.concatenate(held or [np.zeros(0, np.int64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
-        for b in slices(batches):
-            held.append(frequent_pairs(*shared.ids(as_texts(b.column("text"))))[1])
-            size += len(held[-1])
-            if size > 10 * HELD:
-                yield passed()
-                held, size = [], 0
-        yield passed()
+def train(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, Model, Model]:
+    """Counts of the n-grams by block, and the models of ``target`` and of all ``docs``."""
+    return _trained(blocked(docs), target)
 
-    return docs.select("text").mapInArrow(of, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
+def _trained(rows: DataFrame, target: DataFrame) -> tuple[DataFrame, Model, Model]:
+    both = gram_counts(rows).unionAll(gram_counts(target.select(F.lit(-1).cast("long").alias("block"), "text")))
+    # A key has one row for each block that holds it; those of the target come first.
+    one = Window.partitionBy("key").orderBy("block")
+    whole = one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-def target_counts(docs: DataFrame, shared: Shared) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the shared words and bigrams in ``docs``: two vectors of the model's size."""
+    def summed(which: Column) -> Column:
+        return F.sum(F.when(which, F.col("n")).otherwise(0)).over(whole)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(len(shared.words) + 1, np.int64)
-        bigrams = np.zeros(len(shared.bigrams), np.int64)
-        for b in slices(batches):
-            ids, text = shared.ids(as_texts(b.column("text")))
-            words += np.bincount(ids, minlength=len(words))
-            bigrams += np.bincount(shared.pairs(ids, text)[1], minlength=len(bigrams))
-        both = np.concatenate([words, bigrams])
-        at = np.flatnonzero(both)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[at])], ["place", "n"])
-
-    got = docs.select("text").mapInArrow(of, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    both = np.zeros(len(shared.words) + 1 + len(shared.bigrams))
-    both[got["place"].to_numpy(int)] = got["n"].to_numpy(float)
-    return both[: len(shared.words) + 1], both[len(shared.words) + 1 :]
-
-
-def train(docs: DataFrame, target: DataFrame) -> tuple[Shared, Model, Model]:
-    """The shared vocabulary and the models of ``target`` and of all ``docs``."""
-    words = staged(word_counts(docs))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    chosen = _bounded(words, "word", MAX_WORDS)
-    shared = Shared({w: i + 1 for i, w in enumerate(chosen["word"])}, np.zeros(0, np.int64))
-    word_n = np.concatenate([[0.0], chosen["n"].to_numpy(float)])
-    word_n[0] = total - word_n.sum()
-    pairs = _bounded(staged(bigram_counts(docs, shared)), "key", MAX_BIGRAMS).sort_values("key")
-    shared = Shared(shared.words, pairs["key"].to_numpy(np.int64))
-    target_words, target_pairs = target_counts(target, shared)
-    scale = target_words.sum() / total if total else 1.0
-    return shared, Model.of(target_words, target_pairs, shared), Model.of(word_n * scale, pairs["n"].to_numpy(float) * scale, shared)
+    counts = both.select(
+        "block", "word", "key", summed(F.col("block") >= 0).alias("n_docs"), summed(F.col("block") < 0).alias("n_target"),
+        (F.row_number().over(one) == 1).alias("first"))
+    # Every word has its first row, so that the vocabulary can be counted.
+    counts = staged(counts.filter("word and first or block >= 0 and not (n_docs = 1 and n_target = 0)"))
+    got = counts.filter("word and first").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+    size, total, wanted = got
+    scale = wanted / total if total else 1.0
+    return counts, Model(Rates(float(wanted), size, 1.0), counts, "n_target"), Model(Rates(total * scale, size, scale), counts, "n_docs")
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -195,31 +178,48 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     A null or blank text has no tokens and null losses. Each row is scored by its own text; repeated
     rows count as often as they occur in the background. Without a target both models know only the
-    vocabulary's size, or the background's counts, and scores are still defined. An empty table gives
-    an empty result; input columns with these names are replaced.
+    vocabulary's size, and scores are still defined. An empty table gives an empty result; input
+    columns with these names are replaced.
     """
-    shared, target_model, background = train(docs, target)
+    rows = blocked(docs)
+    counts, target_model, background = _trained(rows, target)
+    models = ((target_model.rates, 1), (background.rates, 0))
     names = ["n_tokens", "target_loss", "background_loss", "score"]
-
-    @F.arrow_udf("struct<n_tokens:long,target_loss:double,background_loss:double,score:double>")
-    def losses(text: pa.Array) -> pa.Array:
-        parts = []
-        for piece in pieces(text):
-            ids, at_text = shared.ids(as_texts(piece))
-            at, which = shared.pairs(ids, at_text)
-            n = np.bincount(at_text, minlength=len(piece))
-            means = []
-            for model in (target_model, background):
-                total = np.bincount(at_text, model.losses(ids, at_text, at, which), len(piece))
-                means.append(total / np.maximum(n, 1))
-            none = n == 0
-            parts.append(pa.StructArray.from_arrays(
-                [pa.array(n.astype(np.int64)), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], names))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("n_tokens", pa.int64()), *((c, pa.float64()) for c in names[1:])]))
-
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in names]
-    return row.withColumn("_loss", losses(F.col("_row")["text"])).select(*kept, "_loss.*")
+    kept = [c for c in docs.columns if c not in names]
+    text_at = f"c{kept.index('text')}"
+    fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
+    fields += [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])]
+
+    def losses(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(keys := right.column("key").to_numpy().view(np.uint64))
+        keys = keys[order]
+        sums = [right.column(c).to_numpy()[order].astype(float) for c in ("n_docs", "n_target")]
+        codes, found = Codes(), []
+
+        def of(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Counts in the documents and the target; one and none without a sum."""
+            if not len(keys):
+                return np.ones(len(wanted)), np.zeros(len(wanted))
+            distinct, back = np.unique(wanted, return_inverse=True)
+            place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+            hit = keys[place] == distinct
+            return np.where(hit, sums[0][place], 1.0)[back], np.where(hit, sums[1][place], 0.0)[back]
+
+        column = left.column(text_at).combine_chunks()
+        for piece in pieces(column):
+            g = Grams.of(as_texts(piece), codes)
+            words, before, pairs = of(g.words), of(g.before), of(g.pairs)
+            n = np.bincount(g.text, minlength=len(piece))
+            found.append((n, *(np.bincount(g.text, r.losses(words[k], g.at, before[k], pairs[k]), len(piece)) / np.maximum(n, 1) for r, k in models)))
+        n, means = np.concatenate([f[0] for f in found]), [np.concatenate([f[k] for f in found]) for k in (1, 2)]
+        results = [pa.array(n.astype(np.int64)), *(pa.array(x, mask=n == 0) for x in (*means, means[0] - means[1]))]
+        own = left.select([f"c{i}" for i in range(len(kept))])
+        return pa.Table.from_arrays([*own.columns, *results], [*own.column_names, *names])
+
+    texts = rows.select("block", *[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(kept)])
+    sent = counts.filter("block >= 0 and not (n_docs = 1 and n_target = 0)").select("block", "key", "n_docs", "n_target")
+    scored = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(losses, T.StructType(fields))
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *names)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
