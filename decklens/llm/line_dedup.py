@@ -119,8 +119,10 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
     # Order-free code of the kept (place, token) pairs; the leaf fixes length and leading tokens.
     part = F.xxhash64("place", "token")
     template = kept.groupBy("leaf", "line").agg(
-        F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.bit_xor(part).alias("code"),
-        F.sum(F.shiftright(part, 20)).alias("sum"))
+        F.count(F.lit(1)).alias("n"), F.bit_xor(part).alias("code"), F.sum(F.shiftright(part, 20)).alias("sum"))
+    # A line none of whose later tokens are shared keeps its leading ones.
+    sizes = tokens.select("leaf", "line", "size").distinct()
+    template = sizes.join(template, ["leaf", "line"], "left").fillna(0, ["n", "code", "sum"])
     template = template.filter(F.col("n") + depth >= F.col("size") * similarity).select(
         "leaf", "line", F.xxhash64("code", "sum").alias("template"))
     named = staged(lines.join(template, ["leaf", "line"], "left").select(
