@@ -1,21 +1,26 @@
 """Line dedup by log templates.
 
 Every line goes down a tree of fixed depth: the number of its tokens, then its first DEPTH tokens,
-where a token with a digit stands for any value. In a leaf, a later token is part of the template if
-another distinct line of the leaf has it at the same place, and a variable field if not; a line
-whose template keeps less than SIMILARITY of its tokens is its own template. Lines of one template
-therefore agree in at least that share of their places. A template that occurs in two or more
-documents is recurring; all but its first document lose the lines.
-
-The tree is a key, not a structure in memory: leaves are aggregates over distinct lines, so neither
-a frequent line nor a crowded leaf meets in one task.
+where a token with a digit stands for any value. Two lines of a leaf share a template if they agree
+in at least SIMILARITY of their places; the places where they differ are its variable fields. A line
+that shares a template with a line of an earlier document, or equals one, recurs, and its document
+loses it. So a line that recurs in some documents recurs in any larger set of them.
+
+Lines that may differ in k places are found by keys of the places kept: with few choices of k later
+places, by one key for each choice, where equal keys are the proof; else by k + 1 blocks of the
+later places, of which two such lines share one, and their tokens are compared. Keys are aggregated
+over distinct lines, so neither a frequent line nor a crowded leaf meets in one task; all lines of a
+block that nothing earlier has matched yet are compared with all earlier ones of the block.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +30,9 @@ from decklens.llm.common import as_bytes, measured, slices, staged
 
 DEPTH = 4
 SIMILARITY = 0.8
+#: A line has a key for each choice of differing places up to so many choices, and keys of blocks beyond.
+MAX_CHOICES = 64
+_WORD = (1 << 64) - 1
 _DIGIT = re.compile(rb"[0-9]")
 
 
@@ -70,31 +78,92 @@ def line_codes(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     return rows.mapInArrow(of, f"doc_id {kind}, text_key long, place int, leaf long, line long")
 
 
-def line_tokens(rows: DataFrame, wanted: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(leaf, line, place, token code) of the lines ``wanted`` (leaf, line), taken from their first documents.
+def differing(size: int, similarity: float) -> int:
+    """In how many places lines of ``size`` tokens may differ."""
+    return size - math.ceil(size * similarity - 1e-9)
 
-    ``wanted`` has (doc_id, text_key, places): one document to take each line from.
+
+def keys_of(leaf: int, values: list[int], k: int) -> tuple[bool, list[int]]:
+    """(whether equal keys prove it, keys) such that lines of a leaf that differ in ``k`` places share a key.
+
+    ``values`` has a code for each later place and its token; a key is the sum of those it keeps.
+    """
+    n, total = len(values), leaf + sum(values)
+    if k >= n or math.comb(n, k) <= MAX_CHOICES:
+        return True, [(total - sum(c)) & _WORD for c in combinations(values, min(k, n))]
+    cuts = [i * n // (k + 1) for i in range(k + 2)]
+    return False, [(leaf + sum(values[i:j])) & _WORD for i, j in zip(cuts, cuts[1:])]
+
+
+def line_keys(rows: DataFrame, wanted: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_key, leaf, line, exact, keys, tokens) of the lines ``wanted``, taken from their first documents.
+
+    ``wanted`` has (doc_id, text_key, places): one document to take each line from. ``tokens`` are the
+    codes of the later tokens, 64 bits each; null where equal keys are the proof.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            leaves, codes, places, tokens, sizes = [], [], [], [], []
-            for text, chosen in zip(as_bytes(b.column("text")), b.column("places").to_pylist()):
+            at, leaves, codes, exact, keys, tokens = [], [], [], [], [], []
+            for i, (text, chosen) in enumerate(zip(as_bytes(b.column("text")), b.column("places").to_pylist())):
                 lines = text.split(b"\n")
-                for k in chosen:
-                    leaf, code, masked = parse(lines[k], depth)
-                    rest = masked[depth:]
-                    leaves += [leaf] * len(rest)
-                    codes += [code] * len(rest)
-                    places += range(depth, len(masked))
-                    tokens += [digest(t) - (1 << 63) for t in rest]
-                    sizes += [len(masked)] * len(rest)
+                for place in chosen:
+                    leaf, code, masked = parse(lines[place], depth)
+                    k = differing(len(masked), similarity)
+                    if not k or len(masked) <= depth:
+                        continue
+                    values = [digest(t, seed=p) for p, t in enumerate(masked[depth:], depth)]
+                    proof, own = keys_of(leaf, values, k)
+                    at.append(i)
+                    leaves.append(leaf)
+                    codes.append(code)
+                    exact.append(proof)
+                    keys.append(np.array(own, np.uint64).view(np.int64))
+                    tokens.append(None if proof else np.array(values, np.uint64).tobytes())
+            take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaves, pa.int64()), pa.array(codes, pa.int64()), pa.array(places, pa.int32()), pa.array(tokens, pa.int64()), pa.array(sizes, pa.int32())],
-                ["leaf", "line", "place", "token", "size"])
+                [b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(leaves, pa.int64()), pa.array(codes, pa.int64()),
+                 pa.array(exact, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
+                ["doc_id", "text_key", "leaf", "line", "exact", "keys", "tokens"])
 
     met = rows.join(wanted, (rows["text_key"] == wanted["_key"]) & rows["doc_id"].eqNullSafe(wanted["_id"]))
-    return met.select("text", "places").mapInArrow(of, "leaf long, line long, place int, token long, size int")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return met.select("doc_id", "text_key", "text", "places").mapInArrow(
+        of, f"doc_id {kind}, text_key long, leaf long, line long, exact boolean, keys array<long>, tokens binary")
+
+
+def agreeing(pairs: DataFrame, tokens: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, line) of the ``pairs`` (leaf, line, other) that agree in enough places."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = []
+            for x, y in zip(b.column("tokens").to_pylist(), b.column("other_tokens").to_pylist()):
+                n = int((np.frombuffer(x, np.uint64) != np.frombuffer(y, np.uint64)).sum()) if len(x) == len(y) else len(x)
+                hits.append(n <= differing(len(x) // 8 + depth, similarity))
+            yield pa.RecordBatch.from_arrays([b.column("leaf"), b.column("line")], ["leaf", "line"]).filter(pa.array(hits, pa.bool_()))
+
+    other = tokens.select("leaf", F.col("line").alias("other"), F.col("tokens").alias("other_tokens"))
+    met = pairs.join(tokens, ["leaf", "line"]).join(other, ["leaf", "other"])
+    return met.select("leaf", "line", "tokens", "other_tokens").mapInArrow(of, "leaf long, line long").distinct()
+
+
+def settled_lines(rows: DataFrame, wanted: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, line) of the distinct lines that share a template with a line of a document before their first."""
+    keyed = staged(line_keys(rows, wanted, depth, similarity).dropDuplicates(["leaf", "line"]))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    spread = keyed.select("leaf", "line", "exact", who.alias("doc"), F.explode("keys").alias("key"))
+    first = spread.groupBy("leaf", "key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
+    later = staged(spread.join(first.filter("n > 1").drop("n"), ["leaf", "key"]).filter("first.doc < doc"))
+    proved = later.filter("exact").select("leaf", "line").distinct()
+    # Without proof: first with the first line of each block, then, where that differs, with all earlier ones.
+    tokens = keyed.filter("not exact").select("leaf", "line", "tokens")
+    pairs = later.filter("not exact").select("leaf", "line", F.col("first.line").alias("other")).distinct()
+    alike = staged(agreeing(pairs, tokens, depth, similarity))
+    open_ = later.filter("not exact").join(alike, ["leaf", "line"], "left_anti")
+    earlier = spread.filter("not exact").select("leaf", "key", F.col("line").alias("other"), F.col("doc").alias("other_doc"))
+    rest = open_.join(earlier, ["leaf", "key"]).filter("other_doc < doc and other <> first.line").select("leaf", "line", "other").distinct()
+    return proved.unionAll(alike).unionAll(agreeing(rest, tokens, depth, similarity)).distinct()
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -108,28 +177,16 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
     crowded = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf", F.lit(True).alias("crowded"))
     # A line of one document, alone in its leaf, recurs nowhere.
     lines = staged(lines.join(crowded, "leaf", "left").filter("crowded or first.doc <> last"))
-    # Lines that share their leaf: their later tokens, counted by place over the distinct lines.
     wanted = (
         lines.filter("crowded").groupBy(F.col("first.doc.id").alias("_id"), F.col("first.doc.key").alias("_key"))
         .agg(F.collect_set("first.place").alias("places"))
     )
-    tokens = staged(line_tokens(rows, measured(wanted, F.size("places") * 4 + 32), depth).distinct())
-    common = tokens.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    kept = tokens.join(common, ["leaf", "place", "token"], "left_semi")
-    # Order-free code of the kept (place, token) pairs; the leaf fixes length and leading tokens.
-    part = F.xxhash64("place", "token")
-    template = kept.groupBy("leaf", "line").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(part).alias("code"), F.sum(F.shiftright(part, 20)).alias("sum"))
-    # A line none of whose later tokens are shared keeps its leading ones.
-    sizes = tokens.select("leaf", "line", "size").distinct()
-    template = sizes.join(template, ["leaf", "line"], "left").fillna(0, ["n", "code", "sum"])
-    template = template.filter(F.col("n") + depth >= F.col("size") * similarity).select(
-        "leaf", "line", F.xxhash64("code", "sum").alias("template"))
-    named = staged(lines.join(template, ["leaf", "line"], "left").select(
-        "leaf", "line", F.col("first.doc").alias("doc"), "last", F.coalesce("template", "line").alias("template"), F.col("template").isNotNull().alias("general")))
-    groups = named.groupBy("leaf", "template", "general").agg(F.min("doc").alias("kept_doc"), F.max("last").alias("last_doc"))
-    recurring = named.join(groups.filter("kept_doc <> last_doc").drop("last_doc"), ["leaf", "template", "general"])
-    lost = codes.join(recurring.select("leaf", "line", "kept_doc"), ["leaf", "line"]).filter(who != F.col("kept_doc"))
+    settled = settled_lines(rows, measured(wanted, F.size("places") * 4 + 32), depth, similarity)
+    # A line with an earlier one goes from all documents, any other from all but its first.
+    known = lines.join(settled.withColumn("settled", F.lit(True)), ["leaf", "line"], "left")
+    recurring = known.filter("settled or first.doc <> last").select(
+        "leaf", "line", F.coalesce("settled", F.lit(False)).alias("settled"), F.col("first.doc").alias("kept_doc"))
+    lost = codes.join(recurring, ["leaf", "line"]).filter(F.col("settled") | (who != F.col("kept_doc")))
     return lost.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
@@ -138,8 +195,8 @@ def dedup_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILAR
 
     A document is a row, known by doc_id and text: equal rows are one document and lose the same
     lines; rows with one doc_id and different texts, or without doc_id, are documents of their own.
-    The first document (lowest doc_id, nulls last) keeps a template's lines, repeats inside it
-    included. Lines without a token are never dropped; of a null or empty text nothing is. A text
+    The first document (lowest doc_id, nulls last) keeps a template's lines, repeats and variants
+    inside it included. Lines without a token are never dropped; of a null or empty text nothing is. A text
     of which all lines are dropped becomes empty. An empty table gives an empty result; input
     columns named n_lines or n_dropped are replaced.
     """
