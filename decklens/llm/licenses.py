@@ -1,6 +1,6 @@
 """License scans by sentence rules.
 
-Sentences of a text that bear a legal word are normalised and mapped to known licence-sentence
+Sentences of a text are normalised, and those that bear a legal word mapped to known licence-sentence
 identifiers; the text's sequence of identifiers is then matched against ordered licence rules, the
 longer rules first, and each identifier serves one rule. A sentence with a licence word that no
 pattern knows is ``Unrecognised``.
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from decklens.llm.common import as_texts, pieces
 
-#: A sentence can match a pattern below only if it holds one of these words.
+#: A normalised sentence can match a pattern below only if it holds one of these or begins with "c ".
 LEGAL_WORDS = (
-    "licen", "copyright", "rights reserved", "warrant", "permission", "redistribut", "public domain", "spdx",
-    "liable", "as is", "endorse or promote", "creativecommons",
+    "licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "spdx", "liable", "as is",
+    "endorse or promote", "apache", "applicable law", "gpl", "free software", "any later version", "cc ", "creative commons",
 )
 
 #: Identifier -> pattern that a whole normalised sentence is searched for.
@@ -77,7 +77,7 @@ RULES = (
 )
 
 _PATTERNS = {k: re.compile(v) for k, v in SENTENCES.items()}
-_LEGAL = re.compile("|".join(map(re.escape, LEGAL_WORDS)))
+_LEGAL = re.compile("|".join(["^c ", *map(re.escape, LEGAL_WORDS)]))
 #: Ends of sentences: blank lines, and stops before white space that no lower-case letter or digit follows.
 _END = re.compile(r"\n\s*\n|[.!?;](?=\s+(?![a-z0-9]))|[.!?;]\s*$|\n(?=[ \t]*(?:[-*\d]|[A-Z]))", re.M)
 _NOISE = re.compile(r"[^\w.,:+/]+|(?<!\d)\.|\.(?!\d)|_+")
@@ -107,23 +107,19 @@ def _named(identifier: str, m: re.Match) -> str:
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences that hold a legal word, in order."""
-    low = text.lower()
-    if not any(w in low for w in LEGAL_WORDS):
-        return []
+    """The normalised sentences that hold a legal word, in order."""
     found, start = [], 0
     for m in _END.finditer(text):
         found.append(text[start : m.start()])
         start = m.end()
     found.append(text[start:])
-    return [f for f in found if _LEGAL.search(f.lower())]
+    return [plain for f in found if _LEGAL.search(plain := normalise(f))]
 
 
 def sentence_ids(text: str) -> list[tuple[str, str]]:
     """(identifier, named licence) of the text's known and unrecognised licence sentences, in order."""
     found: list[tuple[str, str]] = []
-    for sentence in sentences(text):
-        plain = normalise(sentence)
+    for plain in sentences(text):
         hits = sorted((m.start(), k, _named(k, m) if "{" + k + "}" in _NAMING else k) for k, p in _PATTERNS.items() if (m := p.search(plain)))
         if not hits and _LICENCE_WORD.search(plain):
             hits = [(0, "Unrecognised", "Unrecognised")]
