@@ -136,7 +136,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Tokens added to the vocabulary, such as <|endoftext|>: the library finds them before it cuts pieces.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = dict(zip(".,", self._bytes([".", ","])))
         #: Ids of " " + unit. New units whose edges are white space have None: their spaces cut nothing.
         self.known: dict[str, bytes] = {}
@@ -179,7 +180,15 @@ class UnitEncoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers; texts that hold an added token are encoded whole."""
+        holds = [any([a in t for a in self.added]) for t in texts]
+        if not any(holds):
+            return self._by_units(texts)
+        whole = iter(self._bytes([t for t, h in zip(texts, holds) if h]))
+        others = iter(self._by_units([t for t, h in zip(texts, holds) if not h]))
+        return [next(whole if h else others) for h in holds]
+
+    def _by_units(self, texts: list[str]) -> list[bytes]:
         rows = [t.split(" ") for t in texts]
         heads = [r.pop(0) for r in rows]
         # Units that begin with a line feed are known for its sake; in a text they are no units.
