@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decklens.llm import bpe, embedding_dedup, language, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, token_files
+from decklens.llm import bpe, clustering, embedding_dedup, language, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, sharding, token_files
 from decklens.llm.common import table
 
 
@@ -59,6 +59,16 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest).drop("text")
 
 
+def heap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return rows.select("doc_id", "size", crc, "law", "shard", "slot", "grown_shard")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py, which imports this package and so is imported here."""
     import corpus_pipeline
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_patched_frames": patched_frames,
     "op9_pigeonhole": pigeonhole,
     "op10_boosted_trees": boosted_trees,
+    "op11_heap_bounds": heap_bounds,
+    "op13_external_shuffle": external_shuffle,
     "pipeline": pipeline,
 }
 
@@ -94,5 +106,33 @@ _PIGEONHOLE = f"""
     vec_id <= coalesce(first, vec_id) AS kept
   FROM v LEFT JOIN counts ON counts.a = vec_id LEFT JOIN firsts ON firsts.a = vec_id"""
 
+
+
+def _lloyd() -> str:
+    """Ten plain rounds, every vector against every centroid; each centroid is one array."""
+    nearest = """SELECT x, arg_min(c.no, (d, c.no)) AS cluster, min(d) AS distance FROM (
+        SELECT p.x, p.point, c.no, list_sum(list_transform(list_zip(p.point, c.point), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM points p, centroids_{r} c) c GROUP BY x"""
+    rounds = ", ".join(
+        f"""assigned_{r} AS MATERIALIZED ({nearest.format(r=r)}),
+  sums_{r} AS (SELECT cluster, i, sum(v) AS s, count(*) AS n FROM (
+    SELECT cluster, unnest(point) AS v, generate_subscripts(point, 1) AS i FROM assigned_{r} JOIN points USING (x)) GROUP BY cluster, i),
+  centroids_{r + 1} AS MATERIALIZED (SELECT no, coalesce(new, c.point) AS point FROM centroids_{r} c LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS new FROM sums_{r} GROUP BY cluster) ON cluster = no)"""
+        for r in range(clustering.ROUNDS))
+    return f"""
+  WITH points AS MATERIALIZED (SELECT row_number() OVER () AS x, vec_id,
+    list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * {clustering.SCALE}) AS BIGINT)) AS point FROM embeddings
+    WHERE len(embedding) = {clustering.DIMENSIONS} AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+  centroids_0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS no, point FROM (
+    SELECT sha256('{clustering.SEED}:' || vec_id) AS h, point FROM points ORDER BY h LIMIT {clustering.CLUSTERS})),
+  {rounds},
+  last AS MATERIALIZED ({nearest.format(r=clustering.ROUNDS)})
+  SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance,
+    CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c.point, ',')) AS centroid_sha256
+  FROM last JOIN points USING (x) JOIN centroids_{clustering.ROUNDS} c ON c.no = cluster"""
+
+
 #: The others hold trained models, signatures, codecs or a hash order that DuckDB does not have.
-ORACLES: dict[str, str] = {"op9_pigeonhole": _PIGEONHOLE}
+ORACLES: dict[str, str] = {"op9_pigeonhole": _PIGEONHOLE, "op11_heap_bounds": _lloyd()}
