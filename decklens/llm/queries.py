@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from decklens.llm import bpe, clustering, embedding_dedup, language, licenses, line_dedup, lm_scoring, mixing, near_dup, quality, sharding, token_files
+from decklens.llm import bpe, clustering, embedding_dedup, language, licenses, line_dedup, lm_scoring, mixing, near_dup, phrases, quality, sharding, token_files
 from decklens.llm.common import table
 
 
@@ -63,6 +63,10 @@ def heap_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+def sampled_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pigeonhole": pigeonhole,
     "op10_boosted_trees": boosted_trees,
     "op11_heap_bounds": heap_bounds,
+    "op12_sampled_phrases": sampled_phrases,
     "op13_external_shuffle": external_shuffle,
     "pipeline": pipeline,
 }
@@ -134,5 +139,25 @@ def _lloyd() -> str:
   FROM last JOIN points USING (x) JOIN centroids_{clustering.ROUNDS} c ON c.no = cluster"""
 
 
+#: every phrase of every text, counted and cut without a sample
+_PHRASES = f"""
+  WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+  spoken AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+  found AS MATERIALIZED (SELECT lang, words, len(words) AS size, array_to_string(words, ' ') AS phrase, f FROM (
+    SELECT lang, words, count(*) AS f FROM (
+      SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS words
+      FROM spoken, (SELECT unnest(range(1, {phrases.WORDS + 1})) AS k) WHERE len(w) >= k) GROUP BY lang, words HAVING count(*) >= {phrases.LEAST})),
+  totals AS (SELECT lang, sum(len(w)) AS n FROM spoken GROUP BY lang),
+  cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM found WHERE size >= 2) c
+    JOIN found l ON l.lang = c.lang AND l.words = c.words[1:k] JOIN found r ON r.lang = c.lang AND r.words = c.words[k + 1:size] JOIN totals t ON t.lang = c.lang),
+  lowest AS (SELECT lang, phrase, a, n, unnest(min(struct_pack(score := score, k := k, l := l, r := r))) FROM cuts GROUP BY lang, phrase, a, n),
+  inside AS (SELECT lang, array_to_string(words[i:i + s - 1], ' ') AS phrase, max(f) AS longer
+    FROM (SELECT *, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM found WHERE size >= 3)) GROUP BY ALL)
+  SELECT * FROM (
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR longer < a) WHERE rank <= {phrases.TOP}"""
+
 #: The others hold trained models, signatures, codecs or a hash order that DuckDB does not have.
-ORACLES: dict[str, str] = {"op9_pigeonhole": _PIGEONHOLE, "op11_heap_bounds": _lloyd()}
+ORACLES: dict[str, str] = {"op9_pigeonhole": _PIGEONHOLE, "op11_heap_bounds": _lloyd(), "op12_sampled_phrases": _PHRASES}
