@@ -27,12 +27,37 @@ def exclusive_quartiles(rows: DataFrame, scale: int) -> DataFrame:
     hold the wanted ranks, and only those buckets are looked into. No window sees more than the
     bucket totals of one metric or the distinct values of one bucket.
     """
-    counts = (
-        rows.groupBy("metric", F.rint(F.col("v") * scale).cast("bigint").alias("tick"))
-        .agg(F.count("v").alias("n"))
-        .filter("n > 0")
-        .withColumn("bucket", F.floor(F.col("tick") / BUCKET))
-    )
+    return quartiles_of_counts(value_counts(rows, scale), scale)
+
+
+def value_counts(rows: DataFrame, scale: int) -> DataFrame:
+    """``(metric, tick, n)``: how often each value of ``rows(metric, v)`` occurs, as a whole number of ``1 / scale``.
+
+    This is all that quartiles need to know of a corpus, and it can be kept: see :func:`merged_counts`.
+    """
+    ticks = rows.groupBy("metric", F.rint(F.col("v") * scale).cast("bigint").alias("tick"))
+    return ticks.agg(F.count("v").alias("n")).filter("n > 0")
+
+
+def merged_counts(state: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """Kept counts with those of new decks added and those of deleted decks taken off.
+
+    Only the slides that come or go are read for it. A count that would fall below 0 shows that rows were removed that had
+    never been added: an error.
+    """
+    parts = state.select("metric", "tick", "n")
+    if added is not None:
+        parts = parts.unionByName(added.select("metric", "tick", "n"))
+    if removed is not None:
+        parts = parts.unionByName(removed.select("metric", "tick", (-F.col("n")).alias("n")))
+    sums = parts.groupBy("metric", "tick").agg(F.sum("n").alias("n"))
+    checked = F.when(F.col("n") < 0, F.raise_error(F.lit("values were removed that had not been counted")).cast("bigint")).otherwise(F.col("n"))
+    return sums.select("metric", "tick", checked.alias("n")).filter("n > 0")
+
+
+def quartiles_of_counts(state: DataFrame, scale: int) -> DataFrame:
+    """:func:`exclusive_quartiles` from counts of values ``(metric, tick, n)``."""
+    counts = state.withColumn("bucket", F.floor(F.col("tick") / BUCKET))
     by_bucket = counts.groupBy("metric", "bucket").agg(
         F.sum("n").alias("n"), F.min("tick").alias("low"), F.max("tick").alias("high")
     )
@@ -85,15 +110,20 @@ def exclusive_quartiles(rows: DataFrame, scale: int) -> DataFrame:
     )
 
 
-def word_calibration(slides: DataFrame) -> DataFrame:
-    """Quartiles of body words over slides with at least 5 of them.
+def word_values(slides: DataFrame) -> DataFrame:
+    """``(metric, v)``: body words of slides with at least 5 of them.
 
     Shorter slides get a null value instead of being filtered: a filter on the count would be
     pushed below it and count the words of every slide twice.
     """
     words = X.word_count(X.body_text(F.col("content")))
     usable = N.let(words, lambda n: F.when(n >= WORDS_MIN, n.cast("double")))
-    return exclusive_quartiles(slides.select(F.lit("palabras").alias("metric"), usable.alias("v")), 1)
+    return slides.select(F.lit("palabras").alias("metric"), usable.alias("v"))
+
+
+def word_calibration(slides: DataFrame) -> DataFrame:
+    """Quartiles of body words over slides with at least 5 of them."""
+    return exclusive_quartiles(word_values(slides), 1)
 
 
 def _calibration_metrics(slides: DataFrame) -> DataFrame:
@@ -116,10 +146,14 @@ def calibration_rows(slides: DataFrame) -> DataFrame:
     return _calibration_metrics(slides).filter("usable").drop("usable")
 
 
-def metric_calibration(slides: DataFrame) -> DataFrame:
-    """Quartiles of the four calibration metrics (unusable slides count as null)."""
+def metric_values(slides: DataFrame) -> DataFrame:
+    """``(metric, v)`` of the four calibration metrics (unusable slides count as null)."""
     names = ["fsz", "dl", "palabras_por_frase", "silabas_por_palabra"]
-    rows = _calibration_metrics(slides).select(
+    return _calibration_metrics(slides).select(
         *[F.when(F.col("usable"), F.col(n)).alias(n) for n in names]
     ).unpivot([], names, "metric", "v")
-    return exclusive_quartiles(rows, 100)
+
+
+def metric_calibration(slides: DataFrame) -> DataFrame:
+    """Quartiles of the four calibration metrics."""
+    return exclusive_quartiles(metric_values(slides), 100)

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from decklens import constants as K
 from decklens.functions import text as X
 from decklens.operators import ordered as O
+from decklens.operators.folded import fold_text, json_text
+from decklens.operators.hash_index import HashIndex
+from decklens.session import staged
 from decklens.sources import files as FI
 
 # --- subjects -------------------------------------------------------------------------------------
@@ -55,43 +58,53 @@ def known_hash(files: DataFrame, versions: DataFrame) -> DataFrame:
     return files.join(seen, "hash", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def gate_files(files: DataFrame, versions: DataFrame, limit_mb: float = K.SIZE_LIMIT_MB) -> tuple[DataFrame, DataFrame]:
+def _outcomes(
+    files: DataFrame, versions: DataFrame | None, limit_mb: float, index: HashIndex | None = None,
+    barred: tuple[str, Column] | None = None,
+) -> DataFrame:
+    """``files`` with a ``reason`` for rejection, null if accepted; written once to the shared folder.
+
+    The source is read once. Of the usable files one aggregate per hash finds the first, the known hashes are
+    found among those, and one join takes both back to the files. Rows that are ``barred``
+    (reason, condition) are out before the gates and stand in for no copy.
+    """
+    why, out = barred or ("", F.lit(False))
+    large = F.coalesce(~FI.within_limit(F.col("length"), limit_mb), F.lit(False))
+    batch = staged(files.withColumns({"_out": out, "_large": large}))
+    arrived = F.struct("arrival", "file_id")
+    usable = batch.filter("not _out and not _large and hash is not null")
+    first = usable.groupBy("hash").agg(F.min(arrived).alias("_first"))
+    if index is None:
+        known = first.select("hash").join(versions.select("hash"), "hash", "left_semi")
+    else:
+        known = index.known(first.select("hash"))
+    per_hash = first.join(known.withColumn("_known", F.lit(True)), "hash", "left")
+    # A file without a hash is known to nobody and a copy of none.
+    reason = (
+        F.when(F.col("_out"), F.lit(why))
+        .when(F.col("_large"), F.lit("too_large"))
+        .when(F.col("_known"), F.lit("duplicate"))
+        .when(F.coalesce("total_slides", F.lit(0)) <= 0, F.lit("no_slides"))
+        .when(F.col("hash").isNotNull() & (arrived != F.col("_first")), F.lit("duplicate"))
+    )
+    told = batch.join(per_hash, "hash", "left").withColumn("reason", reason)
+    return staged(told.select(*files.columns, "reason"))
+
+
+def gate_files(
+    files: DataFrame, versions: DataFrame | None, limit_mb: float = K.SIZE_LIMIT_MB, index: HashIndex | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Split incoming ``files(file_id, arrival, length, hash, total_slides, ...)``.
 
     Returns ``(accepted, rejected)``; ``rejected`` has a ``reason``: too large, duplicate, or no
-    slides, tested in this order. Of several copies in one batch the first to arrive is kept. One
+    slides, tested in this order. Of several copies in one batch the first to arrive is kept (copies
+    have equally many slides: those of an empty file fail on the count, unless the hash was known before). One
     row per hash is picked by a partial aggregate, and only those rows meet the known hashes, so
-    no task ever holds all copies of one file.
+    no task ever holds all copies of one file. Known hashes come from ``versions``, or from a stored ``index``.
+    A file without a hash is neither known nor a copy.
     """
-    large = ~FI.within_limit(F.col("length"), limit_mb)
-    columns = files.columns
-    first = (
-        files.filter(~large)
-        .groupBy("hash")
-        .agg(F.min_by(F.struct(*columns), F.struct("arrival", "file_id")).alias("f"))
-        .select("f.*")
-    )
-    fresh = first.join(versions.select("hash"), "hash", "left_anti").select(*columns)
-    accepted = fresh.filter(F.col("total_slides") > 0)
-    # Copies have equal content, hence equally many slides: none of an empty file is ever stored,
-    # so its copies fail on the count, unless the hash was known before.
-    hollow = (
-        files.filter(~large & (F.coalesce("total_slides", F.lit(0)) <= 0))
-        .select("file_id", "hash")
-        .join(versions.select("hash"), "hash", "left_anti")
-        .select("file_id", F.lit(True).alias("_hollow"))
-    )
-    rejected = (
-        files.join(accepted.select("file_id"), "file_id", "left_anti")
-        .join(hollow, "file_id", "left")
-        .withColumn(
-            "reason",
-            F.when(large, F.lit("too_large"))
-            .when(F.col("_hollow"), F.lit("no_slides"))
-            .otherwise(F.lit("duplicate")),
-        )
-    )
-    return accepted, rejected.drop("_hollow")
+    told = _outcomes(files, versions, limit_mb, index)
+    return told.filter("reason is null").drop("reason"), told.filter("reason is not null")
 
 
 def _stem(name: Column) -> Column:
@@ -123,33 +136,35 @@ def _version_rows(files: DataFrame, version: Column, suffix: Column, loaded: Col
 
 
 def register_decks(
-    files: DataFrame, subjects: DataFrame, versions: DataFrame, loaded: Column | None = None,
-    limit_mb: float = K.SIZE_LIMIT_MB,
+    files: DataFrame, subjects: DataFrame, versions: DataFrame | None, loaded: Column | None = None,
+    limit_mb: float = K.SIZE_LIMIT_MB, index: HashIndex | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(decks, versions, rejected)`` to append for new files ``(..., subject_id, file_name)``.
 
     Ids are derived from the file, so a repeated run gives the same rows. Files of an unknown
-    subject are rejected before the gates, so that they cannot stand in for a storable copy.
+    subject are rejected before the gates, so that they cannot stand in for a storable copy. Known
+    hashes as in :func:`gate_files`.
     """
-    named = subjects.select("subject_id", F.col("name").alias("subject"))
-    orphan = files.join(named, "subject_id", "left_anti").select(*files.columns, F.lit("no_subject").alias("reason"))
-    accepted, rejected = gate_files(files.join(named, "subject_id"), versions, limit_mb)
-    good = accepted.withColumn(
-        "deck_id", F.sha2(F.concat_ws("/", "subject_id", "file_name", "hash"), 256)
-    )
+    named = subjects.select("subject_id", F.col("name").alias("subject"), F.lit(True).alias("_named"))
+    placed = files.join(named, "subject_id", "left")
+    told = _outcomes(placed, versions, limit_mb, index, ("no_subject", F.col("_named").isNull()))
+    # Files without a hash may share a name, and are told apart by their own ids.
+    content = F.coalesce("hash", F.concat(F.lit("file "), F.col("file_id").cast("string")))
+    good = told.filter("reason is null").withColumn("deck_id", F.sha2(F.concat_ws("/", "subject_id", "file_name", content), 256))
     decks = good.select("deck_id", "subject_id", "file_name")
     rows = _version_rows(good, F.lit(1), F.lit(""), loaded if loaded is not None else F.current_date())
-    return decks, rows, rejected.select(*files.columns, "reason").unionByName(orphan)
+    return decks, rows, told.filter("reason is not null").select(*files.columns, "reason")
 
 
 def append_versions(
     files: DataFrame, decks: DataFrame, versions: DataFrame, subjects: DataFrame,
-    loaded: Column | None = None, limit_mb: float = K.SIZE_LIMIT_MB, block: int = 100_000,
+    loaded: Column | None = None, limit_mb: float = K.SIZE_LIMIT_MB, block: int = 100_000, index: HashIndex | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(versions, rejected)`` to append for files that update existing decks.
 
     Several files of one deck in a batch are numbered by arrival, blockwise (see
-    :mod:`decklens.operators.ordered`), on top of the highest stored version.
+    :mod:`decklens.operators.ordered`), on top of the highest stored version. Known hashes as in
+    :func:`gate_files`.
     """
     latest = versions.groupBy("deck_id").agg(F.max("version").alias("latest"))
     subject = subjects.select("subject_id", F.col("name").alias("subject"))
@@ -157,15 +172,14 @@ def append_versions(
         decks.select("deck_id", "subject_id").join(latest, "deck_id").join(subject, "subject_id")
         .select("deck_id", "latest", "subject")
     )
-    lost = files.join(target, "deck_id", "left_anti").select(*files.columns, F.lit("no_deck").alias("reason"))
-    accepted, rejected = gate_files(files.join(target, "deck_id"), versions, limit_mb)
-    numbered = O.dense_number(accepted, ["deck_id"], ["arrival", "file_id"], F.floor(F.col("arrival") / block))
+    told = _outcomes(files.join(target, "deck_id", "left"), versions, limit_mb, index, ("no_deck", F.col("latest").isNull()))
+    numbered = O.dense_number(told.filter("reason is null"), ["deck_id"], ["arrival", "file_id"], F.floor(F.col("arrival") / block))
     version = F.col("latest") + F.col("number")
     rows = _version_rows(
         numbered, version, F.concat(F.lit("_v"), version.cast("string")),
         loaded if loaded is not None else F.current_date(),
     )
-    return rows, rejected.select(*files.columns, "reason").unionByName(lost)
+    return rows, told.filter("reason is not null").select(*files.columns, "reason")
 
 
 # --- versions ---------------------------------------------------------------------------------------
@@ -248,14 +262,12 @@ def _one_per_key(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert_analyses(analyses: DataFrame, results: DataFrame) -> DataFrame:
-    """Store the analysis of each version in ``results(version_id, result[, part])``.
+    """Store the analysis of each version in ``results(version_id, result)``, one row per version.
 
-    A new analysis replaces the stored one whole. The slide number is fixed to 0; only the further
-    parts of a deck stored in several parts are numbered on from there. Of several results for one
-    version and part, the greatest text counts.
+    A new analysis replaces the stored one whole. The slide number is fixed to 0. Of several results
+    for one version, the greatest text counts.
     """
-    number = F.col("part") if "part" in results.columns else F.lit(0)
-    rows = _one_per_key(results.select("version_id", number.cast("int").alias("slide_number"), "result"), ["version_id", "slide_number"])
+    rows = _one_per_key(results.select("version_id", F.lit(0).alias("slide_number"), "result"), ["version_id", "slide_number"])
     kept = analyses.join(rows.select("version_id"), "version_id", "left_anti")
     return kept.unionByName(rows)
 
@@ -321,9 +333,6 @@ def add_column_if_missing(df: DataFrame, name: str = "pdf_path", type_: str = "s
 
 # --- syllabus ----------------------------------------------------------------------------------------
 
-#: entries per nested list; longer lists continue in the next part
-SYLLABUS_PART = 500
-
 
 def syllabus_rows(subjects: DataFrame, units: DataFrame, topics: DataFrame, subtopics: DataFrame) -> DataFrame:
     """Units of each subject with their topics and subtopics, where there are any.
@@ -364,29 +373,37 @@ def syllabus_labels(subjects, units, topics, subtopics) -> DataFrame:
     )
 
 
+_TOPICS = "array<struct<topic:string,subtopics:array<string>>>"
+
+
+def _unit_topics(labels: DataFrame) -> DataFrame:
+    """``(subject_id, subject, unit_number, unit, n, text)``: topics of each unit as JSON entries, in order."""
+    unit = ["subject_id", "subject", "unit_number", "unit"]
+    topic = [*unit, "topic_number", "topic"]
+    names = fold_text(
+        labels.select(*topic, "subtopic_number", F.when(F.col("subtopic").isNotNull(), json_text(F.col("subtopic"))).alias("entry")),
+        topic, ["subtopic_number"],
+    )
+    entry = F.concat(F.lit('{"topic":'), json_text(F.col("topic")), F.lit(',"subtopics":['), "text", F.lit("]}"))
+    rows = names.select(*unit, "topic_number", F.when(F.col("topic").isNotNull(), entry).alias("entry"))
+    return fold_text(rows, unit, ["topic_number"]).drop("head")
+
+
 def syllabus_tree(labels: DataFrame) -> DataFrame:
-    """Nested topics per unit: ``(subject_id, unit, part, topics[{topic, subtopics[]}])``.
+    """Nested topics per unit: ``(subject_id, subject, unit_number, unit, topics[{topic, subtopics[]}])``.
 
-    Lists are cut after ``SYLLABUS_PART`` numbers (a topic with very many subtopics continues in
-    further parts), so that no gathered list is unbounded. Units without topics keep an empty list.
+    Lists of any length, in the order of the numbers. Units without topics keep an empty list.
     """
-    part = F.coalesce(F.floor(F.col("subtopic_number") / SYLLABUS_PART), F.lit(0))
-    block = F.coalesce(F.floor(F.col("topic_number") / SYLLABUS_PART), F.lit(0))
-    topics = (
-        labels.withColumn("part", part).withColumn("block", block)
-        .groupBy("subject_id", "subject", "unit_number", "unit", "block", "topic_number", "topic", "part")
-        .agg(F.array_sort(F.collect_list(F.when(
-            F.col("subtopic").isNotNull(), F.struct("subtopic_number", "subtopic")
-        ))).alias("s"))
-    )
-    entry = F.when(
-        F.col("topic").isNotNull(),
-        F.struct("topic_number", F.struct("topic", F.col("s.subtopic").alias("subtopics")).alias("t")),
-    )
-    return (
-        topics.groupBy("subject_id", "subject", "unit_number", "unit", "block", "part")
-        .agg(F.array_sort(F.collect_list(entry)).alias("ts"))
-        .select("subject_id", "subject", "unit_number", "unit", "block", "part", F.col("ts.t").alias("topics"))
+    topics = F.from_json(F.concat(F.lit("["), "text", F.lit("]")), _TOPICS)
+    return _unit_topics(labels).select("subject_id", "subject", "unit_number", "unit", topics.alias("topics"))
+
+
+def syllabus_documents(labels: DataFrame) -> DataFrame:
+    """``(subject_id, subject, temario)``: the whole course tree of a subject as one JSON text."""
+    entry = F.concat(F.lit('{"unit":'), json_text(F.col("unit")), F.lit(',"topics":['), "text", F.lit("]}"))
+    rows = _unit_topics(labels).select("subject_id", "subject", "unit_number", entry.alias("entry"))
+    return fold_text(rows, ["subject_id", "subject"], ["unit_number"]).select(
+        "subject_id", "subject", F.concat(F.lit("["), "text", F.lit("]")).alias("temario")
     )
 
 

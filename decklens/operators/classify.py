@@ -6,10 +6,14 @@ values listed with the rules.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from decklens import constants as K
 from decklens.functions import numeric as N
@@ -142,5 +146,49 @@ def classifier_decision(ruled: DataFrame, judged: DataFrame | None = None) -> Da
     }).withColumn("excluded", F.col("type").isin(*K.EXCLUDED_TYPES))
 
 
+def classifier_callback(
+    ruled: DataFrame, judge: Callable[[pa.RecordBatch], Sequence[str | None]], columns: Sequence[str] = ("title", "content"),
+    together: int = 64,
+) -> DataFrame:
+    """The decision with a given function as judge, called for slides below 0.60 only.
+
+    ``judge`` gets ``columns`` of up to ``together`` slides as an Arrow batch and returns their types in order. A type
+    that is none of the valid ones, a call that fails, or one that returns another number of
+    types means content at 0.50 for the slides it stands for. Gives ``(deck_id, slide_number, rule_type,
+    rule_confidence, rules_fired, type, confidence, method, excluded)``; texts of slides that the rules decide do not leave the JVM.
+    """
+    unsure = F.col("rule_confidence") < K.CONFIDENCE_MEDIUM
+    kept = ["deck_id", "slide_number", "rule_type", "rule_confidence", "rules_fired"]
+    rows = ruled.select(*kept, F.when(unsure, F.struct(*columns)).alias("_asked"))
+    valid, level = frozenset(K.JUDGED_TYPES), (K.CONFIDENCE_JUDGED, K.CONFIDENCE_FALLBACK)
+
+    def answers(asked: pa.RecordBatch) -> list[str | None]:
+        try:
+            got = list(judge(asked))
+        except Exception:  # noqa: BLE001 - whatever the given function raises
+            return [None] * asked.num_rows
+        return got if len(got) == asked.num_rows else [None] * asked.num_rows
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = b.column("_asked")
+            at = pc.indices_nonzero(asked.is_valid()).to_pylist()
+            kind, confidence = b.column("rule_type").to_pylist(), b.column("rule_confidence").to_pylist()
+            method = ["reglas"] * b.num_rows
+            for i in range(0, len(at), together):
+                places = at[i : i + together]
+                part = pa.RecordBatch.from_struct_array(asked.take(pa.array(places)))
+                for place, answer in zip(places, answers(part)):
+                    good = answer in valid
+                    kind[place], confidence[place] = answer if good else "contenido", level[0] if good else level[1]
+                    method[place] = "llm" if good else "fallback_contenido"
+            own = b.select(kept)
+            found = [pa.array(kind, pa.string()), pa.array(confidence, pa.float64()), pa.array(method, pa.string())]
+            yield pa.RecordBatch.from_arrays([*own.columns, *found], [*kept, "type", "confidence", "method"])
+
+    schema = T.StructType([ruled.schema[c] for c in kept]).add("type", "string").add("confidence", "double").add("method", "string")
+    return rows.mapInArrow(decided, schema).withColumn("excluded", F.col("type").isin(*K.EXCLUDED_TYPES))
+
+
 def classify_slides(slides: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     return slides.transform(classifier_features).transform(classifier_rules).transform(classifier_decision, judged)

@@ -1,8 +1,7 @@
 """Exchange with the text-model judge as tables: payloads out, responses in.
 
 No model is called here. Payload rows go to whatever runs the model; its raw answers come back as
-``(deck_id, response)`` rows. Payloads of a deck are cut into the same parts as its stored
-document, so that no task gathers an unbounded deck.
+``(deck_id, response)`` rows. A payload is written slide by slide from sorted rows, so that no task gathers a deck.
 """
 
 from __future__ import annotations
@@ -15,8 +14,9 @@ from decklens import constants as K
 from decklens import schemas as S
 from decklens.functions import text as X
 from decklens.operators import metrics as M
+from decklens.operators import ordered as O
 from decklens.operators import similarity as SIM
-from decklens.operators.score import part_of, per_part
+from decklens.operators.folded import fold_text
 
 _KEYS = ["deck_id", "slide_number"]
 _READ = {"mode": "PERMISSIVE", "allowUnquotedControlChars": "true"}
@@ -55,14 +55,32 @@ def payload_slides(slides: DataFrame, max_chars: int | None = K.PAYLOAD_CHARS) -
     )
 
 
+def _calls(rows: DataFrame, call_slides: int | None, heads: DataFrame | None = None) -> DataFrame:
+    """Entries ``(deck_id, slide_number, entry)`` as JSON arrays ``(deck_id[, call], batch_data, head)``.
+
+    One array per deck; with ``call_slides``, one for each so many slides, ``call`` counting from 0.
+    """
+    keys = ["deck_id"]
+    if call_slides is not None:
+        place = O.dense_number(rows, keys, ["slide_number"], F.floor(F.col("slide_number") / 10_000), "_place")
+        rows = place.withColumn("call", F.floor((F.col("_place") - 1) / call_slides).cast("int"))
+        keys = ["deck_id", "call"]
+        if heads is not None:
+            heads = rows.select(*keys).distinct().join(heads, "deck_id")
+    texts = fold_text(rows, keys, ["slide_number"], heads).filter("n > 0")
+    return texts.select(*keys, F.concat(F.lit("["), "text", F.lit("]")).alias("batch_data"), "head")
+
+
 def judge_payload(
-    slides: DataFrame, syllabus: DataFrame | None = None, max_chars: int | None = K.PAYLOAD_CHARS
+    slides: DataFrame, syllabus: DataFrame | None = None, max_chars: int | None = K.PAYLOAD_CHARS,
+    call_slides: int | None = None,
 ) -> DataFrame:
-    """``(deck_id, part, batch_data, temario)``: one JSON array of slides per deck part.
+    """``(deck_id, batch_data, temario)``: one JSON array with all slides of a deck, of any size.
 
     Shared keywords are a list, or the word ``Ninguno`` when there are none. ``syllabus`` may
     bring ``(deck_id, temario)`` with the course tree as JSON. ``max_chars`` as in
-    :func:`payload_slides`.
+    :func:`payload_slides`. A model that takes only so many slides in one call gets them by ``call_slides``:
+    rows are then ``(deck_id, call, ...)``, slides counted in their order.
     """
     # The keyword field is a list or a plain word, so both forms are written and the right one kept.
     shared = F.when(F.size("overlap") > 0, F.to_json("overlap")).otherwise(F.lit(f'"{K.NO_OVERLAP}"'))
@@ -75,18 +93,11 @@ def judge_payload(
         F.lit('},"nts_diagnostico":{"similitud_coseno":'), F.col("similitud_coseno").cast("string"),
         F.lit("}}"),
     )
-    rows = payload_slides(slides, max_chars).select(
-        "deck_id", part_of(F.col("slide_number")).alias("part"),
-        F.struct("slide_number", entry.alias("entry")).alias("e"),
-    )
-    out = rows.groupBy("deck_id", "part").agg(F.array_sort(F.collect_list("e")).alias("es")).select(
-        "deck_id", "part",
-        F.concat(F.lit("["), F.array_join("es.entry", ","), F.lit("]")).alias("batch_data"),
-    )
-    if syllabus is None:
-        return out.withColumn("temario", F.lit("[]"))
-    trees = per_part(syllabus.select("deck_id", "temario"), slides)
-    return out.join(trees.select("deck_id", "part", "temario"), ["deck_id", "part"], "left")
+    rows = payload_slides(slides, max_chars).select(*_KEYS, entry.alias("entry"))
+    trees = None if syllabus is None else syllabus.select("deck_id", F.col("temario").alias("head"))
+    return _calls(rows, call_slides, trees).withColumn(
+        "temario", F.lit("[]") if syllabus is None else F.col("head")
+    ).drop("head")
 
 
 def _answer(response: Column, outer: str, schema: T.DataType) -> Column:
@@ -199,12 +210,14 @@ def unit_coverage(checked: DataFrame, official: DataFrame) -> DataFrame:
 
 
 def restructure_payload(
-    scored: DataFrame, with_feedback: bool = True, max_chars: int | None = K.RESTRUCTURE_CHARS
+    scored: DataFrame, with_feedback: bool = True, max_chars: int | None = K.RESTRUCTURE_CHARS,
+    call_slides: int | None = None,
 ) -> DataFrame:
-    """``(deck_id, part, batch_data)``: content slides to rewrite, as JSON per deck part.
+    """``(deck_id, batch_data)``: the content slides to rewrite, one JSON array per deck of any size.
 
     The feedback to correct is part of the payload; without it the receiver could not tell
     which metric failed. Texts end after ``max_chars`` characters; None keeps them whole.
+    ``call_slides`` as in :func:`judge_payload`.
     """
     text = F.col("body_text")
     fields = [
@@ -212,12 +225,8 @@ def restructure_payload(
         (text if max_chars is None else F.substring(text, 1, max_chars)).alias("contenido_original"),
         F.col("needs_recommendation").alias("requiere_reestructuracion"),
     ] + ([F.col("feedback").alias("feedback_a_corregir")] if with_feedback else [])
-    rows = scored.filter("is_content").select(
-        "deck_id", part_of(F.col("slide_number")).alias("part"), F.struct(*fields).alias("e")
-    )
-    return rows.groupBy("deck_id", "part").agg(
-        F.to_json(F.array_sort(F.collect_list("e"))).alias("batch_data")
-    )
+    rows = scored.filter("is_content").select(*_KEYS, F.to_json(F.struct(*fields)).alias("entry"))
+    return _calls(rows, call_slides).drop("head")
 
 
 def parse_restructure(responses: DataFrame) -> DataFrame:

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from decklens import constants as K
 from decklens.functions import numeric as N
 from decklens.operators import metrics as M
-
-#: slides per stored document part; bounds what one task gathers for one deck
-SLIDES_PER_PART = 500
+from decklens.operators.folded import fold_text
 
 
 def icd_normalised(icd: Column) -> Column:
@@ -174,33 +172,36 @@ def summarise_decks(scored: DataFrame, *parts: str) -> DataFrame:
     return out.select(*keep)
 
 
-def part_of(slide_number: Column) -> Column:
-    """Part of a deck a slide is stored in."""
-    return F.floor((slide_number - 1) / SLIDES_PER_PART).cast("int")
-
-
-def per_part(decks: DataFrame, slides: DataFrame) -> DataFrame:
-    """Rows of ``decks`` once per part that occurs in ``slides``, with the number of ``parts``."""
-    found = slides.select("deck_id", part_of(F.col("slide_number")).alias("part")).distinct()
-    counted = found.groupBy("deck_id").agg(F.count(F.lit(1)).cast("int").alias("parts"))
-    return found.join(decks.join(counted, "deck_id"), "deck_id")
+def _totals_head() -> Column:
+    """A deck's document up to its list of slides, as JSON text without the closing brace."""
+    metrics = ("icd", "wps", "hss", "nts")
+    head = F.to_json(F.struct(
+        F.col("total_slides").alias("total_diapositivas"),
+        F.struct(
+            F.col("deck_score").alias("score_global"), F.col("deck_zone").alias("zona_global"),
+            F.struct(*[F.col(f"{m}_score").alias(m) for m in metrics]).alias("scores_metrica"),
+            F.struct(*[F.col(f"{m}_weighted").alias(f"{m}_pond") for m in metrics]).alias("desglose"),
+            F.struct(*[F.lit(K.WEIGHTS[m]).alias(m) for m in metrics]).alias("pesos"),
+        ).alias("score_global_presentacion"),
+        F.col("total_seconds").alias("tiempo_total_exposicion_segundos"),
+        F.col("total_time").alias("tiempo_total_formateado"),
+        F.coalesce("temas_presentacion", F.array()).alias("temas_presentacion"),
+    ), {"ignoreNullFields": "false"})
+    return F.substring(head, F.lit(1), F.length(head) - 1)
 
 
 def deck_documents(
     scored: DataFrame, topics: DataFrame | None = None, totals: DataFrame | None = None
 ) -> DataFrame:
-    """The stored analysis of each deck as nested rows ``(deck_id, part, parts, analysis)``.
+    """The stored analysis of each deck as JSON text: ``(deck_id, result)``, one row per deck of any size.
 
-    A deck is written in parts of ``SLIDES_PER_PART`` slides, so no task ever gathers an unbounded
-    deck; an ordinary deck has one part. Every part repeats the deck totals. ``topics`` may bring
-    ``(deck_id, temas_presentacion)``. Pass ``totals`` (from :func:`summarise_decks`) and a
-    ``scored`` table that has been written when both are at hand: the texts are then not read a
-    second time for the totals.
+    Null fields are kept. Slides are written in order by :func:`decklens.operators.folded.fold_text`,
+    the deck's totals travelling ahead of them; no task gathers a deck's slides, and a deck with a large share of
+    all slides is spread. ``topics`` may bring ``(deck_id, temas_presentacion)``. Pass ``totals`` (from
+    :func:`summarise_decks`) and a ``scored`` table that has been written when both are at hand: the
+    texts are then not read a second time for the totals.
     """
     totals = totals if totals is not None else summarise_decks(scored, "score", "time")
-    totals = totals.select(
-        "deck_id", "total_slides", "deck_score", "deck_zone", "total_seconds", "total_time"
-    )
     if topics is not None:
         totals = totals.join(topics.select("deck_id", "temas_presentacion"), "deck_id", "left")
     else:
@@ -238,31 +239,6 @@ def deck_documents(
         extra["facts"].alias("datos_curiosos"),
         F.when(content & (F.size(generated) > 0), F.struct(generated.alias("diapositivas_generadas"))).alias("reestructuracion"),
     )
-    gathered = scored.groupBy("deck_id", part_of(F.col("slide_number")).alias("part")).agg(
-        F.array_sort(F.collect_list(slide)).alias("slides")
-    )
-    # The totals are repeated per part: the join then runs on (deck, part), where the gathered
-    # slides already are, and the parts of one large deck stay spread.
-    return gathered.join(per_part(totals, scored), ["deck_id", "part"]).select(
-        "deck_id",
-        "part",
-        "parts",
-        F.struct(
-            F.col("total_slides").alias("total_diapositivas"),
-            F.struct(
-                F.col("deck_score").alias("score_global"), F.col("deck_zone").alias("zona_global")
-            ).alias("score_global_presentacion"),
-            F.col("total_seconds").alias("tiempo_total_exposicion_segundos"),
-            F.col("total_time").alias("tiempo_total_formateado"),
-            F.coalesce("temas_presentacion", F.array()).alias("temas_presentacion"),
-            F.col("slides"),
-        ).alias("analysis"),
-    )
-
-
-def to_stored_json(documents: DataFrame) -> DataFrame:
-    """``analysis`` as JSON text in ``result`` (null fields kept, as in the stored form)."""
-    return documents.select(
-        "deck_id", "part", "parts",
-        F.to_json("analysis", {"ignoreNullFields": "false"}).alias("result"),
-    )
+    rows = scored.select("deck_id", "slide_number", F.to_json(slide, {"ignoreNullFields": "false"}).alias("entry"))
+    whole = fold_text(rows, ["deck_id"], ["slide_number"], totals.select("deck_id", _totals_head().alias("head")))
+    return whole.select("deck_id", F.concat("head", F.lit(',"slides":['), "text", F.lit("]}")).alias("result"))

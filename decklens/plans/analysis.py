@@ -14,7 +14,7 @@ from decklens.session import staged
 
 
 class Analysis(NamedTuple):
-    """``scored``: one row per slide; ``decks``: one per deck; ``documents``: nested, per deck part."""
+    """``scored``: one row per slide; ``decks``: one per deck; ``documents``: JSON text, one per deck."""
 
     scored: DataFrame
     decks: DataFrame
@@ -46,12 +46,11 @@ def analyse_decks(
 def store_analyses(analysis: Analysis, deck_versions: DataFrame, versions: DataFrame, analyses: DataFrame):
     """New ``(versions, analyses)`` tables with the analysis of ``deck_versions(deck_id, version_id)``:
     documents stored, score and zone set, versions marked as analysed."""
-    by_part = SC.per_part(deck_versions.select("deck_id", "version_id"), analysis.scored)
-    stored = SC.to_stored_json(analysis.documents).drop("parts").join(by_part, ["deck_id", "part"])
+    stored = analysis.documents.join(deck_versions.select("deck_id", "version_id"), "deck_id")
     changed = analysis.decks.join(deck_versions, "deck_id").select(
         "version_id", F.col("deck_score").alias("score"), F.col("deck_zone").alias("zone"), F.lit(1).alias("analysed")
     )
     return (
         C.update_versions(versions, changed, "score", "zone", "analysed"),
-        C.upsert_analyses(analyses, stored.select("version_id", "part", "result")),
+        C.upsert_analyses(analyses, stored.select("version_id", "result")),
     )

@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from decklens import schemas as SCH
 from decklens.operators import catalog as C
+from decklens.operators.hash_index import HashIndex
 from decklens.plans import sql as S
 from decklens.plans import tables as T
 from decklens.plans.registry import query
+from decklens.session import scratch_folder, staged
 from decklens.sources import syllabus as SY
+from decklens.sources.keyed_table import KeyedTable
 
 _VERSIONS = """
 versions AS (SELECT conv_id || '/' || turn AS version_id, conv_id AS deck_id, CAST(turn + 1 AS INTEGER) AS version,
@@ -71,12 +74,23 @@ def _(spark, sf):
     return C.known_hash(asked, known).select("file_id", "known")
 
 
+@query("G3_duplicate_by_index", """
+  WITH k AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE lang = 'es' OR doc_id % 10 = 3)
+  SELECT DISTINCT sha256(text) AS hash FROM documents WHERE sha256(text) IN (SELECT hash FROM k)""")
+def _(spark, sf):
+    """Known hashes by a stored index that was filled in two steps."""
+    docs = T.documents(spark, sf).select("doc_id", "lang", F.sha2("text", 256).alias("hash"))
+    index = HashIndex(spark, scratch_folder(spark)).create(docs.filter("lang = 'es'"), 16)
+    index.add("third", docs.filter("doc_id % 10 = 3"))
+    return index.known(docs.select("hash").filter("hash is not null").distinct())
+
+
 _FILES = f"""
 f AS (SELECT doc_id, n_chars, sha256(text) AS hash,
     CASE WHEN n_chars % 23 = 0 THEN 0 ELSE (len({S.lines('text')}) + 2) // 3 END AS total_slides FROM documents)"""
 
 
-@query("G4_register_decks", f"""
+_REGISTERED = f"""
   WITH {_FILES},
   known AS (SELECT DISTINCT hash FROM f WHERE doc_id % 10 = 3),
   s AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id) AS rn FROM f WHERE doc_id % 6 <> 5),
@@ -87,12 +101,26 @@ f AS (SELECT doc_id, n_chars, sha256(text) AS hash,
   SELECT doc_id AS file_id, outcome,
     CASE WHEN outcome = 'accepted' THEN 'presentaciones/' || r_name || '/doc_' || doc_id || '.pdf' END AS pdf_path
   FROM o JOIN region ON r_regionkey = doc_id % 6
-  UNION ALL SELECT doc_id, 'no_subject', NULL FROM f WHERE doc_id % 6 = 5""")
+  UNION ALL SELECT doc_id, 'no_subject', NULL FROM f WHERE doc_id % 6 = 5"""
+
+
+@query("G4_register_decks", _REGISTERED)
 def _(spark, sf):
     files = T.incoming_files(spark, sf)
     known = files.filter("file_id % 10 = 3").select("hash")
+    return _registered(spark, sf, files, known)
+
+
+@query("G4_register_decks_indexed", _REGISTERED)
+def _(spark, sf):
+    files = T.incoming_files(spark, sf)
+    index = HashIndex(spark, scratch_folder(spark)).create(files.filter("file_id % 10 = 3"), 16)
+    return _registered(spark, sf, files, None, index)
+
+
+def _registered(spark, sf, files, known, index=None):
     subjects = T.course_tables(spark, sf)[0]
-    decks, versions, rejected = C.register_decks(files, subjects, known, F.lit("2024-01-01").cast("date"), 0.005)
+    decks, versions, rejected = C.register_decks(files, subjects, known, F.lit("2024-01-01").cast("date"), 0.005, index)
     number = F.regexp_extract("file_name", r"(\d+)", 1).cast("bigint").alias("file_id")
     stored = decks.join(versions, "deck_id").select(number, F.lit("accepted").alias("outcome"), "pdf_path")
     return stored.unionByName(rejected.select(
@@ -178,13 +206,13 @@ def _(spark, sf):
 
 @query("G10_syllabus_nested", f"""
   WITH {_TREE}
-  SELECT subject_id, unit, part, topic, CASE WHEN topic IS NOT NULL THEN coalesce(names, '') END AS subtopics
-  FROM (SELECT subject_id, unit, CAST(coalesce(subtopic_number // 500, 0) AS BIGINT) AS part, topic,
+  SELECT subject_id, unit, topic, CASE WHEN topic IS NOT NULL THEN coalesce(names, '') END AS subtopics
+  FROM (SELECT subject_id, unit, topic,
       string_agg(subtopic, '|' ORDER BY subtopic_number) AS names FROM tree GROUP BY ALL)""")
 def _(spark, sf):
     tree = C.syllabus_tree(C.syllabus_labels(*T.course_tables(spark, sf)))
-    return tree.select("subject_id", "unit", "part", F.explode_outer("topics").alias("t")).select(
-        "subject_id", "unit", "part", "t.topic", F.array_join("t.subtopics", "|").alias("subtopics")
+    return tree.select("subject_id", "unit", F.explode_outer("topics").alias("t")).select(
+        "subject_id", "unit", "t.topic", F.array_join("t.subtopics", "|").alias("subtopics")
     )
 
 
@@ -217,6 +245,46 @@ def _(spark, sf):
     return C.upsert_analyses(T.analyses(spark, sf), new)
 
 
+def _stored(rows, bucket_by: str):
+    return KeyedTable(rows.sparkSession, scratch_folder(rows.sparkSession)).create(rows, [bucket_by], 32)
+
+
+@query("G13_upsert_stored", f"""
+  WITH {_VERSIONS}, {_OLD},
+  new AS (SELECT version_id, 'new ' || version_id AS result FROM versions WHERE version % 3 = 0)
+  SELECT version_id, 0 AS slide_number, result FROM new
+  UNION ALL SELECT version_id, 0, result FROM old WHERE version_id NOT IN (SELECT version_id FROM new)""")
+def _(spark, sf):
+    """Into the stored table; the second call brings the same batch again and changes nothing."""
+    table = _stored(T.analyses(spark, sf), "version_id")
+    new = T.versions(spark, sf).filter("version % 3 = 0").select(
+        "version_id", F.lit(0).alias("slide_number"), F.concat(F.lit("new "), "version_id").alias("result")
+    )
+    table.upsert("batch 1", new, ["version_id"])
+    table.upsert("batch 1", new.withColumn("result", F.lit("again")), ["version_id"])
+    return table.read()
+
+
+@query("G15_mark_latest_stored", f"""
+  WITH {_VERSIONS}
+  SELECT v.version_id, CASE WHEN n.version_id IS NOT NULL AND v.deck_id % 2 = 0 THEN 1 ELSE v.analysed END AS analysed
+  FROM versions v LEFT JOIN newest n USING (version_id)""")
+def _(spark, sf):
+    """In a table laid out by deck: all versions of a touched deck are in its bucket."""
+    table = _stored(T.versions(spark, sf), "deck_id")
+    decks = staged(T.decks(spark, sf).filter("deck_id % 2 = 0"))
+    table.change("mark", decks, lambda old: C.mark_latest_analysed(old, decks))
+    return table.read().select("version_id", "analysed")
+
+
+@query("G18_delete_stored", f"""
+  WITH {_VERSIONS} SELECT version_id, deck_id, path FROM versions WHERE deck_id % 4 <> 1""")
+def _(spark, sf):
+    table = _stored(T.versions(spark, sf), "deck_id")
+    table.delete("gone", T.decks(spark, sf).filter("deck_id % 4 = 1"), ["deck_id"])
+    return table.read().select("version_id", "deck_id", "path")
+
+
 @query("G14_update_version_score", f"""
   WITH {_VERSIONS} SELECT version_id, CASE WHEN version % 2 = 0 THEN total_slides / 4.0 END AS score,
     CASE WHEN version % 2 = 0 THEN 'bueno' END AS zone FROM versions""")
@@ -253,43 +321,49 @@ def _(spark, sf):
     return C.toggle_subjects(_subjects(spark, sf), ["Customer#000000001", "Customer#000000007"], False)
 
 
-def _counts(named):
+def _rows(named):
+    """What is left of several tables, as rows ``(part, id)``."""
     out = None
-    for name, df in named:
-        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
-        out = row if out is None else out.unionByName(row)
+    for name, df, column in named:
+        rows = df.select(F.lit(name).alias("part"), F.col(column).cast("string").alias("id"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+_KEYS = ("deck_id", "version_id", "version_id", "deck_id")
+
+
 @query("G18_delete_deck_cascade", f"""
-  WITH {_VERSIONS}
-  SELECT 'decks' AS part, count(*) AS n FROM decks WHERE deck_id % 4 <> 1
-  UNION ALL SELECT 'versions', count(*) FROM versions WHERE deck_id % 4 <> 1
-  UNION ALL SELECT 'analyses', count(*) FROM versions WHERE deck_id % 4 <> 1 AND analysed = 1
-  UNION ALL SELECT 'links', count(*) FROM decks WHERE deck_id % 4 <> 1 AND deck_id % 3 = 0
-  UNION ALL SELECT 'paths', coalesce(CAST(sum(CASE WHEN pdf_path IS NULL THEN 2 ELSE 3 END) AS BIGINT), 0) FROM versions WHERE deck_id % 4 = 1""")
+  WITH {_VERSIONS}, gone AS (SELECT * FROM versions WHERE deck_id % 4 = 1)
+  SELECT 'decks' AS part, CAST(deck_id AS VARCHAR) AS id FROM decks WHERE deck_id % 4 <> 1
+  UNION ALL SELECT 'versions', version_id FROM versions WHERE deck_id % 4 <> 1
+  UNION ALL SELECT 'analyses', version_id FROM versions WHERE deck_id % 4 <> 1 AND analysed = 1
+  UNION ALL SELECT 'links', CAST(deck_id AS VARCHAR) FROM decks WHERE deck_id % 4 <> 1 AND deck_id % 3 = 0
+  UNION ALL SELECT 'paths', path FROM gone UNION ALL SELECT 'paths', thumb_path FROM gone
+  UNION ALL SELECT 'paths', pdf_path FROM gone WHERE pdf_path IS NOT NULL""")
 def _(spark, sf):
     decks = T.decks(spark, sf)
     keys = decks.filter("deck_id % 4 = 1").select("deck_id")
     parts = C.delete_decks(keys, decks, T.versions(spark, sf), T.analyses(spark, sf), T.links(spark, sf))
-    return _counts(zip(("decks", "versions", "analyses", "links", "paths"), parts))
+    return _rows(zip(("decks", "versions", "analyses", "links", "paths"), parts, (*_KEYS, "stored_path")))
 
 
 @query("G19_delete_subject_cascade", f"""
   WITH {_VERSIONS},
   gone AS (SELECT CAST(r_regionkey AS VARCHAR) AS subject_id FROM region WHERE r_name IN ('ASIA', 'EUROPE')),
   kept AS (SELECT * FROM decks WHERE subject_id NOT IN (SELECT subject_id FROM gone))
-  SELECT 'active' AS part, count(*) FILTER (r_regionkey % 2 = 1 AND r_name NOT IN ('ASIA', 'EUROPE')) AS n FROM region
-  UNION ALL SELECT 'decks', count(*) FROM kept
-  UNION ALL SELECT 'versions', count(*) FROM versions WHERE deck_id IN (SELECT deck_id FROM kept)
-  UNION ALL SELECT 'analyses', count(*) FROM versions WHERE deck_id IN (SELECT deck_id FROM kept) AND analysed = 1
-  UNION ALL SELECT 'links', count(*) FROM kept WHERE deck_id % 3 = 0""")
+  SELECT 'active' AS part, r_name AS id FROM region WHERE r_regionkey % 2 = 1 AND r_name NOT IN ('ASIA', 'EUROPE')
+  UNION ALL SELECT 'decks', CAST(deck_id AS VARCHAR) FROM kept
+  UNION ALL SELECT 'versions', version_id FROM versions WHERE deck_id IN (SELECT deck_id FROM kept)
+  UNION ALL SELECT 'analyses', version_id FROM versions WHERE deck_id IN (SELECT deck_id FROM kept) AND analysed = 1
+  UNION ALL SELECT 'links', CAST(deck_id AS VARCHAR) FROM kept WHERE deck_id % 3 = 0""")
 def _(spark, sf):
     subjects = T.course_tables(spark, sf)[0]
     parts = C.delete_subjects(
         ["ASIA", "EUROPE"], subjects, T.decks(spark, sf), T.versions(spark, sf), T.analyses(spark, sf), T.links(spark, sf)
     )
-    return _counts([("active", C.active_subjects(parts[0])), *zip(("decks", "versions", "analyses", "links"), parts[1:5])])
+    named = zip(("decks", "versions", "analyses", "links"), parts[1:5], _KEYS)
+    return _rows([("active", C.active_subjects(parts[0]), "name"), *named])
 
 
 @query("G20_add_column_if_missing", f"""

@@ -360,7 +360,7 @@ def _whole(rows):
 
 @query("D7_whole_analysis", _WHOLE)
 def _(spark, sf):
-    return _whole(AN.document_slides(_analysis(spark, sf).documents))
+    return _whole(AN.stored_slides(_analysis(spark, sf).documents))
 
 
 @query("G13_store_analysis", f"""

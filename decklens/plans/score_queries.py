@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from decklens.operators import score as SC
 from decklens.plans import sql as S
 from decklens.plans import tables as T
 from decklens.plans.analysis import analyse_decks
 from decklens.plans.registry import query
+from decklens.schemas import ANALYSED_SLIDE, ANALYSIS
 from decklens.sources import analysis as AN
 
 rnd = S.rnd
@@ -80,8 +82,9 @@ def deck_scores(spark, sf: str, lang: str | None = None):
 
 _DOCUMENT = f"""
   WITH {S.deck_score(S.SCORED)}
-  SELECT s.deck_id, s.slide_number, CAST(floor((s.slide_number - 1) / 500) AS INTEGER) AS part,
-    d.total_slides, d.deck_score, d.deck_zone, d.total_seconds, d.total_time, s.slide_type, s.seconds,
+  SELECT s.deck_id, s.slide_number,
+    d.total_slides, d.deck_score, d.deck_zone, d.icd_score, d.wps_score, d.hss_score, d.nts_score, d.icd_weighted, d.wps_weighted,
+    d.hss_weighted, d.nts_weighted, {' || '.join(f"'{w} '" for w in S.K.WEIGHTS.values())} AS weights, d.total_seconds, d.total_time, s.slide_type, s.seconds,
     NOT is_content AS omitted, CASE WHEN is_content THEN slide_score END AS slide_score,
     CASE WHEN is_content THEN slide_zone END AS slide_zone,
     CASE WHEN is_content THEN coalesce(icd, 0) END AS icd, CASE WHEN is_content THEN icd_status END AS icd_status,
@@ -91,8 +94,11 @@ _DOCUMENT = f"""
 
 def _flat(rows):
     return rows.select(
-        "deck_id", "slide_number", "part", F.col("total_diapositivas").alias("total_slides"),
+        "deck_id", "slide_number", F.col("total_diapositivas").alias("total_slides"),
         F.col("score_global").alias("deck_score"), F.col("zona_global").alias("deck_zone"),
+        *[F.col(f"scores_metrica.{m}").alias(f"{m}_score") for m in S.K.WEIGHTS],
+        *[F.col(f"desglose.{m}_pond").alias(f"{m}_weighted") for m in S.K.WEIGHTS],
+        F.concat(*[F.concat(F.col(f"pesos.{m}").cast("string"), F.lit(" ")) for m in S.K.WEIGHTS]).alias("weights"),
         F.col("tiempo_total_exposicion_segundos").alias("total_seconds"),
         F.col("tiempo_total_formateado").alias("total_time"), F.col("tipo").alias("slide_type"),
         F.col("tiempo_exposicion").alias("seconds"), F.col("omitida").alias("omitted"),
@@ -102,23 +108,43 @@ def _flat(rows):
     )
 
 
+def _fields(kind: StructType, **kept) -> StructType:
+    """``kind`` with the named fields only; a value of True keeps a field whole."""
+    return StructType([StructField(f.name, f.dataType if kept[f.name] is True else kept[f.name]) for f in kind.fields if f.name in kept])
+
+
+#: what the comparison of documents reads of them
+_METRIC = _fields(ANALYSED_SLIDE["metricas"].dataType["icd"].dataType, valor=True, estado=True)
+_SHORT = _fields(
+    ANALYSIS, total_diapositivas=True, score_global_presentacion=True, tiempo_total_exposicion_segundos=True, tiempo_total_formateado=True,
+    slides=ArrayType(_fields(
+        ANALYSED_SLIDE, slide_number=True, tipo=True, tiempo_exposicion=True, omitida=True, score_slide=True, zona_slide=True,
+        metricas=_fields(ANALYSED_SLIDE["metricas"].dataType, icd=_METRIC, wps=_METRIC),
+    )),
+)
+
+
 def _documents(spark, sf):
     return analyse_decks(T.slides(spark, sf)).documents
 
 
 @query("D7_deck_document", _DOCUMENT)
 def _(spark, sf):
-    return _flat(AN.document_slides(_documents(spark, sf)))
+    return _flat(AN.stored_slides(_documents(spark, sf), _SHORT))
 
 
 @query("A17_analysis_json_source", _DOCUMENT)
 def _(spark, sf):
-    return _flat(AN.stored_slides(SC.to_stored_json(_documents(spark, sf))))
+    return _flat(AN.stored_slides(_documents(spark, sf)))
 
 
 @query("A15_analysis_json_sink", _DOCUMENT)
 def _(spark, sf):
-    return _flat(AN.document_slides(AN.written_and_read(_documents(spark, sf))))
+    """One file per version, written and read back."""
+    path = F.concat(F.lit("presentaciones/doc "), F.col("deck_id").cast("string"), F.lit("_v1.pptx")).alias("path")
+    back = AN.written_and_read(_documents(spark, sf).select(path, "result"))
+    number = F.regexp_extract("path", r"^presentaciones/doc (\d+)_v1$", 1).cast("bigint").alias("deck_id")
+    return _flat(AN.stored_slides(back.select(number, "result")))
 
 
 @query("A16_csv_report_sink", f"""

@@ -14,6 +14,7 @@ from decklens.operators import similarity as SIM
 from decklens.plans import sql as S
 from decklens.plans import tables as T
 from decklens.plans.registry import query
+from decklens.session import staged
 from decklens.sources import files as FI
 from decklens.sources import slides as SL
 
@@ -309,3 +310,29 @@ def _(spark, sf):
     UNION ALL SELECT 'palabras_por_frase', pf FROM base UNION ALL SELECT 'silabas_por_palabra', sp FROM base)"""))
 def _(spark, sf):
     return CAL.metric_calibration(T.slides(spark, sf))
+
+
+def _kept_counts(spark, sf, values, scale: int):
+    """Counts kept over three batches of decks, and then without the decks whose number ends in 0."""
+    slides = T.slides(spark, sf)
+    state = None
+    for batch in range(3):
+        added = CAL.value_counts(values(slides.filter(F.col("deck_id") % 3 == batch)), scale)
+        state = staged(added if state is None else CAL.merged_counts(state, added))
+    gone = CAL.value_counts(values(slides.filter("deck_id % 10 = 0")), scale)
+    return CAL.quartiles_of_counts(CAL.merged_counts(state, removed=gone), scale)
+
+
+@query("D8_word_calibration_kept", "WITH " + _quartile_sql(f"""{S.COUNTS},
+  rows AS (SELECT 'palabras' AS metric, CAST(body_words AS DOUBLE) AS v FROM counts WHERE body_words >= 5 AND deck_id % 10 <> 0)"""))
+def _(spark, sf):
+    return _kept_counts(spark, sf, CAL.word_values, 1)
+
+
+@query("D9_metric_calibration_kept", "WITH " + _quartile_sql(f"""{S.METRICS},
+  base AS (SELECT {rnd('fsz_raw', 2)} AS fsz, {rnd('dl_raw', 2)} AS dl, {rnd('wps_raw', 2)} AS pf, {rnd('spw_raw', 2)} AS sp
+    FROM m WHERE words >= 10 AND tokens >= 5 AND deck_id % 10 <> 0),
+  rows AS (SELECT 'fsz' AS metric, fsz AS v FROM base UNION ALL SELECT 'dl', dl FROM base
+    UNION ALL SELECT 'palabras_por_frase', pf FROM base UNION ALL SELECT 'silabas_por_palabra', sp FROM base)"""))
+def _(spark, sf):
+    return _kept_counts(spark, sf, CAL.metric_values, 100)

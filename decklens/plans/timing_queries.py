@@ -185,6 +185,17 @@ def _(spark, sf):
     return L.read_slide_dwell(spark, folder).drop("first_ts", "last_ts")
 
 
+@query("I1_slide_dwell_reconciled", _DWELL)
+def _(spark, sf):
+    """Counts of a stream by day, corrected by the log of all ticks."""
+    folder = scratch_folder(spark)
+    L.stream_slide_dwell(_tick_stream(spark, sf), folder, f"{folder}/checkpoint").awaitTermination()
+    L.log_ticks(_tick_stream(spark, sf), folder, f"{folder}/checkpoint-log").awaitTermination()
+    L.compact_dwell(spark, folder)
+    L.reconcile_late(spark, folder)
+    return L.read_daily_dwell(spark, folder).drop("first_ts", "last_ts")
+
+
 _CHANGES = f"""
   WITH {_TICKS},
   spans AS (SELECT *, epoch_us(lead(ts) OVER (PARTITION BY deck_id, "group", session ORDER BY ts)) - epoch_us(ts) AS span FROM ticks)
@@ -203,18 +214,32 @@ def _(spark, sf):
     return L.read_page_change_dwell(spark, folder)
 
 
-@query("I3_overrun_flag", f"""
+_OVERRUN = f"""
   WITH {_TICKS},
   n AS (SELECT t.*, row_number() OVER (PARTITION BY deck_id, "group", session ORDER BY ts) AS elapsed FROM ticks t)
   SELECT n.deck_id, n."group", n.session, max(elapsed) AS elapsed, max(planned) AS planned,
     max(planned) > 0 AND max(elapsed) > max(planned) AS overrun,
     CAST(min(ts) FILTER (planned > 0 AND elapsed > planned) AS VARCHAR) AS overrun_ts
-  FROM n JOIN plans p ON p.deck_id = n.deck_id AND p."group" = n."group" AND p.session = n.session GROUP BY ALL""")
+  FROM n JOIN plans p ON p.deck_id = n.deck_id AND p."group" = n."group" AND p.session = n.session GROUP BY ALL"""
+
+
+@query("I3_overrun_flag", _OVERRUN)
 def _(spark, sf):
     ticks = T.ticks(spark, sf)
     return L.overrun(ticks, T.plans(ticks)).withColumn("overrun_ts", F.col("overrun_ts").cast("string"))
 
 
+@query("I3_overrun_stream", f"""
+  SELECT deck_id, "group", session, planned, overrun_ts FROM ({_OVERRUN}) WHERE overrun""")
+def _(spark, sf):
+    """The reports of a stream over all ticks."""
+    folder = scratch_folder(spark)
+    plans = T.plans(T.ticks(spark, sf))
+    L.stream_overrun(_tick_stream(spark, sf), plans, folder, f"{folder}/checkpoint").awaitTermination()
+    found = L.read_overruns(spark, folder)
+    return found.select(*L.SESSION, "planned", F.col("overrun_ts").cast("string").alias("overrun_ts"))
+
+
 _TOTALS = f"""
   WITH {_TICKS},
   s AS (SELECT t.deck_id, t."group", t.session, count(*) AS duration, arg_max(slide, ts) AS last_slide, max(planned) AS planned

@@ -59,7 +59,10 @@ ANALYSED_SLIDE = _struct(
 )
 ANALYSIS = _struct(
     total_diapositivas=_l,
-    score_global_presentacion=_struct(score_global=_d, zona_global=_s),
+    score_global_presentacion=_struct(
+        score_global=_d, zona_global=_s, scores_metrica=_struct(icd=_d, wps=_d, hss=_d, nts=_d),
+        desglose=_struct(icd_pond=_d, wps_pond=_d, hss_pond=_d, nts_pond=_d), pesos=_struct(icd=_d, wps=_d, hss=_d, nts=_d),
+    ),
     tiempo_total_exposicion_segundos=_l, tiempo_total_formateado=_s,
     temas_presentacion=T.ArrayType(COVERED_UNIT),
     slides=T.ArrayType(ANALYSED_SLIDE),

@@ -1,7 +1,9 @@
-"""Stored analyses: JSON text, JSON files, CSV calibration reports."""
+"""Stored analyses: JSON text, one JSON file per version, CSV calibration reports."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,22 +11,25 @@ from pyspark.sql import types as T
 from decklens import schemas as S
 from decklens.operators import calibrate as CAL
 from decklens.session import scratch_folder
+from decklens.sources.version_files import SUFFIX, VersionFiles
+
 
+def parse_analysis(stored: DataFrame, column: str = "result", schema: T.StructType = S.ANALYSIS) -> DataFrame:
+    """JSON text back to an ``analysis`` struct. Broken or missing text gives an empty document.
 
-def parse_analysis(stored: DataFrame, column: str = "result") -> DataFrame:
-    """JSON text back to an ``analysis`` struct. Broken or missing text gives an empty document."""
-    parsed = F.from_json(column, S.ANALYSIS, {"mode": "PERMISSIVE"})
+    A ``schema`` with fewer fields saves the parser the rest.
+    """
+    parsed = F.from_json(column, schema, {"mode": "PERMISSIVE"})
     return stored.withColumn("analysis", parsed).drop(column)
 
 
 def document_slides(documents: DataFrame) -> DataFrame:
-    """One row per slide of nested analyses, beside the deck totals; empty documents give none."""
+    """One row per slide of parsed analyses, beside the deck totals; empty documents give none."""
     keys = [c for c in documents.columns if c != "analysis"]
     flat = documents.select(
         *keys,
         "analysis.total_diapositivas",
-        "analysis.score_global_presentacion.score_global",
-        "analysis.score_global_presentacion.zona_global",
+        "analysis.score_global_presentacion.*",
         "analysis.tiempo_total_exposicion_segundos",
         "analysis.tiempo_total_formateado",
         F.explode_outer("analysis.slides").alias("slide"),
@@ -32,28 +37,37 @@ def document_slides(documents: DataFrame) -> DataFrame:
     return flat.select(*[c for c in flat.columns if c != "slide"], "slide.*")
 
 
-def stored_slides(stored: DataFrame) -> DataFrame:
-    return document_slides(parse_analysis(stored))
+def stored_slides(stored: DataFrame, schema: T.StructType = S.ANALYSIS) -> DataFrame:
+    return document_slides(parse_analysis(stored, schema=schema))
+
 
+def write_analyses(stored: DataFrame, folder: str) -> None:
+    """Analyses ``(path, result)`` as one UTF-8 file each, beside the path of its version: a deck at
+    ``a/b_v2.pptx`` gives ``a/b_v2_analysis.json`` below ``folder``. Paths are expected to be unique.
 
-def write_analyses(documents: DataFrame, folder: str, *partition_by: str) -> None:
-    """Nested analyses as JSON lines, UTF-8, one line per deck part."""
-    writer = documents.write.mode("overwrite").option("ignoreNullFields", "false")
-    (writer.partitionBy(*partition_by) if partition_by else writer).json(folder)
+    Files appear when all tasks have ended; an analysis that stands already is replaced.
+    """
+    spark = stored.sparkSession
+    spark.dataSource.register(VersionFiles)
+    stored.select("path", "result").write.format(VersionFiles.name()).mode("append").save(folder)
 
 
-def read_analyses(spark, folder: str, keys: T.StructType) -> DataFrame:
-    schema = T.StructType(keys.fields + [T.StructField("analysis", S.ANALYSIS)])
-    return spark.read.schema(schema).json(folder)
+def read_analyses(spark, folder: str) -> DataFrame:
+    """``(path, result)``: every analysis file below ``folder``, its path without the suffix."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{SUFFIX}").option("wholetext", True).text(folder)
+    root = re.sub(r"^file:/+", "/", folder).rstrip("/")
+    name = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    return files.select(
+        F.regexp_replace(F.substring(name, F.locate(f"{root}/", name) + len(root) + 1, F.length(name)), f"{re.escape(SUFFIX)}$", "").alias("path"),
+        F.col("value").alias("result"),
+    )
 
 
-def written_and_read(documents: DataFrame) -> DataFrame:
+def written_and_read(stored: DataFrame) -> DataFrame:
     """Write to a new shared folder and read back."""
-    spark = documents.sparkSession
-    folder = scratch_folder(spark)
-    write_analyses(documents, folder)
-    keys = T.StructType([f for f in documents.schema.fields if f.name != "analysis"])
-    return read_analyses(spark, folder, keys)
+    folder = scratch_folder(stored.sparkSession)
+    write_analyses(stored, folder)
+    return read_analyses(stored.sparkSession, folder)
 
 
 def write_csv_report(rows: DataFrame, folder: str) -> None:

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from decklens import constants as K
 from decklens.functions import text as X
 from decklens.operators import ordered as O
+from decklens.operators.folded import fold_text, json_text
+from decklens.session import staged
+from decklens.streaming.keyed import Keyed, hash_part
 
 SESSION = ["deck_id", "group", "session"]
 
@@ -60,11 +63,90 @@ def stream_slide_dwell(ticks: DataFrame, folder: str, checkpoint: str, late: str
 
 def read_slide_dwell(spark, folder: str) -> DataFrame:
     """Seconds per slide and session from the stream's output, as :func:`slide_dwell` gives them."""
-    ends = [F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
-    latest = spark.read.parquet(f"{folder}/dwell").groupBy(*SESSION, "slide", "day").agg(
-        F.max("seconds").alias("seconds"), *ends
+    return _by_day(_latest(spark.read.parquet(f"{folder}/dwell")))
+
+
+def _latest(batches: DataFrame) -> DataFrame:
+    """One row per session, slide and day: counts only grow, so the highest is the last."""
+    return batches.groupBy(*SESSION, "slide", "day").agg(
+        F.max("seconds").alias("seconds"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
     )
-    return latest.groupBy(*SESSION, "slide").agg(F.sum("seconds").alias("seconds"), *ends)
+
+
+def _by_day(days: DataFrame) -> DataFrame:
+    return days.groupBy(*SESSION, "slide").agg(
+        F.sum("seconds").alias("seconds"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
+    )
+
+
+def _daily(spark, folder: str) -> Keyed:
+    return Keyed(spark, f"{folder}/daily", [*SESSION, "day"], F.date_format("day", "yyyy-MM-dd"))
+
+
+def log_ticks(ticks: DataFrame, folder: str, checkpoint: str):
+    """A second stream over the same source that logs every tick as it arrives, late ones too; returns the query."""
+    spark = ticks.sparkSession
+    rows = ticks.select(*SESSION, "slide", F.col("ts").cast("timestamp").alias("ts")).withColumn("day", F.date_trunc("day", "ts"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        _daily(spark, folder).append(batch, batch_id)
+
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+
+
+def compact_dwell(spark, folder: str) -> None:
+    """Bring the stream's counts into the table by day: one row per session, slide and day.
+
+    Only batches that came since the last call are read, and only the days that occur in them are
+    rewritten. Counts that :func:`reconcile_late` has set are higher than the stream's, and stay.
+    """
+    daily = _daily(spark, folder)
+    done = daily.read("compacted")
+    batches = spark.read.parquet(f"{folder}/dwell")
+    if done is not None:
+        batches = batches.filter(F.col("batch") > done.agg(F.max("upto")).first()[0])
+    upto = batches.agg(F.max("batch")).first()[0]
+    if upto is None:
+        return
+    fresh = _latest(batches.filter(F.col("batch") <= upto))
+    touched = fresh.select(*SESSION, "day", daily.part.alias("part")).distinct()
+    before = daily.read("dwell")
+    if before is not None:
+        same = before.join(touched.select(*SESSION, "day"), [*SESSION, "day"], "left_semi")
+        fresh = _latest(fresh.unionByName(same.select(*fresh.columns)))
+    daily.replace("dwell", fresh, staged(touched))
+    spark.range(1).select(F.lit(upto).alias("upto")).write.mode("append").parquet(f"{folder}/daily/compacted")
+
+
+def reconcile_late(spark, folder: str) -> DataFrame:
+    """Count again what the stream's watermark has dropped; returns the keys that were corrected.
+
+    Ticks of the log and seconds of the table are added up by session and day, from the days
+    that have both; where they differ, and only there, the ticks are counted again, and only the
+    days of those keys are replaced. A second run finds nothing.
+    """
+    daily = _daily(spark, folder)
+    keys = [*SESSION, "day"]
+    logged = daily.logged()
+    if logged is None:
+        raise ValueError(f"no ticks logged below {folder}")
+    arrived = logged.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("arrived"))
+    counted = daily.read("dwell")
+    if counted is not None:
+        sums = counted.groupBy(*keys).agg(F.sum("seconds").alias("counted"))
+        arrived = arrived.join(sums, keys, "left").filter("counted is null or counted <> arrived")
+    touched = staged(arrived.select(*keys, "part"))
+    if not touched.isEmpty():
+        fresh = daily.logged(touched).groupBy(*SESSION, "slide", "day").agg(
+            F.count(F.lit(1)).alias("seconds"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+        )
+        daily.replace("dwell", fresh, touched)
+    return touched.drop("part")
+
+
+def read_daily_dwell(spark, folder: str) -> DataFrame:
+    """Seconds per slide and session from the table by day."""
+    return _by_day(_daily(spark, folder).read("dwell"))
 
 
 # --- dwell from page changes ----------------------------------------------------------------------
@@ -85,40 +167,26 @@ def page_change_dwell(changes: DataFrame, block_seconds: int = 3600) -> DataFram
     return spans.groupBy(*SESSION, "slide").agg(F.coalesce(F.sum("span"), F.lit(0)).alias("micros"))
 
 
+def _sessions(spark, folder: str) -> Keyed:
+    return Keyed(spark, folder, SESSION, hash_part(SESSION))
+
+
 def stream_page_change_dwell(changes: DataFrame, folder: str, checkpoint: str, block_seconds: int = 3600):
     """The same as a stream; returns the running query.
 
-    The state is one row per session, its open page. It is kept as a table: every batch reads the
-    open pages its predecessor wrote, closes what it can, and writes intervals and new open pages
-    under its own number, so a repeated batch replaces its own output. Within a batch the
-    blockwise operators apply, so a session with very many changes is not bound to one task, as
-    it would be in a keyed state store. A change older than the session's open page is late and
-    left to the batch form.
+    Changes are logged as they come, and the sessions that a batch touches are computed again from
+    the log by :func:`page_change_dwell`. An interval that spans batches is closed by whichever batch
+    brings its end, and a late change counts like any other. The blockwise operators apply, so a
+    session with very many changes is not bound to one task, as it would be in a keyed state.
     """
-    spark = changes.sparkSession
-    schema = changes.select(*SESSION, "slide", "ts").schema
+    sessions = _sessions(changes.sparkSession, folder)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*SESSION, "slide", "ts")
-        if batch_id > 0:
-            before = spark.read.schema(schema).parquet(_batch_folder(f"{folder}/open", batch_id - 1))
-            since = before.select(*SESSION, F.col("ts").alias("open_ts"))
-            fresh = rows.join(since, SESSION, "left").filter(
-                F.col("open_ts").isNull() | (F.col("ts") > F.col("open_ts"))
-            )
-            rows = before.unionByName(fresh.select(*SESSION, "slide", "ts"))
-        spans = change_intervals(rows, block_seconds)
-        spans.filter(F.col("until").isNotNull()).withColumn(
-            "span", _micros("until") - _micros("ts")
-        ).groupBy(*SESSION, "slide").agg(F.sum("span").alias("micros")).write.mode("overwrite").parquet(
-            _batch_folder(f"{folder}/closed", batch_id)
-        )
-        rows.groupBy(*SESSION).agg(F.max_by(F.struct("slide", "ts"), "ts").alias("o")).select(
-            *SESSION, "o.*"
-        ).write.mode("overwrite").parquet(_batch_folder(f"{folder}/open", batch_id))
+        touched = staged(sessions.append(batch, batch_id))
+        sessions.replace("dwell", page_change_dwell(sessions.logged(touched), block_seconds), touched)
 
     return (
-        changes.writeStream.option("checkpointLocation", checkpoint)
+        changes.select(*SESSION, "slide", "ts").writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(step)
         .start()
@@ -126,10 +194,8 @@ def stream_page_change_dwell(changes: DataFrame, folder: str, checkpoint: str, b
 
 
 def read_page_change_dwell(spark, folder: str) -> DataFrame:
-    """Closed microseconds per slide and session over all batches, open pages included with 0."""
-    closed = spark.read.parquet(f"{folder}/closed").select(*SESSION, "slide", "micros")
-    opened = spark.read.parquet(f"{folder}/open").select(*SESSION, "slide", F.lit(0).cast("bigint").alias("micros"))
-    return closed.unionByName(opened).groupBy(*SESSION, "slide").agg(F.sum("micros").alias("micros"))
+    """Microseconds per slide and session over all batches, open pages included with 0."""
+    return _sessions(spark, folder).read("dwell").select(*SESSION, "slide", "micros")
 
 
 # --- overrun, merge, resume, validation --------------------------------------------------------------
@@ -154,6 +220,40 @@ def overrun(ticks: DataFrame, plans: DataFrame, block_seconds: int = 3600) -> Da
     return judged.join(first, SESSION, "left")
 
 
+def stream_overrun(ticks: DataFrame, plans: DataFrame, folder: str, checkpoint: str, block_seconds: int = 3600):
+    """Report every session that overruns its plan, once, while it runs; returns the running query.
+
+    Ticks are logged as they come. A batch looks at the sessions it touches that have not been reported yet, joins
+    them to the (static) plans, and appends those that have passed them with the first tick beyond the
+    plan, as :func:`overrun` finds it among the ticks so far. A report is not taken back when late ticks
+    move that point.
+    """
+    spark = ticks.sparkSession
+    sessions = _sessions(spark, folder)
+    alerts = f"{folder}/alerts"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        touched = sessions.append(batch, batch_id)
+        if batch_id > 0:
+            told = read_overruns(spark, folder, batch_id)
+            touched = touched.join(told.select(*SESSION), SESSION, "left_anti")
+        found = overrun(sessions.logged(staged(touched)), plans, block_seconds).filter("overrun").drop("overrun")
+        found.write.mode("overwrite").parquet(_batch_folder(alerts, batch_id))
+
+    return (
+        ticks.select(*SESSION, "slide", "ts").writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(step)
+        .start()
+    )
+
+
+def read_overruns(spark, folder: str, before: int | None = None) -> DataFrame:
+    """Reported overruns ``(deck_id, group, session, elapsed, planned, overrun_ts, batch)``, of batches below ``before``."""
+    rows = spark.read.parquet(f"{folder}/alerts")
+    return rows if before is None else rows.filter(F.col("batch") < before)
+
+
 def session_rows(dwell: DataFrame, plans: DataFrame) -> DataFrame:
     """One row per session with time: duration, plan, start, last slide; from batch or stream dwell."""
     rows = dwell.groupBy(*SESSION).agg(
@@ -189,93 +289,53 @@ def group_totals(sessions: DataFrame) -> DataFrame:
     )
 
 
-#: sessions, and slides, per written report part
-REPORT_PART = 500
-
-
-def _seconds_map() -> Column:
-    return F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.col("slide").cast("string").alias("k"), F.col("seconds").cast("int").alias("v"))
-    )))
+def _braced(text: str) -> Column:
+    return F.concat(F.lit("{"), F.coalesce(text, F.lit("")), F.lit("}"))
 
 
-def _visited_map() -> Column:
-    """Seconds per slide in the order of first visits."""
-    visits = F.array_sort(F.collect_list(F.struct("first_ts", "slide", F.col("seconds").cast("int").alias("v"))))
-    return F.map_from_entries(F.transform(visits, lambda e: F.struct(e["slide"].cast("string").alias("k"), e["v"].alias("v"))))
+def _seconds_text(dwell: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Seconds per slide as the fields of a JSON object, in the order of first visits."""
+    entry = F.concat(F.lit('"'), F.col("slide").cast("string"), F.lit('":'), F.col("seconds").cast("string"))
+    order = ["first_ts", "slide"] if "first_ts" in dwell.columns else ["slide"]
+    return fold_text(dwell.select(*keys, *order, entry.alias("entry")), keys, order).select(*keys, F.col("text").alias(name))
 
 
-def _session_record() -> Column:
-    return F.struct(
-        F.col("session_number").cast("string").alias("k"),
-        F.struct(
-            F.col("planned").cast("int").alias("planeado_seg"), F.col("duration").cast("int").alias("duracion_seg"),
-            "tiempos_slide",
-        ).alias("v"),
-    )
-
-
-def _by(field: str):
-    return lambda a, b: F.when(a[field] < b[field], -1).when(a[field] > b[field], 1).otherwise(0)
-
-
-def _group_record() -> Column:
-    return F.struct(
-        F.col("last_slide").cast("int").alias("ultima_diapositiva"),
-        F.col("total_seconds").cast("int").alias("tiempo_total_seg"),
-        "tiempos_por_slide",
-        "historial_sesiones",
+def _group_texts(sessions: DataFrame, dwell: DataFrame) -> DataFrame:
+    """``(deck_id, group, entry)``: the record of each group as one field of a JSON object."""
+    keys = ["deck_id", "group"]
+    slides = sessions.join(_seconds_text(dwell, SESSION, "slides"), SESSION)
+    session = F.concat(
+        F.lit('"'), F.col("session_number").cast("string"), F.lit('":{"planeado_seg":'), F.col("planned").cast("string"),
+        F.lit(',"duracion_seg":'), F.col("duration").cast("string"), F.lit(',"tiempos_slide":'), _braced("slides"), F.lit("}"),
     )
+    history = fold_text(slides.select(*keys, "session_number", session.alias("entry")), keys, ["session_number"])
+    seen = [F.min("first_ts").alias("first_ts")] if "first_ts" in dwell.columns else []
+    by_slide = _seconds_text(dwell.groupBy(*keys, "slide").agg(F.sum("seconds").alias("seconds"), *seen), keys, "times")
+    whole = history.join(by_slide, keys).join(group_totals(sessions), keys)
+    return whole.select(*keys, F.concat(
+        json_text(F.col("group")), F.lit(':{"ultima_diapositiva":'), F.col("last_slide").cast("string"),
+        F.lit(',"tiempo_total_seg":'), F.col("total_seconds").cast("string"), F.lit(',"tiempos_por_slide":'), _braced("times"),
+        F.lit(',"historial_sesiones":'), _braced("text"), F.lit("}"),
+    ).alias("entry"))
 
 
 def deck_reports(sessions: DataFrame, dwell: DataFrame, decks: DataFrame) -> DataFrame:
     """``(deck_id, time_report)``: one report with all groups of the deck, as a version stores it.
 
     Sessions stand by number, groups by name, slides in the order of their first visit, so the same
-    rows give the same text. ``decks`` brings ``file_name``. The text is one value of one version and
-    grows with the sessions of its deck; for groups of any size use :func:`time_reports`.
+    rows give the same text. ``decks`` brings ``file_name``. Every level is written from sorted rows by
+    :func:`decklens.operators.folded.fold_text`; nothing gathers a deck's groups, sessions or slides.
     """
-    keys = ["deck_id", "group"]
-    entries = F.array_sort(F.collect_list(F.struct("session_number", _session_record().alias("r"))), _by("session_number"))
-    by_session = (
-        sessions.join(dwell.groupBy(*SESSION).agg(_visited_map().alias("tiempos_slide")), SESSION)
-        .groupBy(*keys).agg(F.map_from_entries(F.transform(entries, lambda e: e["r"])).alias("historial_sesiones"))
-    )
-    by_slide = (
-        dwell.groupBy(*keys, "slide").agg(F.sum("seconds").alias("seconds"), F.min("first_ts").alias("first_ts"))
-        .groupBy(*keys).agg(_visited_map().alias("tiempos_por_slide"))
-    )
-    groups = by_session.join(by_slide, keys).join(group_totals(sessions), keys)
-    entry = F.struct(F.col("group").alias("k"), _group_record().alias("v"))
-    whole = groups.groupBy("deck_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry), _by("k"))).alias("grupos"))
-    return whole.join(decks.select("deck_id", F.col("file_name").alias("archivo")), "deck_id").select(
-        "deck_id", F.to_json(F.struct("archivo", "grupos")).alias("time_report")
-    )
+    files = decks.select("deck_id", F.concat(F.lit('{"archivo":'), json_text(F.col("file_name")), F.lit(',"grupos":')).alias("head"))
+    texts = fold_text(_group_texts(sessions, dwell), ["deck_id"], ["group"], files).filter("n > 0 and head is not null")
+    return texts.select("deck_id", F.concat("head", _braced("text"), F.lit("}")).alias("time_report"))
 
 
 def time_reports(sessions: DataFrame, dwell: DataFrame) -> DataFrame:
-    """The stored report form: ``(deck_id, group, part, time_report)`` as JSON text.
-
-    Part ``k`` carries the ``k``-th block of ``REPORT_PART`` sessions and of ``REPORT_PART``
-    slides, so neither list is unbounded; ordinary groups have one part. The group's totals stand
-    in every part. (The slides of a single session are bounded by its seconds.)
-    """
-    keys = ["deck_id", "group", "part"]
-    record = _session_record()
-    by_session = (
-        sessions.join(dwell.groupBy(*SESSION).agg(_seconds_map().alias("tiempos_slide")), SESSION)
-        .groupBy("deck_id", "group", F.floor((F.col("session_number") - 1) / REPORT_PART).alias("part"))
-        .agg(F.map_from_entries(F.collect_list(record)).alias("historial_sesiones"))
-    )
-    by_slide = (
-        dwell.groupBy("deck_id", "group", "slide").agg(F.sum("seconds").alias("seconds"))
-        .groupBy("deck_id", "group", F.floor((F.col("slide") - 1) / REPORT_PART).alias("part"))
-        .agg(_seconds_map().alias("tiempos_por_slide"))
+    """The same per group: ``(deck_id, group, time_report)`` as JSON text, of any size."""
+    return _group_texts(sessions, dwell).select(
+        "deck_id", "group", F.concat(F.lit('{"grupos":{'), "entry", F.lit("}}")).alias("time_report")
     )
-    joined = by_session.join(by_slide, keys, "full").join(group_totals(sessions), ["deck_id", "group"])
-    return joined.select(*keys, F.to_json(F.struct(
-        F.create_map(F.col("group"), _group_record()).alias("grupos"),
-    )).alias("time_report"))
 
 
 def resume_position(groups: DataFrame, pages: DataFrame) -> DataFrame:

@@ -99,3 +99,37 @@ def test_coverage(spark):
         ("U1", "T1", "S1"): True, ("U1", "T1", "S9"): False, ("U1", "T2", None): True, ("U2", None, None): True, ("U9", None, None): False}
     ratio = J.unit_coverage(checked, official).collect()
     assert [(r.unit, r.covered, r.topics, r.ratio) for r in ratio] == [("U1", 2, 2, 1.0)]
+
+
+def test_callback_is_called_for_unsure_slides_only(spark):
+    from decklens.operators import classify as CL
+
+    # 22 words below a short title fire no rule
+    rows = [("d", n, "Uno" if n % 2 else "Índice", [" ".join(["palabra"] * 22)], 0, False) for n in range(1, 101)]
+    ruled = CL.classifier_rules(CL.classifier_features(spark.createDataFrame(rows, SLIDE).repartition(3)))
+    unsure = {r.slide_number for r in ruled.filter("rule_confidence < 0.6").collect()}
+    assert 10 < len(unsure) < 90
+    calls, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def judge(batch):
+        calls.add(1)
+        asked.add(batch.num_rows)
+        numbers = batch.column("slide_number").to_pylist()
+        assert batch.schema.names == ["slide_number", "title"] and set(numbers) <= unsure
+        if 50 in numbers or 51 in numbers:
+            raise ConnectionError("no model")
+        return ["cita" if n < 50 else "nonsense" for n in numbers]
+
+    got = {r.slide_number: r for r in CL.classifier_callback(ruled, judge, ("slide_number", "title"), 1).collect()}
+    assert calls.value == asked.value == len(unsure)
+    judged = spark.createDataFrame([("d", n, "cita") for n in unsure if n < 50], "deck_id string, slide_number int, judged_type string")
+    want = {r.slide_number: r for r in CL.classifier_decision(ruled, judged).collect()}
+    for n, r in want.items():
+        assert (got[n].type, got[n].confidence, got[n].method, got[n].excluded, got[n].rules_fired) == (r.type, r.confidence, r.method, r.excluded, r.rules_fired)
+    failed = min(n for n in unsure if n >= 50)
+    assert (got[failed].type, got[failed].confidence, got[failed].method) == ("contenido", 0.5, "fallback_contenido")
+    # A call that fails or answers too little stands for its own slides only.
+    short = CL.classifier_callback(ruled.coalesce(1), lambda b: ["cita"] * (b.num_rows - (b.num_rows < 7)), ("title",), 7).collect()
+    methods = [r.method for r in short if r.slide_number in unsure]
+    assert methods.count("fallback_contenido") == len(unsure) % 7
+    assert CL.classifier_callback(ruled.limit(0), judge, ("slide_number", "title")).count() == 0

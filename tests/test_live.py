@@ -101,15 +101,79 @@ def test_merge_is_idempotent_and_round_trips(spark, ticks):
     assert stored["tiempo_total_seg"] == 600 and set(stored["historial_sesiones"]) == {"1", "2", "3"}
 
 
-def test_report_parts(spark, ticks, monkeypatch):
-    monkeypatch.setattr(L, "REPORT_PART", 2)
-    df, _ = ticks
-    merged = L.merge_sessions(None, L.session_rows(L.slide_dwell(df), plans(spark, 600)))
-    reports = L.time_reports(merged, L.slide_dwell(df))
-    assert {(r.group, r.part) for r in reports.collect()} == {(g, p) for g in "AB" for p in range(3)}
-    groups = TM.parse_time_reports(reports)
-    assert TM.report_times(groups).agg(F.sum("seconds")).first()[0] == 1200
-    assert TM.report_sessions(groups).count() == 6
+def test_report_of_many_sessions(spark):
+    """700 sessions of a group are one report, in the order of their numbers."""
+    start = dt.datetime(2024, 1, 1, 8)
+    rows = [("d", g, f"s{i:04d}", 1 + (i + k) % 30, start + dt.timedelta(days=i, seconds=k)) for g in ("A", 'B "x"') for i in range(700) for k in range(3)]
+    dwell = L.slide_dwell(spark.createDataFrame(rows, TICK))
+    merged = L.merge_sessions(None, L.session_rows(dwell, spark.createDataFrame([], "deck_id string, group string, session string, planned int")))
+    decks = spark.createDataFrame([("d", "f.pptx"), ("none", "g.pptx")], "deck_id string, file_name string")
+    (report,) = L.deck_reports(merged, dwell, decks).collect()
+    groups = json.loads(report.time_report)["grupos"]
+    assert list(groups) == ["A", 'B "x"']
+    for g in groups.values():
+        assert list(g["historial_sesiones"]) == [str(i) for i in range(1, 701)] and sum(g["tiempos_por_slide"].values()) == 2100
+    parsed = TM.parse_time_reports(L.time_reports(merged, dwell))
+    assert parsed.count() == 2 and TM.report_sessions(parsed).count() == 1400
+
+
+def late_rows(rows):
+    """Files with a change that crosses them, and rows of the first day that come last."""
+    ordered = sorted(rows, key=lambda r: r[4])
+    held = ordered[5:300:7]
+    rest = [r for r in ordered if r not in held]
+    return [rest[:300], rest[300:700], rest[700:], held]
+
+
+def write_files(spark, files, folder):
+    for i, f in enumerate(files):
+        spark.createDataFrame(f, TICK).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def folder_files(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("part-*.parquet")}
+
+
+def test_page_changes_with_late_rows(spark, ticks, tmp_path):
+    _, rows = ticks
+    write_files(spark, late_rows(rows), tmp_path / "in")
+    L.stream_page_change_dwell(stream(spark, tmp_path / "in"), str(tmp_path / "b"), str(tmp_path / "cb"), 600).awaitTermination()
+    assert len(list((tmp_path / "b" / "log").glob("batch=*"))) == 4
+    assert as_dict(L.read_page_change_dwell(spark, str(tmp_path / "b")), "micros") == brute_dwell(rows)
+
+
+def test_late_ticks_are_reconciled(spark, ticks, tmp_path):
+    df, rows = ticks
+    folder = tmp_path / "a"
+    write_files(spark, late_rows(rows), tmp_path / "in")
+    L.stream_slide_dwell(stream(spark, tmp_path / "in"), str(folder), str(tmp_path / "ca")).awaitTermination()
+    L.log_ticks(stream(spark, tmp_path / "in"), str(folder), str(tmp_path / "cl")).awaitTermination()
+    L.compact_dwell(spark, str(folder))
+    want = as_dict(L.slide_dwell(df), "seconds")
+    assert as_dict(L.read_daily_dwell(spark, str(folder)), "seconds") != want  # the watermark has dropped rows
+    daily = folder / "daily" / "dwell"
+    before = folder_files(daily)
+    corrected = L.reconcile_late(spark, str(folder)).collect()
+    assert {r.session for r in corrected} <= {"s0", "s1"} and corrected
+    assert as_dict(L.read_daily_dwell(spark, str(folder)), "seconds") == want
+    after = folder_files(daily)
+    days = {f"{r.day:%Y-%m-%d}" for r in corrected}
+    kept = {f: t for f, t in before.items() if not any(d in f for d in days)}
+    assert kept and all(after.get(f) == t for f, t in kept.items())
+    assert L.reconcile_late(spark, str(folder)).count() == 0 and folder_files(daily) == after
+    L.compact_dwell(spark, str(folder))
+    assert as_dict(L.read_daily_dwell(spark, str(folder)), "seconds") == want
+
+
+def test_overrun_stream_reports_once(spark, ticks, tmp_path):
+    df, rows = ticks
+    split_files(rows, tmp_path / "in", spark, 6)
+    plan = plans(spark, 150)
+    L.stream_overrun(stream(spark, tmp_path / "in"), plan, str(tmp_path / "o"), str(tmp_path / "co"), 600).awaitTermination()
+    got = L.read_overruns(spark, str(tmp_path / "o")).collect()
+    want = {(r.group, r.session): r.overrun_ts for r in L.overrun(df, plan, 600).collect()}
+    assert len(got) == 6 and {(r.group, r.session): r.overrun_ts for r in got} == want
+    assert len({r.batch for r in got}) > 1
 
 
 def test_resume(spark):

@@ -1,5 +1,6 @@
 """Metrics and scores at their thresholds."""
 
+import json
 import math
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from decklens.operators import calibrate as CAL
+from decklens.operators import judge as J
 from decklens.operators import metrics as M
 from decklens.operators import score as SC
 from decklens.operators import similarity as SIM
@@ -126,18 +128,82 @@ def test_cosine(spark):
     assert got["a", 5].sim_previous == 1.0 and got["a", 3].sim_average == 0.0
 
 
+@pytest.mark.parametrize("block,batch", [(1, 3), (4, 1), (4, 7), (64, 10_000)])
+def test_cosine_over_blocks_and_batches(spark, block, batch):
+    import random
+
+    rng = random.Random(block * batch)
+    rows = [(d, n, "", [" ".join(rng.choices(["red", "nube", "dato", "ñandú", "otra"], k=rng.randrange(6)))], 0) for d in ("a", "b", None) for n in range(-2, 40) if n != 17]
+    rows.append(("a", 5, "", ["red"], 0))  # a number used twice is one slide
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = {(r.deck_id, r.slide_number): r for r in SIM.previous_similarity(slides(spark, rows), block).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    texts = {}
+    for d, n, _, (t,), _ in rows:
+        texts[d, n] = (texts.get((d, n), "") + " " + t).strip()
+    assert set(got) == set(texts)
+    for (d, n), r in got.items():
+        want = round(cosine(texts[d, n - 1], texts[d, n]), 4) if (d, n - 1) in texts else None
+        assert r.sim_previous == want and r.sim_average == (1.0 if want is None else want), (d, n)
+
+
+def test_cosine_shuffles_no_text(spark):
+    """Exchanges carry hashed terms, and few slides are sent twice."""
+    plan = SIM.previous_similarity(slides(spark, [("a", 1, "t", ["x"], 0)]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    below = plan.split("Exchange hashpartitioning")[0]
+    assert "content" not in below and "title" not in below
+
+
 def test_term_frequency(spark):
     got = {(r.slide_number, r.term): (r.n, r.tf) for r in SIM.term_frequency(slides(spark, [("a", 1, "Red red", ["de datos"], 0)])).collect()}
     assert got == {(1, "red"): (2, 2 / 3), (1, "datos"): (1, 1 / 3)}
 
 
-def test_documents_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(SC, "SLIDES_PER_PART", 3)
-    scored = SC.score_slides(slides(spark, [("d", n, "t", [words(20)], 0) for n in range(1, 8)] + [("e", 1, "", ["x"], 0)]))
-    docs = {(r.deck_id, r.part): r for r in SC.deck_documents(scored).collect()}
-    assert {k: v.parts for k, v in docs.items()} == {("d", 0): 3, ("d", 1): 3, ("d", 2): 3, ("e", 0): 1}
-    assert [s.slide_number for p in range(3) for s in docs["d", p].analysis.slides] == list(range(1, 8))
-    assert docs["e", 0].analysis.slides[0].metricas is None and docs["e", 0].analysis.slides[0].omitida
+def parsed(documents):
+    return {r.deck_id: json.loads(r.result) for r in documents.collect()}
+
+
+def test_documents(spark):
+    rows = [("d", n, 't "q" ñ', [words(20)], 0) for n in range(1, 8)] + [("e", 1, "", ["x"], 0)]
+    docs = parsed(SC.deck_documents(SC.score_slides(slides(spark, rows))))
+    assert set(docs) == {"d", "e"} and docs["e"]["slides"][0]["metricas"] is None and docs["e"]["slides"][0]["omitida"]
+    d = docs["d"]
+    assert [s["slide_number"] for s in d["slides"]] == list(range(1, 8)) and d["total_diapositivas"] == 7
+    g = d["score_global_presentacion"]
+    assert g["pesos"] == {"icd": 0.3, "wps": 0.3, "hss": 0.25, "nts": 0.15}
+    assert g["desglose"] == {f"{k}_pond": round(v * g["pesos"][k], 3) for k, v in g["scores_metrica"].items()}
+    assert g["score_global"] == round(sum(g["desglose"].values()), 2)
+
+
+@pytest.mark.parametrize("partitions", [2, 7])
+def test_a_large_deck_is_one_document(spark, partitions):
+    """2,000 slides of one deck, over several partitions and between small decks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = [("m", n, "t", [f"palabra número {n}"], 0) for n in range(1, 2001)] + [(f"{c}{i}", n, "t", ["x"], 0) for c in "az" for i in range(30) for n in (1, 2)]
+        scored = SC.score_slides(slides(spark, rows))
+        whole = SC.deck_documents(scored)
+        assert "collect_list" not in whole._jdf.queryExecution().optimizedPlan().toString()
+        docs = parsed(whole)
+        assert len(docs) == 61 and [s["slide_number"] for s in docs["m"]["slides"]] == list(range(1, 2001))
+        assert all(len(d["slides"]) == d["total_diapositivas"] for d in docs.values())
+        payload = {r.deck_id: json.loads(r.batch_data) for r in J.judge_payload(slides(spark, rows)).collect()}
+        assert len(payload) == 61 and [e["slide_number"] for e in payload["m"]] == list(range(1, 2001))
+        trees = spark.createDataFrame([("m", "[1]"), ("none", "[2]")], "deck_id string, temario string")
+        calls = J.judge_payload(slides(spark, rows), trees, call_slides=600).filter("deck_id = 'm'").orderBy("call").collect()
+        assert [len(json.loads(r.batch_data)) for r in calls] == [600, 600, 600, 200] and {r.temario for r in calls} == {"[1]"}
+        rewrite = J.restructure_payload(SC.combined_feedback(scored.withColumn("is_content", F.lit(True))))
+        assert {r.deck_id: len(json.loads(r.batch_data)) for r in rewrite.collect()}["m"] == 2000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
 
 
 @pytest.mark.parametrize("values", [[1.0, 2.0], [5.0, 1.0, 9.0], [1.5] * 7, [float(i * 37 % 5000) for i in range(4001)], [-300.25, 7.0, 7.01, 2000.0, 99999.5]])
@@ -152,6 +218,24 @@ def test_quartiles_equal_statistics_module(spark, values):
     assert [r.q1, r.median, r.q3] == q and (r.lowest, r.highest, r.sample_size) == (min(values), max(values), len(values))
 
 
+def test_kept_counts_equal_the_whole(spark):
+    """Three batches and one delete, against quartiles over what is left."""
+    from random import Random
+
+    rng = Random(2)
+    rows = [(d, m, rng.choice([None, round(rng.uniform(-50, 50), 2)])) for d in range(40) for m in "ab" for _ in range(30)]
+    df = spark.createDataFrame(rows, "deck int, metric string, v double")
+    state = CAL.value_counts(df.filter("deck < 10"), 100)
+    for low in (10, 25):
+        state = CAL.merged_counts(state, CAL.value_counts(df.filter(f"deck >= {low} and deck < {10 * low // 10 + 15}"), 100))
+    gone = "deck in (3, 17, 39)"
+    state = CAL.merged_counts(state, removed=CAL.value_counts(df.filter(gone), 100))
+    want = CAL.exclusive_quartiles(df.filter(f"not ({gone})"), 100)
+    assert sorted(CAL.quartiles_of_counts(state, 100).collect()) == sorted(want.collect())
+    with pytest.raises(Exception, match="had not been counted"):
+        CAL.merged_counts(state, removed=CAL.value_counts(df.filter("deck = 3"), 100)).count()
+
+
 def test_scores_stay_in_range(spark):
     from decklens.plans import tables as T
 
@@ -164,9 +248,8 @@ def test_scores_stay_in_range(spark):
 
 def test_sparse_numbers_lose_nothing(spark):
     rows = [("d", n, "t", [words(20)], 0) for n in (0, 1, 499, 500, 501, 70_000)] + [("e", 9_000_000, "t", [words(20)], 0)]
-    docs = SC.deck_documents(SC.score_slides(slides(spark, rows))).collect()
-    got = sorted((r.deck_id, s.slide_number) for r in docs for s in r.analysis.slides)
-    assert got == sorted((r[0], r[1]) for r in rows) and {r.parts for r in docs if r.deck_id == "d"} == {4}
+    docs = parsed(SC.deck_documents(SC.score_slides(slides(spark, rows))))
+    assert sorted((d, s["slide_number"]) for d, r in docs.items() for s in r["slides"]) == sorted((r[0], r[1]) for r in rows)
     again = SIM.renumbered(slides(spark, rows)).select("deck_id", F.col("place").alias("slide_number"), "title", "content")
     sims = {(r.deck_id, r.slide_number): r.sim_previous for r in SIM.previous_similarity(again).collect()}
     assert sims == {("d", 1): None, **{("d", n): 1.0 for n in range(2, 7)}, ("e", 1): None}
