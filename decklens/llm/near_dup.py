@@ -9,8 +9,9 @@ similarity of 0.8 or more.
 
 Equal texts are one node. Candidates of a bucket are first paired with one node of the bucket. Where
 a bucket still holds several components after that, all its members are compared in blocks by a
-longer signature, inside the tasks; only pairs of different components that can be similar enough
-leave a block, and are verified. So every candidate pair is verified, connected already, or ruled out.
+longer signature, and those of different components that can be similar enough are verified there; a
+block returns the links that join components, fewer than it has members. So every candidate pair is
+verified, connected already, or ruled out.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as digest
 
@@ -31,8 +32,6 @@ WORDS = 5
 SIMILARITY = 0.8
 #: 28 bands of 4 components: a pair of similarity 0.8 is missed with probability 4e-7.
 BANDS, ROWS = 28, 4
-#: Rounds in which one node of a bucket stands for it.
-PIVOT_ROUNDS = 2
 #: Components of the longer signature, one byte each, and the share of equal ones below which a pair
 #: cannot be linked: 0.8 less 4.75 standard deviations, so that one pair in a million is missed.
 SKETCH = 1024
@@ -43,6 +42,8 @@ SLICE = 1 << 20
 SKETCHED = 512
 #: Members of a bucket that one block compares with as many others.
 BLOCK = 1000
+#: Bytes of their bags, at most, unless a single one has more.
+BLOCK_BYTES = 32 << 20
 
 
 # --- one text -----------------------------------------------------------------------------------------
@@ -181,18 +182,23 @@ def shingled(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, "node long, codes array<long>, weights array<int>, sketch binary")
 
 
-def near_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of members (bucket, band, size, node, component, keys, sketch) of one bucket, but of
-    different components, whose sketches allow the similarity. A pair leaves the bucket of the
+def linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between members (bucket, band, cuts, node, component, keys, sketch, codes, weights) of a bucket.
+
+    Pairs of different components whose sketches allow the similarity are verified where they meet.
+    A link that is found joins its two components for the rest of the block, so a block gives
+    fewer links than it has members, and these connect all that its links connect. A pair is looked at in the bucket of the
     first band that it shares only. A large bucket is cut into blocks by the hash of the node, and
-    each pair of blocks is a task's work."""
+    each pair of blocks is a task's work.
+    """
     least = similarity - SKETCH_MARGIN * np.sqrt(similarity * (1 - similarity) / SKETCH)
-    cuts = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("_cuts")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
     dealt = (
-        members.withColumn("_cuts", cuts).withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1)))
-        .select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "band", "node", "component", "keys", "sketch")
+        members.withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        .select(
+            "bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "band", "node", "component", "keys",
+            "sketch", "codes", "weights")
     )
 
     def of(block: pa.Table) -> pa.Table:
@@ -200,17 +206,21 @@ def near_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
         sketches = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), SKETCH)
         i, j, band = (block.column(c)[0].as_py() for c in ("i", "j", "band"))
         keys = block.column("keys").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)[:, :band]
+        codes, weights = (_rows(block.column(c).combine_chunks()) for c in ("codes", "weights"))
+        part = np.unique(parts, return_inverse=True)[1]
         right = np.flatnonzero(own == j)
-        out_a, out_b = [], []
+        links = []
         for x in np.flatnonzero(own == i):
-            others = right[(parts[right] != parts[x]) & ((nodes[right] < nodes[x]) if i == j else True)]
+            others = right[(part[right] != part[x]) & ((nodes[right] < nodes[x]) if i == j else True)]
+            if not len(others):
+                continue
             share = (sketches[others] == sketches[x]).mean(1)
             others = others[share >= least]
-            near = nodes[others[~(keys[others] == keys[x]).any(1)]]
-            out_a.append(np.maximum(near, nodes[x]))
-            out_b.append(np.minimum(near, nodes[x]))
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
+            for y in others[~(keys[others] == keys[x]).any(1)]:
+                if part[x] != part[y] and probability_jaccard(codes[x].view(np.uint64), weights[x], codes[y].view(np.uint64), weights[y]) >= similarity:
+                    links.append((max(nodes[x], nodes[y]), min(nodes[x], nodes[y])))
+                    part[part == part[y]] = part[x]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(of, "a long, b long")
 
@@ -233,18 +243,12 @@ def verified(pairs: DataFrame, shingle_bags: DataFrame, similarity: float) -> Da
     return met.select("a", "b", similar("ca", "wa", "cb", "wb").alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """(doc_id, text_key, class_id): one row per document; class_id is the smallest doc_id of its class.
-
-    A class is what links of ``similarity`` or more connect; equal texts are one class. Texts
-    without words (null, empty or blank) are alike only if equal, null and empty being equal. Rows
-    that repeat stay. Null doc_ids are classed like others and name a class only if it has no other
-    doc_id (class_id null). Other columns are not read. An empty table gives an empty result.
-    """
+def _connected(docs: DataFrame, similarity: float, bands: int, per_band: int) -> DataFrame:
+    """(doc_id, node, component): one row per document, staged."""
     node = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", node.alias("node"), "text")
     table = staged(signed(rows, bands, per_band))
-    nodes = table.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
+    nodes = table.groupBy("node").agg(F.first("keys").alias("keys"))
     dealt = nodes.select("node", F.posexplode("keys").alias("band", "bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot <> last").select("bucket", "pivot")
     members = staged(dealt.join(shared, "bucket"))
@@ -252,44 +256,62 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
 
     # Round 0: each node with the smallest pivot of its buckets.
     pairs = members.filter("node <> pivot").groupBy(F.col("node").alias("a")).agg(F.min("pivot").alias("b"))
-    tested = staged(pairs)
-    links = staged(verified(tested, shingle_bags, similarity))
+    links = staged(verified(pairs, shingle_bags, similarity))
     parts = staged(components(links))
-    for turn in range(1, PIVOT_ROUNDS + 1):
+
+    def apart(turn: int, *sums: Column) -> DataFrame:
+        """Members of buckets that hold several components."""
         placed = members.join(parts, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component"))
+        if sums:
+            placed = placed.join(shingle_bags.select("node", (F.size("codes") * 12 + SKETCH).cast("long").alias("bytes")), "node")
         mixed = placed.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
-            F.min_by("node", F.struct("component", F.xxhash64("node", F.lit(turn)))).alias("pivot"),
+            F.min("component").alias("low"), F.max("component").alias("high"),
+            F.min_by("node", F.struct("component", F.xxhash64("node", F.lit(turn)))).alias("pivot"), *sums,
         ).filter("low <> high").drop("high")
-        apart = placed.join(mixed, "bucket")
-        if turn < PIVOT_ROUNDS:
-            pairs = apart.filter("component <> low").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
-        else:
-            sketches = shingle_bags.select("node", "sketch").join(nodes.select("node", "keys"), "node")
-            pairs = near_in_blocks(apart.select("bucket", "band", "size", "node", "component").join(sketches, "node"), similarity)
-        pairs = staged(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(staged(verified(pairs, shingle_bags, similarity)))
-        parts = staged(components(links))
-
-    named = nodes.select("node", "first_id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    of_node = named.join(smallest, "component").select("node", "class_id")
-    return table.select("doc_id", "node").join(of_node, "node").select("doc_id", F.col("node").alias("text_key"), "class_id")
+        return placed.join(mixed, "bucket")
+
+    # Round 1: the nodes of other components with another node of the smallest one.
+    pairs = apart(1).filter("component <> low").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b"))
+    pairs = pairs.distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.select("a", "b").unionByName(staged(verified(pairs, shingle_bags, similarity)).select("a", "b"))
+    parts = staged(components(links))
+    # Then all that are still apart, in blocks.
+    cuts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("cuts")
+    whole = shingle_bags.join(nodes.select("node", "keys"), "node")
+    links = links.unionByName(staged(linked_in_blocks(apart(2, cuts).drop("low", "pivot", "bytes").join(whole, "node"), similarity)))
+    parts = staged(components(links))
+
+    of_node = nodes.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return staged(table.select("doc_id", "node").join(of_node, "node"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+    """(doc_id, text_key, class_id): one row per document; class_id is the smallest doc_id of its class.
+
+    A class is what links of ``similarity`` or more connect; equal texts are one class. Texts
+    without words (null, empty or blank) are alike only if equal, null and empty being equal. Rows
+    that repeat stay. Null doc_ids are classed like others and name a class only if it has no other
+    doc_id (class_id null). Other columns are not read. An empty table gives an empty result.
+    """
+    rows = _connected(docs, similarity, bands, per_band)
+    smallest = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(smallest, "component").select("doc_id", F.col("node").alias("text_key"), "class_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that stand for their class, with their own columns.
+    """One document of each class, with its own columns: the one with the smallest doc_id.
 
-    The row with the smallest doc_id of its class stays; of rows that repeat it, one. A class without
-    any doc_id keeps one row of its smallest text.
+    A class without any doc_id keeps a row of its smallest text (by hash). Of several texts under
+    the doc_id that stays, the one with the smallest hash stays, and of rows that repeat it, one: that
+    whose other columns have the smallest hash.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    node = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = classes(docs, similarity).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("class_id").alias("_class"))
-    stays = found.filter("_id = _class").select("_id", "_key")
-    nameless = found.filter("_class is null").select("_id", "_key")
-    keyed = docs.select(row.alias("_row"), F.col("doc_id").alias("_doc"), node.alias("_node"))
-    chosen = stays.unionByName(nameless).dropDuplicates(["_id", "_key"])
-    met = keyed.join(chosen, (F.col("_node") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    return met.dropDuplicates(["_doc", "_node"]).select("_row.*")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))) if others else F.lit(0)
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node"), rest.alias("_rest"))
+    found = _connected(docs, similarity, BANDS, ROWS).withColumn("nameless", F.col("doc_id").isNull())
+    first = F.min(F.struct("nameless", "doc_id", "node"))
+    chosen = found.groupBy("component").agg(first.alias("f")).select("component", F.col("f.doc_id").alias("_id"), F.col("f.node").alias("_key"))
+    met = keyed.join(chosen, (F.col("_node") == F.col("_key")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    return met.groupBy("component").agg(F.min_by("_row", "_rest").alias("_row")).select("_row.*")
