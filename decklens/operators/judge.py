@@ -302,7 +302,7 @@ def restructure_band(scored: DataFrame) -> DataFrame:
     statuses = F.array("icd_status", "wps_status", "hss_status", "nts_status")
     failing = F.size(F.filter(statuses, lambda s: s == "MEJORAR"))
     alone = (failing == 1) & ((F.col("icd_status") == "MEJORAR") | (F.col("hss_status") == "MEJORAR"))
-    words = X.plain_word_count(F.col("body_text"))
+    words = F.col("body_plain_words")
     most = (
         F.when(~F.col("needs_recommendation"), F.lit(0))
         .when(alone | (words <= 75), F.lit(1))

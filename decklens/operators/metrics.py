@@ -147,6 +147,15 @@ def with_length_flags(df: DataFrame) -> DataFrame:
     })
 
 
+def with_plain_words(df: DataFrame) -> DataFrame:
+    """Plain words of title and body, and of the body alone, for rules that follow the judge: counted
+    here, where the texts are, so that only the numbers go through its join."""
+    return df.withColumns({
+        "spoken_words": X.plain_word_count(F.concat_ws(" ", "title", "body_text")),
+        "body_plain_words": X.plain_word_count(F.col("body_text")),
+    })
+
+
 def local_metrics(slides: DataFrame) -> DataFrame:
     """Everything that needs no judge."""
     return (
@@ -158,6 +167,7 @@ def local_metrics(slides: DataFrame) -> DataFrame:
         .transform(with_icd_feedback)
         .transform(with_wps)
         .transform(with_length_flags)
+        .transform(with_plain_words)
     )
 
 

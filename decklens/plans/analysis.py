@@ -21,8 +21,8 @@ class Analysis(NamedTuple):
     documents: DataFrame
 
 
-#: text columns that no result needs once slides are scored
-_TEXTS = ("title", "content", "footer", "slide_text", "body_text")
+#: texts, and counts of them for the rewriting rules, that no result needs once slides are scored
+_TEXTS = ("title", "content", "footer", "slide_text", "body_text", "spoken_words", "body_plain_words")
 
 
 def analyse_decks(

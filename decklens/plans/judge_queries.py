@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from decklens import constants as K
-from decklens.functions import text as X
 from decklens.operators import catalog as CT
 from decklens.operators import judge as J
 from decklens.operators import metrics as M
@@ -15,6 +14,7 @@ from decklens.plans import tables as T
 from decklens.plans import text_queries as TQ
 from decklens.plans.analysis import analyse_decks, store_analyses
 from decklens.plans.registry import query
+from decklens.session import staged
 from decklens.sources import analysis as AN
 
 rnd = S.rnd
@@ -239,8 +239,7 @@ def _(spark, sf):
     THEN CAST(round_even(CAST(plain_words AS DOUBLE) / 130 * 60 * CAST(1.20 AS DOUBLE), 0) AS INTEGER) ELSE 10 END AS estimated
   FROM scored""")
 def _(spark, sf):
-    words = X.plain_word_count(F.concat_ws(" ", "title", "body_text"))
-    return _scored(spark, sf).select(*_KEYS, J.estimated_seconds(F.col("slide_type"), words).alias("estimated"))
+    return _scored(spark, sf).select(*_KEYS, J.estimated_seconds(F.col("slide_type"), F.col("spoken_words")).alias("estimated"))
 
 
 @query("F11_restructure_band", f"""
@@ -311,7 +310,7 @@ def _coverage(spark, sf):
     )
     covered = J.covered_topics(J.parse_topics(responses))
     subject = docs.withColumn("subject_id", (F.col("deck_id") % 5).cast("string"))
-    official = CT.syllabus_labels(*T.course_tables(spark, sf))
+    official = staged(CT.syllabus_labels(*T.course_tables(spark, sf)))
     return J.check_coverage(covered, subject, official), official
 
 
