@@ -18,6 +18,13 @@ EXAMPLES = {
     "BSDRef": "3-clause BSD license", "AGPLRef": "Available under AGPL v3", "LGPLRef": "distributed under the LGPL 2.1 terms",
     "GPLRef": "This code is released under GPLv3", "GPLFree": "This program is free software", "OrLater": "(at your option) any later version",
     "MPLRef": "Mozilla Public License v2.0", "CCRef": "Text available under CC BY-SA 4.0",
+    "ApacheBare": "the Apache license", "ISCRef": "ISC License", "0BSDPermission": "Permission to use, copy, modify, and/or distribute this software for any purpose is hereby granted",
+    "PostgreSQLPermission": "Permission to use, copy, modify, and distribute this software and its documentation for any purpose x",
+    "BSDAdvertising": "3. All advertising materials mentioning features x", "BSDBare": "BSD license", "ZlibRef": "zlib/libpng license",
+    "ZlibPermission": "Permission is granted to anyone to use this software for any purpose", "ZlibOrigin": "1. The origin of this software must not be misrepresented",
+    "BoostPermission": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of it", "BoostRef": "Boost Software License",
+    "OfVersion": "either version 3 of the License", "EPLRef": "Eclipse Public License - v 2.0", "EUPLRef": "EUPL", "CDDLRef": "CDDL 1.0", "ArtisticRef": "The Artistic License 2.0",
+    "OFLRef": "SIL Open Font License", "WTFPLRef": "WTFPL", "CC0Ref": "CC0 1.0", "CCNamed": "Creative Commons Attribution 4.0",
     "Unlicense": "This is free and unencumbered software released into the public domain", "PublicDomain": "placed into the public\n domain",
 }
 
