@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 from decklens.llm.common import as_texts, pieces
 
 UNKNOWN = "und"
-#: Bounds of the fitted sample: texts per language, landmarks per language, languages.
+#: Bounds of the fitted sample: texts per language, landmarks per language. Every language is fitted.
 TRAIN_TEXTS = 300
 LANDMARKS = 40
-MAX_LANGUAGES = 200
 #: Symbols: 0 blank, 1 other letter, then the most frequent letters. 6 bits each, so that an n-gram
 #: is an exact number and the presence of all n-grams a table of 64 + 64**2 + 64**3 flags.
 SYMBOLS = 64
@@ -141,12 +140,11 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, per_language: int = TRAIN_TEXTS) -> Model:
     """Fit on up to ``per_language`` texts of each language, those with the lowest hash.
 
-    The counts by language bound the hash first, so that about that many rows leave the scan, and
-    every text gives its distinct n-grams' worth of symbols at most: texts above a million
-    characters are left out of the sample (never out of the prediction).
+    The counts by language bound the hash first, so that about that many rows leave the scan. Languages
+    with fewer texts give all of them; texts of any length are in the sample, whole.
     """
-    rows = training_rows(docs).select("lang", "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")).filter(F.length("text") <= 1_000_000)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    rows = training_rows(docs).select("lang", "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
+    counts = rows.groupBy("lang").count().collect()  # one row per language
     if not counts:
         return fit([], [])
     bound = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(int((1 << 30) * min(1.0, (1.5 * per_language + 30) / r["count"]))))])
