@@ -98,7 +98,6 @@ def test_token_files(docs, edge, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_files.TOKENIZER)
-    t.encode_special_tokens = True
     for rows in (docs, edge):
         order = sorted(rows.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
         got = token_files.stored(rows, crc=True).orderBy("start").collect()
