@@ -9,8 +9,9 @@ loses it. So a line that recurs in some documents recurs in any larger set of th
 Lines that may differ in k places are found by keys of the places kept: with few choices of k later
 places, by one key for each choice, where equal keys are the proof; else by k + 1 blocks of the
 later places, of which two such lines share one, and their tokens are compared. Keys are aggregated
-over distinct lines, so neither a frequent line nor a crowded leaf meets in one task; all lines of a
-block that nothing earlier has matched yet are compared with all earlier ones of the block.
+over distinct lines, so neither a frequent line nor a crowded leaf meets in one task; lines of a
+block that nothing earlier has matched yet are compared with the earlier ones inside tasks, which return a
+row per line at most.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ DEPTH = 4
 SIMILARITY = 0.8
 #: A line has a key for each choice of differing places up to so many choices, and keys of blocks beyond.
 MAX_CHOICES = 64
+#: Lines of a block that one task compares with as many others.
+BLOCK = 1000
 _WORD = (1 << 64) - 1
 _DIGIT = re.compile(rb"[0-9]")
 
@@ -148,22 +151,64 @@ def agreeing(pairs: DataFrame, tokens: DataFrame, depth: int, similarity: float)
     return met.select("leaf", "line", "tokens", "other_tokens").mapInArrow(of, "leaf long, line long").distinct()
 
 
+def agreeing_in_blocks(members: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(leaf, line) of the open members (leaf, key, cuts, line, doc, open, tokens) of a block that agree in enough
+    places with a member of an earlier document.
+
+    Members are compared inside the tasks, and a task returns a line once at most. A block with many
+    lines is cut by the hash of the line, and each pair of cuts is a task's work.
+    """
+    own = F.pmod(F.xxhash64("line"), F.col("cuts")).cast("int")
+    dealt = (
+        members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        .select("leaf", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "line", "doc", "open", "tokens")
+    )
+
+    def of(block: pa.Table) -> pa.Table:
+        lines, own = block.column("line").to_numpy(), block.column("own").to_numpy()
+        asks = block.column("open").to_numpy(zero_copy_only=False)
+        docs = [(d["none"], d["id"], d["key"]) for d in block.column("doc").to_pylist()]
+        rank, places = np.zeros(len(docs), np.int64), sorted(range(len(docs)), key=docs.__getitem__)
+        for n, (x, y) in enumerate(zip(places[1:], places), 1):
+            rank[x] = rank[y] if docs[x] == docs[y] else n
+        raw = block.column("tokens").to_pylist()
+        # All lines of a leaf have the same number of tokens.
+        size = len(raw[0])
+        alike = np.array([len(x) == size for x in raw])
+        tokens = np.frombuffer(b"".join(x if len(x) == size else bytes(size) for x in raw), np.uint64).reshape(len(raw), -1)
+        most = differing(size // 8 + depth, similarity)
+        across = block.column("i")[0].as_py() != block.column("j")[0].as_py()
+        hits = []
+        for x in np.flatnonzero(asks & alike):
+            others = np.flatnonzero((rank < rank[x]) & alike & ((own != own[x]) if across else True))
+            if ((tokens[others] != tokens[x]).sum(1) <= most).any():
+                hits.append(x)
+        take = pa.array(hits, pa.int64())
+        return block.select(["leaf", "line"]).take(take)
+
+    return dealt.groupBy("leaf", "key", "i", "j").applyInArrow(of, "leaf long, line long").distinct()
+
+
 def settled_lines(rows: DataFrame, wanted: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(leaf, line) of the distinct lines that share a template with a line of a document before their first."""
     keyed = staged(line_keys(rows, wanted, depth, similarity).dropDuplicates(["leaf", "line"]))
     who = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     spread = keyed.select("leaf", "line", "exact", who.alias("doc"), F.explode("keys").alias("key"))
     first = spread.groupBy("leaf", "key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = staged(spread.join(first.filter("n > 1").drop("n"), ["leaf", "key"]).filter("first.doc < doc"))
+    later = staged(spread.join(first.filter("n > 1"), ["leaf", "key"]).filter("first.doc < doc"))
     proved = later.filter("exact").select("leaf", "line").distinct()
     # Without proof: first with the first line of each block, then, where that differs, with all earlier ones.
     tokens = keyed.filter("not exact").select("leaf", "line", "tokens")
     pairs = later.filter("not exact").select("leaf", "line", F.col("first.line").alias("other")).distinct()
     alike = staged(agreeing(pairs, tokens, depth, similarity))
-    open_ = later.filter("not exact").join(alike, ["leaf", "line"], "left_anti")
-    earlier = spread.filter("not exact").select("leaf", "key", F.col("line").alias("other"), F.col("doc").alias("other_doc"))
-    rest = open_.join(earlier, ["leaf", "key"]).filter("other_doc < doc and other <> first.line").select("leaf", "line", "other").distinct()
-    return proved.unionAll(alike).unionAll(agreeing(rest, tokens, depth, similarity)).distinct()
+    open_ = staged(later.filter("not exact").join(alike, ["leaf", "line"], "left_anti").select("leaf", "key", "line", "n"))
+    cuts = open_.groupBy("leaf", "key").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("cuts"))
+    members = (
+        spread.filter("not exact").join(cuts, ["leaf", "key"])
+        .join(open_.select("leaf", "key", "line", F.lit(True).alias("open")), ["leaf", "key", "line"], "left")
+        .withColumn("open", F.coalesce("open", F.lit(False))).join(tokens, ["leaf", "line"])
+    )
+    return proved.unionAll(alike).unionAll(agreeing_in_blocks(members, depth, similarity)).distinct()
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -186,7 +231,8 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similarity: float = SIMIL
     known = lines.join(settled.withColumn("settled", F.lit(True)), ["leaf", "line"], "left")
     recurring = known.filter("settled or first.doc <> last").select(
         "leaf", "line", F.coalesce("settled", F.lit(False)).alias("settled"), F.col("first.doc").alias("kept_doc"))
-    lost = codes.join(recurring, ["leaf", "line"]).filter(F.col("settled") | (who != F.col("kept_doc")))
+    # Where these are few enough, codes of a very frequent line stay where they are.
+    lost = codes.join(measured(recurring, F.octet_length(F.to_json("kept_doc")) + 32), ["leaf", "line"]).filter(F.col("settled") | (who != F.col("kept_doc")))
     return lost.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 

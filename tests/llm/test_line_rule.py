@@ -54,3 +54,31 @@ def test_more_documents_never_unsettle_a_line(left):
     texts = [f"the job of user u{a} ended on host {b}h with code x" for a, b in zip("abcdabcdbadc", "efghfehgefgh")]
     some, more = left(texts[:4]), left(texts)
     assert some == [[texts[0]], [], [], []] and more == [[texts[0]], *[[]] * 11]
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_unlike_lines_that_share_a_block(left, monkeypatch, block):
+    """Long lines with the same boilerplate, else unlike: all stay but those that a copy with few changes repeats."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    shared = [f"boiler{c}" for c in "abcdefghij"]
+    texts = [" ".join(["same", "four", "first", "words", *shared, *(f"own{'xyz'[rng.integers(3)]}{chr(97 + i // 26)}{chr(97 + i % 26)}q{chr(97 + k)}" for k in range(16))]) for i in range(60)]
+    for i in (5, 17):
+        words = texts[i].split()
+        for p in (7, 20, 25):
+            words[p] = "changed"
+        texts.append(" ".join(words))
+    got = left(texts)
+    assert got == brute(texts) and sum(map(len, got)) == 60
+
+
+def test_blocks_return_a_row_per_line_at_most(spark):
+    n, size = 800, 26
+    rng = np.random.default_rng(0)
+    rows = [(1, 1, 1, i, (False, i, i), True, rng.integers(0, 2**62, size).astype(np.uint64).tobytes()) for i in range(n)]
+    rows += [(1, 1, 1, n + i, (False, n + i, 0), True, rows[i][6]) for i in range(100)]
+    members = spark.createDataFrame(rows, "leaf long, key long, cuts int, line long, doc struct<none:boolean,id:long,key:long>, open boolean, tokens binary")
+    got = line_dedup.agreeing_in_blocks(members, 4, 0.8).collect()
+    assert sorted(r.line for r in got) == list(range(n, n + 100))
+    cut = line_dedup.agreeing_in_blocks(members.withColumn("cuts", members.cuts * 4), 4, 0.8).collect()
+    assert sorted(r.line for r in cut) == list(range(n, n + 100))
