@@ -139,25 +139,52 @@ def _lloyd() -> str:
   FROM last JOIN points USING (x) JOIN centroids_{clustering.ROUNDS} c ON c.no = cluster"""
 
 
+
+def _fair_queue() -> str:
+    """Running totals by source in the order of the hash, cut at the targets, then the rounds of filling."""
+    w = ", ".join(map(str, mixing.WEIGHTS))
+    fills = ", ".join(f"""
+  gap_{r} AS (SELECT source, target, target - sum(size * copies) AS gap FROM taken_{r} GROUP BY source, target),
+  best_{r} AS (SELECT n FROM (SELECT t.n, row_number() OVER (PARTITION BY t.source ORDER BY size DESC, text_key DESC, doc_id DESC NULLS LAST, n DESC) AS place
+    FROM taken_{r} t JOIN gap_{r} g ON g.source IS NOT DISTINCT FROM t.source WHERE copies < {mixing.MAX_REPEATS} AND size > 0 AND size <= gap) WHERE place = 1),
+  taken_{r + 1} AS MATERIALIZED (SELECT t.* REPLACE (copies + CAST(n IN (SELECT n FROM best_{r}) AS INTEGER) AS copies) FROM taken_{r} t)""" for r in range(mixing.FILLS))
+    copies = " + ".join(f"CAST(source_size * {e} + upto <= target AS INTEGER)" for e in range(mixing.MAX_REPEATS))
+    return f"""
+  WITH rows AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(concat_ws('|', '17', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS text_key FROM documents),
+  totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
+  ranked AS (SELECT *, CAST([{w}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1] AS DOUBLE) AS weight,
+    CAST(source_size * {mixing.MAX_REPEATS} AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS budget FROM totals),
+  levels AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > cap / weight AS capped FROM ranked),
+  shares AS (SELECT *, sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS spent, sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS open FROM levels),
+  targets AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE least(cap, (budget - spent) / open * weight) END AS target FROM shares),
+  queued AS (SELECT r.*, source_size, target,
+    sum(size) OVER (PARTITION BY r.source ORDER BY text_key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto
+    FROM rows r JOIN targets t ON t.source IS NOT DISTINCT FROM r.source),
+  taken_0 AS MATERIALIZED (SELECT n, doc_id, source, size, text_key, source_size, target, {copies} AS copies FROM queued), {fills}
+  SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, source, copies FROM taken_{mixing.FILLS}"""
+
+
 #: every phrase of every text, counted and cut without a sample
 _PHRASES = f"""
   WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM (
     SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
   spoken AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
-  found AS MATERIALIZED (SELECT lang, words, len(words) AS size, array_to_string(words, ' ') AS phrase, f FROM (
+  found AS MATERIALIZED (SELECT lang, words, array_to_string(words, ' ') AS phrase, f FROM (
     SELECT lang, words, count(*) AS f FROM (
       SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS words
       FROM spoken, (SELECT unnest(range(1, {phrases.WORDS + 1})) AS k) WHERE len(w) >= k) GROUP BY lang, words HAVING count(*) >= {phrases.LEAST})),
   totals AS (SELECT lang, sum(len(w)) AS n FROM spoken GROUP BY lang),
   cuts AS (SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, n, CAST((1000::HUGEINT * c.f * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
-    FROM (SELECT *, unnest(range(1, size)) AS k FROM found WHERE size >= 2) c
-    JOIN found l ON l.lang = c.lang AND l.words = c.words[1:k] JOIN found r ON r.lang = c.lang AND r.words = c.words[k + 1:size] JOIN totals t ON t.lang = c.lang),
+    FROM (SELECT *, unnest(range(1, len(words))) AS k FROM found WHERE len(words) >= 2) c
+    JOIN found l ON l.lang = c.lang AND l.words = c.words[1:c.k] JOIN found r ON r.lang = c.lang AND r.words = c.words[c.k + 1:] JOIN totals t ON t.lang = c.lang),
   lowest AS (SELECT lang, phrase, a, n, unnest(min(struct_pack(score := score, k := k, l := l, r := r))) FROM cuts GROUP BY lang, phrase, a, n),
   inside AS (SELECT lang, array_to_string(words[i:i + s - 1], ' ') AS phrase, max(f) AS longer
-    FROM (SELECT *, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM found WHERE size >= 3)) GROUP BY ALL)
+    FROM (SELECT *, unnest(range(1, len(words) - s + 2)) AS i FROM (SELECT *, unnest(range(2, len(words))) AS s FROM found WHERE len(words) >= 3)) GROUP BY ALL)
   SELECT * FROM (
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
     FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR longer < a) WHERE rank <= {phrases.TOP}"""
 
-#: The others hold trained models, signatures, codecs or a hash order that DuckDB does not have.
-ORACLES: dict[str, str] = {"op9_pigeonhole": _PIGEONHOLE, "op11_heap_bounds": _lloyd(), "op12_sampled_phrases": _PHRASES}
+#: The others hold trained models, signatures, codecs or hashes that DuckDB does not have.
+ORACLES: dict[str, str] = {"op2_fair_queueing": _fair_queue(), "op9_pigeonhole": _PIGEONHOLE, "op11_heap_bounds": _lloyd(), "op12_sampled_phrases": _PHRASES}
