@@ -64,8 +64,9 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
     rows = numbered(docs).select(
         F.pmod(F.xxhash64(F.lit(seed), "k1", "k2", "turn"), F.lit(buckets)).alias("bucket"),
         F.xxhash64(F.lit(seed), F.lit("order"), "k1", "k2", "turn").alias("h"), "k1", "k2", "turn", "row")
-    # The hash order makes the shuffle repeatable wherever the rows came from.
-    scattered = rows.repartition("bucket").sortWithinPartitions("bucket", "h", "k1", "k2", "turn").select("bucket", "row")
+    # Buckets are dealt to partitions in turn; the hash order makes the shuffle repeatable wherever the rows came from.
+    tasks = min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scattered = rows.repartitionById(tasks, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "h", "k1", "k2", "turn").select("bucket", "row")
 
     def emptied(bucket: int, held: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         whole = pa.concat_arrays(held)
