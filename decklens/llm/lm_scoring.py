@@ -5,11 +5,13 @@ and the smoothing; background counts are scaled to the target's number of tokens
 weighs the same in both. A document's score is the mean over its tokens of target loss less
 background loss (nats): the lower, the more it reads like the target.
 
-Every word and every bigram of the corpus is modelled: the counts are a table that grows with the
-input and is never whole in one place. Documents are dealt into blocks of about BLOCK_BYTES of text.
-A block's distinct n-grams are counted first, the counts of all blocks are added up by n-gram, and
-each block gets the sums of its own n-grams back; so a frequent n-gram is one row a block. A sum of
-one occurrence is not sent back: it is what an n-gram without a sum has.
+Every word and every bigram of the corpus is modelled: the counts grow with the input and are never
+whole in one place. Documents are packed into blocks by running bytes of text. A block's distinct
+n-grams are sorted by their 64-bit codes and cut into ranges of codes; a range of a block is one row, which
+holds the codes as packed differences, and their counts. A task adds up one range of all blocks and answers
+each block with the sums in the order of its codes, so that no code travels back: the block finds
+its n-grams again in the same order. A frequent n-gram costs each block some bits. How often a word
+precedes another is its count less the texts that end with it.
 """
 
 from __future__ import annotations
@@ -19,24 +21,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest as digest
 
-from decklens.llm.common import as_texts, measured, pieces, slices, staged
+from decklens.llm.common import as_texts, measured, packed, pieces, staged, unpacked
 
-#: Text bytes of a block of documents.
-BLOCK_BYTES = 16 << 20
+#: Text bytes of a block of documents (or one longer text), and of the corpus for each range of codes.
+BLOCK_BYTES = 2 << 20
+RANGE_BYTES = 16 << 20
 #: Smoothing: additive for words, Dirichlet weight of the word model for bigrams.
 ALPHA = 0.5
 MU = 50.0
-#: Tokens that a task holds before it passes their counts on, and words whose codes it remembers.
-HELD = 4_000_000
+#: Words whose codes a task remembers.
 KNOWN = 300_000
-#: Rows of counts in one Arrow batch.
-TOGETHER = 200_000
-_BEFORE, _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_FIRST, _SECOND = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 def tokens(text: str) -> list[str]:
@@ -55,13 +57,12 @@ class Codes(dict):
 
 @dataclass(frozen=True)
 class Grams:
-    """Keys of the n-grams of some texts: of each word, of the word as a predecessor, of each bigram."""
+    """The n-grams of some texts: codes of words, and of the bigrams that end at ``at``."""
 
     text: np.ndarray  # number of the text that a token is in
     words: np.ndarray
     at: np.ndarray  # places of tokens that have a predecessor in their text
-    before: np.ndarray
-    pairs: np.ndarray
+    ends: np.ndarray  # places of tokens that end their text
 
     @classmethod
     def of(cls, texts: list[str], codes: Codes) -> Grams:
@@ -69,41 +70,144 @@ class Grams:
         get = codes.__getitem__
         words = np.fromiter((get(w) for row in rows for w in row), np.uint64, sum(map(len, rows)))
         text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        at = np.flatnonzero(text[1:] == text[:-1]) + 1
-        first = words[at - 1]
-        return cls(text, words, at, first * _BEFORE, first * _FIRST + words[at] * _SECOND)
+        new = text[1:] != text[:-1]
+        return cls(text, words, np.flatnonzero(~new) + 1, np.append(np.flatnonzero(new), len(words) - 1)[: len(words)])
 
+    @property
+    def pairs(self) -> np.ndarray:
+        return self.words[self.at - 1] * _FIRST + self.words[self.at] * _SECOND
+
+
+class Block:
+    """The n-grams of a block in the order of their codes."""
+
+    def __init__(self, column: pa.Array, codes: Codes):
+        self.pieces = list(pieces(column))
+        self.grams = [Grams.of(as_texts(p), codes) for p in self.pieces]
+        self.words, self.word_counts = self._distinct([g.words for g in self.grams])
+        self.pairs, self.pair_counts = self._distinct([g.pairs for g in self.grams])
+        ends = [np.searchsorted(self.words, g.words[g.ends]) for g in self.grams]
+        self.ends = np.bincount(np.concatenate(ends), minlength=len(self.words)) if len(self.words) else self.word_counts
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(block, word, key, n) of ``rows`` (block, text): n-grams counted within each task and block."""
+    @staticmethod
+    def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+
+
+def blocked(docs: DataFrame) -> DataFrame:
+    """(block, rows), staged: neighbouring documents of about BLOCK_BYTES of text together, as one row."""
+    most = BLOCK_BYTES
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, size, now = Codes(), [], 0, None
-
-        def passed():
-            for word in (True, False):
-                parts = [x for g in held for x in ((g.words,) if word else (g.before, g.pairs))]
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                for i in range(0, len(keys), TOGETHER):
-                    k = keys[i : i + TOGETHER].view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), now, np.int64)), pa.array(np.full(len(k), word)), pa.array(k), pa.array(n[i : i + TOGETHER])],
-                        ["block", "word", "key", "n"])
-
-        for b in slices(batches):
-            blocks = b.column("block").to_numpy()
-            starts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for i, j in zip(starts, starts[1:]):
-                if held and (blocks[i] != now or size > HELD):
-                    yield from passed()
-                    held, size = [], 0
-                now = int(blocks[i])
-                held.append(Grams.of(as_texts(b.column("text").slice(i, j - i)), codes))
-                size += len(held[-1].words)
+        held, size, block = [], 0, TaskContext.get().partitionId() << 33
+
+        def full() -> pa.RecordBatch:
+            rows = pa.concat_arrays(held)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), lists], ["block", "rows"])
+
+        for b in batches:
+            row = b.column("row")
+            lengths = pc.fill_null(pc.binary_length(row.field("text")), 0).to_numpy(zero_copy_only=False) + 64
+            start = 0
+            for i, n in enumerate(lengths.tolist()):
+                if size and size + n > most:
+                    if i > start:
+                        held.append(row.slice(start, i - start))
+                    yield full()
+                    held, size, start, block = [], 0, i, block + 1
+                size += n
+            if len(row) > start:
+                held.append(row.slice(start))
         if held:
-            yield from passed()
+            yield full()
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(rows.schema["row"].dataType))])
+    return staged(rows.mapInArrow(of, kind))
+
+
+_SENT = ["words", "word_counts", "ends", "pairs", "pair_counts"]
+_BACK = ["word_docs", "word_target", "end_docs", "end_target", "pair_docs", "pair_target"]
+
+
+def gram_ranges(blocks: DataFrame, target: bool, bits: int) -> DataFrame:
+    """(range, block, target, words, word_counts, ends, pairs, pair_counts): the n-grams of each block by
+    the first ``bits`` bits of their codes, packed."""
 
-    return rows.select("block", "text").mapInArrow(of, "block long, word boolean, key long, n long")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        starts = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
+        for b in batches:
+            for block, texts in zip(b.column("block").to_pylist(), b.column("texts")):
+                own = Block(texts.values, codes)
+                word_cuts = np.append(np.searchsorted(own.words, starts), len(own.words)).tolist()
+                pair_cuts = np.append(np.searchsorted(own.pairs, starts), len(own.pairs)).tolist()
+                out = []
+                for r in range(1 << bits):
+                    w, p = slice(word_cuts[r], word_cuts[r + 1]), slice(pair_cuts[r], pair_cuts[r + 1])
+                    if w.start == w.stop and p.start == p.stop:
+                        continue
+                    first = starts[r : r + 1]
+                    parts = (np.diff(own.words[w], prepend=first), own.word_counts[w], own.ends[w], np.diff(own.pairs[p], prepend=first), own.pair_counts[p])
+                    out.append((r, *map(packed, parts)))
+                if out:
+                    ranges, *columns = zip(*out)
+                    n = len(out)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ranges, pa.int32()), pa.array([block] * n, pa.int64()), pa.array([target] * n), *(pa.array(c, pa.binary()) for c in columns)],
+                        ["range", "block", "target", *_SENT])
+
+    texts = blocks.select("block", F.transform("rows", lambda r: r["text"]).alias("texts"))
+    return texts.mapInArrow(of, "range int, block long, target boolean, " + ", ".join(f"{c} binary" for c in _SENT))
+
+
+def range_sums(ranges: DataFrame, bits: int) -> DataFrame:
+    """Sums over all blocks, in the order of each block's codes: (block, range, word_docs, ..., pair_target).
+
+    One more row per range, of block -1, has the number of different words (size) and of tokens in the
+    documents and the target (total, wanted), and the sums of its words.
+    """
+
+    def of(table: pa.Table) -> pa.Table:
+        r = table.column("range")[0].as_py()
+        first = np.uint64(r << (64 - bits)) if bits else np.uint64(0)
+        target = table.column("target").to_numpy(zero_copy_only=False).astype(bool)
+        block = table.column("block").to_pylist()
+        back: dict[str, list] = {c: [] for c in _BACK}
+
+        def summed(keys: str, counts: list[str]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+            """Per row the places of its codes among the different ones, and the sums of each count (documents, target)."""
+            codes = [np.cumsum(unpacked(x), dtype=np.uint64) + first for x in table.column(keys).to_pylist()]
+            sizes = [len(c) for c in codes]
+            distinct, place = np.unique(np.concatenate(codes), return_inverse=True)
+            of_target = np.repeat(target, sizes)
+            sums = []
+            for c in counts:
+                n = np.concatenate([unpacked(x) for x in table.column(c).to_pylist()]).astype(float)
+                for mine in (~of_target, of_target):
+                    sums.append(np.bincount(place[mine], n[mine], len(distinct)).astype(np.int64))
+            return np.split(place, np.cumsum(sizes)[:-1]), distinct, sums
+
+        word_places, distinct, word_sums = summed("words", ["word_counts", "ends"])
+        pair_places, _, pair_sums = summed("pairs", ["pair_counts"])
+        answered = np.flatnonzero(~target)
+        for k in answered.tolist():
+            for c, sums, places in zip(_BACK, [*word_sums, *pair_sums], [word_places] * 4 + [pair_places] * 2):
+                back[c].append(packed(sums[places[k]]))
+        n = len(answered)
+        zeros = [0] * n
+        whole = [len(distinct), int(word_sums[0].sum()), int(word_sums[1].sum())]
+        columns = {"block": [*(block[k] for k in answered), -1], "range": [r] * (n + 1)}
+        own = [packed(word_sums[0]), packed(word_sums[1]), *[None] * 4]
+        kinds = {"block": pa.int64(), "range": pa.int32()}
+        arrays = {c: pa.array(v, kinds[c]) for c, v in columns.items()}
+        arrays |= {c: pa.array([*back[c], x], pa.binary()) for c, x in zip(_BACK, own)}
+        arrays |= {c: pa.array([*zeros, x], pa.int64()) for c, x in zip(("size", "total", "wanted"), whole)}
+        return pa.table(arrays)
+
+    schema = "block long, range int, " + ", ".join(f"{c} binary" for c in _BACK) + ", size long, total long, wanted long"
+    return staged(ranges.groupBy("range").applyInArrow(of, schema))
 
 
 @dataclass(frozen=True)
@@ -127,7 +231,7 @@ class Rates:
 
 @dataclass(frozen=True)
 class Model:
-    """One corpus: its rates, and its counts by n-gram."""
+    """One corpus: its rates, and its counts of words by range."""
 
     rates: Rates
     counts: DataFrame
@@ -136,41 +240,24 @@ class Model:
     @property
     def word_loss(self) -> np.ndarray:
         """Losses of all words, for a look at small corpora: they are collected."""
-        rows = self.counts.filter("word and first").select(self.column).toArrow()
-        return -np.log(self.rates.word(rows.column(0).to_numpy().astype(float)))
-
-
-def blocked(docs: DataFrame) -> DataFrame:
-    """(block, row, text), staged: neighbouring rows, as many as have about BLOCK_BYTES of text on average."""
-    rows = staged(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
-    mean = rows.agg(F.avg(F.coalesce(F.octet_length(F.col("row")["text"]), F.lit(0)))).first()[0] or 0
-    bits = int(BLOCK_BYTES / (mean + 16)).bit_length() - 1
-    return rows.select(F.shiftright("at", max(bits, 0)).alias("block"), "row", F.col("row")["text"].alias("text"))
+        rows = self.counts.filter("block = -1").select(self.column).collect()
+        return -np.log(self.rates.word(np.concatenate([unpacked(r[0]) for r in rows]).astype(float)))
 
 
 def train(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, Model, Model]:
-    """Counts of the n-grams by block, and the models of ``target`` and of all ``docs``."""
+    """Sums of the n-grams by block, and the models of ``target`` and of all ``docs``."""
     return _trained(blocked(docs), target)
 
 
-def _trained(rows: DataFrame, target: DataFrame) -> tuple[DataFrame, Model, Model]:
-    both = gram_counts(rows).unionAll(gram_counts(target.select(F.lit(-1).cast("long").alias("block"), "text")))
-    # A key has one row for each block that holds it; those of the target come first.
-    one = Window.partitionBy("key").orderBy("block")
-    whole = one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def summed(which: Column) -> Column:
-        return F.sum(F.when(which, F.col("n")).otherwise(0)).over(whole)
-
-    counts = both.select(
-        "block", "word", "key", summed(F.col("block") >= 0).alias("n_docs"), summed(F.col("block") < 0).alias("n_target"),
-        (F.row_number().over(one) == 1).alias("first"))
-    # Every word has its first row, so that the vocabulary can be counted.
-    counts = staged(counts.filter("word and first or block >= 0 and not (n_docs = 1 and n_target = 0)"))
-    got = counts.filter("word and first").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_target"), F.lit(0))).first()
+def _trained(blocks: DataFrame, target: DataFrame) -> tuple[DataFrame, Model, Model]:
+    wanted_blocks = blocked(target.select("text"))
+    size = lambda rows: rows.agg(F.sum(F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + F.coalesce(F.octet_length(r["text"]), F.lit(0))))).first()[0] or 0
+    bits = max(0, (-(-int(size(blocks) + size(wanted_blocks)) // RANGE_BYTES) - 1).bit_length())
+    sums = range_sums(gram_ranges(blocks, False, bits).unionAll(gram_ranges(wanted_blocks, True, bits)), bits)
+    got = sums.filter("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "total", "wanted")]).first()
     size, total, wanted = got
     scale = wanted / total if total else 1.0
-    return counts, Model(Rates(float(wanted), size, 1.0), counts, "n_target"), Model(Rates(total * scale, size, scale), counts, "n_docs")
+    return sums, Model(Rates(float(wanted), size, 1.0), sums, "word_target"), Model(Rates(total * scale, size, scale), sums, "word_docs")
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -181,44 +268,40 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     vocabulary's size, and scores are still defined. An empty table gives an empty result; input
     columns with these names are replaced.
     """
-    rows = blocked(docs)
-    counts, target_model, background = _trained(rows, target)
+    blocks = blocked(docs)
+    sums, target_model, background = _trained(blocks, target)
     models = ((target_model.rates, 1), (background.rates, 0))
     names = ["n_tokens", "target_loss", "background_loss", "score"]
     kept = [c for c in docs.columns if c not in names]
-    text_at = f"c{kept.index('text')}"
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
     fields += [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])]
 
     def losses(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(keys := right.column("key").to_numpy().view(np.uint64))
-        keys = keys[order]
-        sums = [right.column(c).to_numpy()[order].astype(float) for c in ("n_docs", "n_target")]
-        codes, found = Codes(), []
-
-        def of(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Counts in the documents and the target; one and none without a sum."""
-            if not len(keys):
-                return np.ones(len(wanted)), np.zeros(len(wanted))
-            distinct, back = np.unique(wanted, return_inverse=True)
-            place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-            hit = keys[place] == distinct
-            return np.where(hit, sums[0][place], 1.0)[back], np.where(hit, sums[1][place], 0.0)[back]
-
-        column = left.column(text_at).combine_chunks()
-        for piece in pieces(column):
-            g = Grams.of(as_texts(piece), codes)
-            words, before, pairs = of(g.words), of(g.before), of(g.pairs)
+        rows = pa.concat_arrays([x.values for x in left.column("rows")])
+        own = Block(rows.field("text"), Codes())
+        order = np.argsort(right.column("range").to_numpy())
+
+        def answer(column: str) -> np.ndarray:
+            parts = right.column(column).to_pylist()
+            return np.concatenate([np.zeros(0, np.uint64), *(unpacked(parts[k]) for k in order)]).astype(float)
+
+        words, ends, pairs = ([answer(f"{x}_{y}") for y in ("docs", "target")] for x in ("word", "end", "pair"))
+        found = []
+        for piece, g in zip(own.pieces, own.grams):
+            word, pair = np.searchsorted(own.words, g.words), np.searchsorted(own.pairs, g.pairs)
             n = np.bincount(g.text, minlength=len(piece))
-            found.append((n, *(np.bincount(g.text, r.losses(words[k], g.at, before[k], pairs[k]), len(piece)) / np.maximum(n, 1) for r, k in models)))
-        n, means = np.concatenate([f[0] for f in found]), [np.concatenate([f[k] for f in found]) for k in (1, 2)]
+            loss = []
+            for rates, k in models:
+                first = word[g.at - 1]
+                each = rates.losses(words[k][word], g.at, words[k][first] - ends[k][first], pairs[k][pair])
+                loss.append(np.bincount(g.text, each, len(piece)) / np.maximum(n, 1))
+            found.append((n, *loss))
+        n, *means = (np.concatenate([f[k] for f in found]) for k in range(3))
         results = [pa.array(n.astype(np.int64)), *(pa.array(x, mask=n == 0) for x in (*means, means[0] - means[1]))]
-        own = left.select([f"c{i}" for i in range(len(kept))])
-        return pa.Table.from_arrays([*own.columns, *results], [*own.column_names, *names])
+        return pa.Table.from_arrays([*(rows.field(c) for c in kept), *results], [*(f"c{i}" for i in range(len(kept))), *names])
 
-    texts = rows.select("block", *[F.col("row")[c].alias(f"c{i}") for i, c in enumerate(kept)])
-    sent = counts.filter("block >= 0 and not (n_docs = 1 and n_target = 0)").select("block", "key", "n_docs", "n_target")
-    scored = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(losses, T.StructType(fields))
+    sent = sums.filter("block >= 0").select("block", "range", *_BACK)
+    scored = blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(losses, T.StructType(fields))
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *names)
 
 
