@@ -72,14 +72,35 @@ def test_equals_counting_every_phrase(spark, sampled, sample_least):
 
 
 def test_small_limits_change_nothing(spark, monkeypatch):
-    """Full bitmaps, counts passed on at once, and words and phrases forgotten after each slice."""
+    """Full bitmaps, counts passed on at once in many ranges, and phrases forgotten after each portion."""
     rows = corpus()
-    for name, value in (("FILTER_BITS", 7), ("HELD", 1), ("KNOWN", 2), ("TOLD", 0), ("TOGETHER", 3)):
+    for name, value in (("FILTER_BITS", 7), ("HELD", 1), ("TOLD", 0), ("TOGETHER", 3), ("RANGE_BYTES", 1000)):
         monkeypatch.setattr(P, name, value)
     got = P.collocations(spark.createDataFrame(rows, SCHEMA), 6, 15, 3, 2)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, 6, 15)
 
 
+@pytest.mark.parametrize("most", [1, 7, 40, 1 << 20])
+def test_portions_and_words(most):
+    """Buffers of any size give the words, languages and ends of pieces that plain splitting gives."""
+    texts = [b"", b"Aa bb", b"x" * 50 + b" y. z\tW,,v \x0b u", b" ", "ñ \u00a0 é\x00 \x1c,".encode(), b"p q r s t. " * 9]
+    langs = ["a", "b", "a", "c", "b\0", "b"]
+    got, codes = [], {}
+    for buffer, starts, numbers in P.portions(texts, most):
+        g = P.Grams(buffer, starts, [langs[i] for i in numbers])
+        for k in range(len(g.first)):
+            word = g.phrase(k, 1)
+            got.append((g.names[g.lang[k]], word, int(g.left[k])))
+            assert codes.setdefault(word, (g.high[k], g.low[k])) == (g.high[k], g.low[k])
+    want = []
+    for text, lang in zip(texts, langs):
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text.decode())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            want += [(lang, x, len(w) - i) for i, x in enumerate(w)]
+    assert got == want and len({c[0] for c in codes.values()}) == len({c[1] for c in codes.values()}) == len(codes)
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame(EDGE, SCHEMA)
     for least in (1, 2, 100):
