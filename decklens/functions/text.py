@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from decklens import constants as K
+from decklens.functions import numeric as N
 
 WS, LET, LETF = K.WS, K.LETTERS, K.LETTERS_FOLDED
 
@@ -185,6 +186,21 @@ def narrative_terms(c: Column) -> Column:
     return _long_tokens(c, 3, K.NARRATIVE_STOP_WORDS)
 
 
+def term_counts(terms: Column) -> Column:
+    """Distinct terms of an array in order, each with its occurrences and their share: ``(term, n, tf)``."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+
+        def run(s: Column, i: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(s, k + 1), F.size(t)) - i
+            return F.struct(F.get(t, i).alias("term"), n.cast("long").alias("n"), (n / F.size(t)).alias("tf"))
+
+        return N.let(starts, lambda s: F.transform(s, lambda i, k: run(s, i, k)))
+
+    return N.let(F.sort_array(terms), runs)
+
+
 def strip_person_names(c: Column) -> Column:
     """Remove every run of three capitalised words, then strip."""
     return strip(F.regexp_replace(c, _PERSON, ""))

@@ -22,19 +22,24 @@ BLOCK = 64
 def term_frequency(slides: DataFrame) -> DataFrame:
     """``(deck_id, slide_number, term, n, tf)``: occurrences and share of each term of a slide.
 
-    Slides are spread by (deck, slide) first and exploded after that: the text travels once, in
-    compact form, and counting and totals then find their rows in place. A window holds the
-    distinct terms of one slide.
+    Slides are spread by (deck, slide) first: the text travels once, in compact form. The terms of a slide that
+    stands in one row are counted inside the row, so a task holds texts, not terms. Only rows that share their
+    number are exploded before they are counted; a window holds the distinct terms of one slide then.
     """
+    keys = ["deck_id", "slide_number"]
     text = X.joined_text(F.col("title"), F.col("content"))
-    terms = (
-        slides.select("deck_id", "slide_number", text.alias("text"))
-        .repartition("deck_id", "slide_number")
-        .select("deck_id", "slide_number", F.explode(X.narrative_terms(F.col("text"))).alias("term"))
+    rows = (
+        slides.select(*keys, text.alias("text"))
+        .repartition(*keys)
+        .withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     )
-    counted = terms.groupBy("deck_id", "slide_number", "term").agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy("deck_id", "slide_number"))
-    return counted.withColumn("tf", F.col("n") / total)
+    # (The outer form of explode: the plain form adds a filter, which would count the terms twice.)
+    found = rows.filter("rows = 1").select(*keys, F.explode_outer(X.term_counts(X.narrative_terms(F.col("text")))).alias("c"))
+    alone = found.filter(F.col("c").isNotNull()).select(*keys, "c.*")
+    terms = rows.filter("rows > 1").select(*keys, F.explode_outer(X.narrative_terms(F.col("text"))).alias("term"))
+    counted = terms.filter(F.col("term").isNotNull()).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    return alone.unionByName(counted.withColumn("tf", F.col("n") / total))
 
 
 def renumbered(slides: DataFrame, block: int = 10_000) -> DataFrame:

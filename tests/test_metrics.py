@@ -163,6 +163,16 @@ def test_term_frequency(spark):
     assert got == {(1, "red"): (2, 2 / 3), (1, "datos"): (1, 1 / 3)}
 
 
+def test_terms_are_counted_in_their_row(spark):
+    """A task held the terms of all its slides; rows that share a number are still counted together."""
+    rows = [("a", 1, "", ["uno dos uno"], 0), ("a", 1, "", ["uno tres"], 0), ("a", 2, "", ["dos dos"], 0), (None, 1, "", ["mesa"], 0), ("b", 1, "", ["de"], 0)]
+    found = SIM.term_frequency(slides(spark, rows))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "(rows#" in plan.split("Aggregate [")[1]
+    assert {(r.deck_id, r.slide_number, r.term): (r.n, r.tf) for r in found.collect()} == {
+        ("a", 1, "uno"): (3, 0.6), ("a", 1, "dos"): (1, 0.2), ("a", 1, "tres"): (1, 0.2), ("a", 2, "dos"): (2, 1.0), (None, 1, "mesa"): (1, 1.0)}
+
+
 def parsed(documents):
     return {r.deck_id: json.loads(r.result) for r in documents.collect()}
 
