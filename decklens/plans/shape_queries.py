@@ -103,10 +103,11 @@ def _(spark, sf):
             none("bigint").alias("top"), none("array<int>").alias("run_sizes"), leaves.alias("children"),
         )
 
-    grouped = F.transform(F.sequence(F.lit(1), F.size("shapes"), F.lit(4)), group)
-    nested = shapes.filter(F.size("shapes") > 0).select("deck_id", grouped.alias("gs"))
-    flat = A.flatten_shapes(nested, "gs").select("deck_id", F.posexplode("gs").alias("z", "s"))
-    return flat.select("deck_id", "z", "s.name")
+    # A filter on the shapes, or the one that the plain explode adds, would build all shapes again for each group.
+    grouped = F.when(F.size("shapes") > 0, F.transform(F.sequence(F.lit(1), F.size("shapes"), F.lit(4)), group))
+    nested = shapes.select("deck_id", grouped.alias("gs"))
+    flat = A.flatten_shapes(nested, "gs").select("deck_id", F.posexplode_outer("gs").alias("z", "s"))
+    return flat.filter(F.col("z").isNotNull()).select("deck_id", "z", "s.name")
 
 
 @query("A7_leaf_paths", f"WITH {_SHAPES} SELECT deck_id, CAST(z AS INTEGER) AS z, name FROM shapes")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decklens.functions import numeric as N
 from decklens.sources import slides as SL
 
 
@@ -256,14 +257,14 @@ _BLOCK = r"(?is)<(?:h1|p|li|footer|div|nav)\b[^>]*>[^<]*"
 def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One slide per page: headings, paragraphs, list items and footers as text shapes, ads as
     pictures, navigation bars as tables; the place on the slide follows the place in the page.
-    Headings of every second page stand in the title placeholder."""
-    pages = table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("deck_id"), F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(0)).alias("blocks")
-    )
+    Headings of every second page stand in the title placeholder.
+
+    The blocks of a page are named once: a filter on the shapes copies the whole expression, and a size taken
+    inside it would read the page again for each block."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("deck_id"), "html")
     tag = lambda b: F.lower(F.regexp_extract(b, r"^<(\w+)", 1))
 
-    def shape(b, i):
-        kind = tag(b)
+    def shape(b, i, kind, n):
         return F.struct(
             F.when(kind == "div", F.lit("PICTURE")).when(kind == "nav", F.lit("TABLE")).otherwise(F.lit("TEXT_BOX")).alias("shape_type"),
             ((kind == "h1") & (F.col("deck_id") % 2 == 0)).alias("is_title"),
@@ -271,7 +272,7 @@ def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(False).alias("has_image"),
             F.when(kind != "nav", F.concat(kind, F.lit(" "), i.cast("string"))).alias("name"),
             F.regexp_extract(b, r"(?s)>([^<]*)$", 1).alias("text"),
-            F.floor(i * 100 / F.size("blocks")).alias("top"),
+            F.floor(i * 100 / n).alias("top"),
             F.when(kind == "h1", F.array(F.lit(None).cast("int"), F.lit(32)))
             .when(kind == "p", F.array((i % 3 * 9).cast("int")))
             .otherwise(F.array().cast("array<int>")).alias("run_sizes"),
@@ -279,5 +280,8 @@ def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return pages.select(
         "deck_id", F.lit(1).alias("slide_number"), F.lit(100).cast("bigint").alias("slide_height"),
-        F.transform("blocks", shape).alias("shapes"),
+        N.let(
+            F.regexp_extract_all("html", F.lit(_BLOCK), F.lit(0)),
+            lambda blocks: F.transform(blocks, lambda b, i: N.let(tag(b), lambda kind: shape(b, i, kind, F.size(blocks)))),
+        ).alias("shapes"),
     )

@@ -158,3 +158,16 @@ def test_features(spark):
     a, b = CL.classifier_features(df).orderBy("slide_number").collect()
     assert (a.w, a.w_title, a.bullets, a.abw, a.yp, a.up, a.is_section, a.is_quote) == (8, 2, 2, 2.67, 0.33, 0.33, True, False)
     assert (b.kt_indice, b.is_quote, b.kt_cierre) == (True, True, False)
+
+
+def test_a_page_is_read_once(spark, tmp_path):
+    """A filter on the shapes held their expression, pages and all, once for each use inside it."""
+    from decklens import plans
+
+    page = "<h1>T</h1><nav>n</nav>" + "".join(f"<p>{i}</p>" for i in range(5))
+    rows = [(1, page), (2, "<p>x</p>"), (3, "none"), (4, None), (None, "<li>y</li>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    flat = plans.QUERIES["A7_flatten_groups"](spark, str(tmp_path))
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {(r.deck_id, r.z, r.name) for r in flat.collect()} == {
+        (1, 0, "h1 0"), (1, 1, None), *((1, i, f"p {i}") for i in range(2, 7)), (2, 0, "p 0"), (None, 0, "li 0")}
