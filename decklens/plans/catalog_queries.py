@@ -415,10 +415,11 @@ def _(spark, sf):
     )
     stored = _subjects(spark, sf).filter("active = 0")
     subjects, units, tops, subs = SY.load_syllabus(nested, stored)
+    # Every level grows with the input, while its estimated size does not show the ids: merged, not broadcast.
     name = subjects.select("subject_id", F.col("name").alias("subject"))
-    u = units.join(name, "subject_id")
-    t = tops.join(u.select("unit_id", "subject"), "unit_id")
-    s = subs.join(t.select("topic_id", "subject"), "topic_id")
+    u = units.join(name.hint("merge"), "subject_id")
+    t = tops.join(u.select("unit_id", "subject").hint("merge"), "unit_id")
+    s = subs.join(t.select("topic_id", "subject").hint("merge"), "topic_id")
 
     def level(df, label, number):
         return df.select("subject", F.lit(label).alias("level"), number.cast("bigint").alias("number"), "name")

@@ -161,3 +161,16 @@ def test_history_of_asked_decks(spark):
     asked = spark.createDataFrame([("b",), ("b",), ("z",)], "deck_id string")
     assert [(r.deck_id, r.version) for r in C.version_history(decks, versions, asked).collect()] == [("b", 2), ("b", 1)]
     assert C.version_history(decks, versions).count() == 3
+
+
+def test_loaded_levels_are_not_broadcast(spark, tmp_path):
+    from decklens import plans
+
+    customers = [(k, f"C{k}", 1, "BUILDING") for k in range(1, 5)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "AFRICA"), (1, "ASIA")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(1, "PERU", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    loaded = plans.QUERIES["A14_syllabus_load"](spark, str(tmp_path))
+    inner = [line for line in loaded._jdf.queryExecution().executedPlan().toString().splitlines() if "Inner" in line]
+    assert inner and all("SortMergeJoin" in line for line in inner)
+    assert {r.subject for r in loaded.collect()} == {"C1", "C2", "C3", "C4"}
