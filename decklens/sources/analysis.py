@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from decklens import schemas as S
 from decklens.operators import calibrate as CAL
 from decklens.session import scratch_folder
-from decklens.sources.version_files import SUFFIX, VersionFiles
+from decklens.sources.version_files import SUFFIX, VersionFiles, read_files
 
 
 def parse_analysis(stored: DataFrame, column: str = "result", schema: T.StructType = S.ANALYSIS) -> DataFrame:
@@ -54,13 +54,8 @@ def write_analyses(stored: DataFrame, folder: str) -> None:
 
 def read_analyses(spark, folder: str) -> DataFrame:
     """``(path, result)``: every analysis file below ``folder``, its path without the suffix."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{SUFFIX}").option("wholetext", True).text(folder)
-    root = re.sub(r"^file:/+", "/", folder).rstrip("/")
-    name = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-    return files.select(
-        F.regexp_replace(F.substring(name, F.locate(f"{root}/", name) + len(root) + 1, F.length(name)), f"{re.escape(SUFFIX)}$", "").alias("path"),
-        F.col("value").alias("result"),
-    )
+    files = read_files(spark, folder)
+    return files.select(F.regexp_replace("path", f"{re.escape(SUFFIX)}$", "").alias("path"), F.col("content").cast("string").alias("result"))
 
 
 def written_and_read(stored: DataFrame) -> DataFrame:

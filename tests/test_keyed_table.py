@@ -190,3 +190,13 @@ def test_repeated_and_failed_tasks_leave_nothing(spark, tmp_path):
     assert not list(tmp_path.glob("c"))
     with pytest.raises(ValueError):
         VF.target("../x.pptx")
+
+
+def test_files_are_read_by_few_tasks(spark, tmp_path):
+    """Every file counted as 4 MB, and the driver listed them; a text of several lines came back as several rows."""
+    rows = [(f"s {i % 3}/d{i}.pptx", f'{{"n":\n{i}}}') for i in range(300)] + [("_hidden/x.pptx", "{}"), ("empty", None)]
+    AN.write_analyses(spark.createDataFrame(rows, "path string, result string").repartition(4), str(tmp_path))
+    back = AN.read_analyses(spark, f"file://{tmp_path}")
+    assert "FileScan" not in back._jdf.queryExecution().executedPlan().toString()
+    assert {r.path: r.result for r in back.collect()} == {p.removesuffix(".pptx"): t for p, t in rows[:300]}
+    assert back.count() == 300
