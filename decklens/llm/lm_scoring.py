@@ -33,6 +33,8 @@ from decklens.llm.common import as_texts, measured, packed, pieces, staged, unpa
 #: Text bytes of a block of documents (or one longer text), and of the corpus for each range of codes.
 BLOCK_BYTES = 2 << 20
 RANGE_BYTES = 16 << 20
+#: zstd level of the rows of a block.
+ROWS_LEVEL = 6
 #: Smoothing: additive for words, Dirichlet weight of the word model for bigrams.
 ALPHA = 0.5
 MU = 50.0
@@ -94,8 +96,22 @@ class Block:
         return np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
 
 
+def sealed(rows: pa.StructArray) -> bytes:
+    """Rows as one compressed Arrow stream, read by :func:`opened`."""
+    batch = pa.RecordBatch.from_arrays([rows], ["row"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", ROWS_LEVEL))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(raw: bytes) -> pa.StructArray:
+    return pa.concat_arrays([b.column("row") for b in pa.ipc.open_stream(raw)])
+
+
 def blocked(docs: DataFrame) -> DataFrame:
-    """(block, rows), staged: neighbouring documents of about BLOCK_BYTES of text together, as one row."""
+    """(block, bytes, rows), staged: neighbouring documents of about BLOCK_BYTES of text together, as one sealed
+    value, which is stored and travels in less room than rows do in Spark's own compression."""
     most = BLOCK_BYTES
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +119,8 @@ def blocked(docs: DataFrame) -> DataFrame:
 
         def full() -> pa.RecordBatch:
             rows = pa.concat_arrays(held)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), lists], ["block", "rows"])
+            size = pc.sum(pc.binary_length(rows.field("text"))).as_py() or 0
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([sealed(rows)], pa.binary())], ["block", "bytes", "rows"])
 
         for b in batches:
             row = b.column("row")
@@ -123,8 +139,7 @@ def blocked(docs: DataFrame) -> DataFrame:
             yield full()
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(rows.schema["row"].dataType))])
-    return staged(rows.mapInArrow(of, kind))
+    return staged(rows.mapInArrow(of, "block long, bytes long, rows binary"))
 
 
 _SENT = ["words", "word_counts", "ends", "pairs", "pair_counts"]
@@ -139,8 +154,8 @@ def gram_ranges(blocks: DataFrame, target: bool, bits: int) -> DataFrame:
         codes = Codes()
         starts = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
         for b in batches:
-            for block, texts in zip(b.column("block").to_pylist(), b.column("texts")):
-                own = Block(texts.values, codes)
+            for block, rows in zip(b.column("block").to_pylist(), b.column("rows")):
+                own = Block(opened(rows.as_py()).field("text"), codes)
                 word_cuts = np.append(np.searchsorted(own.words, starts), len(own.words)).tolist()
                 pair_cuts = np.append(np.searchsorted(own.pairs, starts), len(own.pairs)).tolist()
                 out = []
@@ -158,8 +173,7 @@ def gram_ranges(blocks: DataFrame, target: bool, bits: int) -> DataFrame:
                         [pa.array(ranges, pa.int32()), pa.array([block] * n, pa.int64()), pa.array([target] * n), *(pa.array(c, pa.binary()) for c in columns)],
                         ["range", "block", "target", *_SENT])
 
-    texts = blocks.select("block", F.transform("rows", lambda r: r["text"]).alias("texts"))
-    return texts.mapInArrow(of, "range int, block long, target boolean, " + ", ".join(f"{c} binary" for c in _SENT))
+    return blocks.select("block", "rows").mapInArrow(of, "range int, block long, target boolean, " + ", ".join(f"{c} binary" for c in _SENT))
 
 
 def range_sums(ranges: DataFrame, bits: int) -> DataFrame:
@@ -251,7 +265,7 @@ def train(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, Model, Model]:
 
 def _trained(blocks: DataFrame, target: DataFrame) -> tuple[DataFrame, Model, Model]:
     wanted_blocks = blocked(target.select("text"))
-    size = lambda rows: rows.agg(F.sum(F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + F.coalesce(F.octet_length(r["text"]), F.lit(0))))).first()[0] or 0
+    size = lambda rows: rows.agg(F.sum("bytes")).first()[0] or 0
     bits = max(0, (-(-int(size(blocks) + size(wanted_blocks)) // RANGE_BYTES) - 1).bit_length())
     sums = range_sums(gram_ranges(blocks, False, bits).unionAll(gram_ranges(wanted_blocks, True, bits)), bits)
     got = sums.filter("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "total", "wanted")]).first()
@@ -277,7 +291,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     fields += [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in names[1:])]
 
     def losses(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = pa.concat_arrays([x.values for x in left.column("rows")])
+        rows = pa.concat_arrays([opened(x.as_py()) for x in left.column("rows")])
         own = Block(rows.field("text"), Codes())
         order = np.argsort(right.column("range").to_numpy())
 
@@ -301,7 +315,7 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([*(rows.field(c) for c in kept), *results], [*(f"c{i}" for i in range(len(kept))), *names])
 
     sent = sums.filter("block >= 0").select("block", "range", *_BACK)
-    scored = blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(losses, T.StructType(fields))
+    scored = blocks.select("block", "rows").groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(losses, T.StructType(fields))
     return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *names)
 
 
