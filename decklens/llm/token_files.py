@@ -26,7 +26,6 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,28 +118,38 @@ def decode_segment(payload: bytes, start: int = 0, stop: int | None = None) -> n
 class UnitEncoder:
     """Ids of whole texts from the tokenizers library, with the ids of frequent units remembered.
 
-    A unit is the text between two single spaces, each of which stands between characters that are
-    no white space. A piece of the pre-tokeniser never reaches over such a space, so units encode
-    for themselves, each with the space before it; so do a full stop or comma after a letter, and a
-    line that begins after a single line feed, with it. The memory is bounded, holds the units met first, among them all frequent ones, and only saves time.
+    The byte-level pre-tokeniser knows white space, letters, numbers and other characters. Its pieces are
+    runs of one kind, which may follow one space, and an apostrophe with letters. So a text may be cut where
+    two kinds meet, but neither after white space, which looks at what follows, nor between an apostrophe
+    and a letter: the units between cuts encode for themselves. All units of a list of texts are cut and
+    told apart in whole arrays, and each different one is encoded once. The memory is bounded, holds the
+    units met first, among them all frequent ones, and only saves time. Texts are encoded whole if the
+    tokenizer has another pre-tokeniser or a normaliser.
     """
 
     MAX_UNITS = 900_000
-    MAX_CHARS = 40
+    MAX_BYTES = 40
     #: Units handed to the library at once.
-    TOGETHER = 2048
-    _cut = regex.compile(r"(?<=\S) (?=\S)")
+    TOGETHER = 128
+    #: Characters of a part of a long text.
+    PART = 1 << 20
+    _UNSEEN, _SPACE, _LETTER, _NUMBER, _OTHER = range(5)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         #: Tokens added to the vocabulary, such as <|endoftext|>: the library finds them before it cuts pieces.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = dict(zip(".,", self._bytes([".", ","])))
-        #: Ids of " " + unit. New units whose edges are white space have None: their spaces cut nothing.
-        self.known: dict[str, bytes] = {}
+        cutter = self.tokenizer.pre_tokenizer
+        self.cuts = self.tokenizer.normalizer is None and isinstance(cutter, pre_tokenizers.ByteLevel) and cutter.use_regex and not cutter.add_prefix_space
+        self.feed = np.frombuffer(self._bytes(["\n"])[0], "<u4")[0]
+        #: Kinds of all code points, asked of the pre-tokeniser when one is met first.
+        self.kinds = np.full(0x110000, self._UNSEEN, np.uint8)
+        #: White space among them, and the end of a unit.
+        self.spaces = {""}
+        self.known: dict[bytes, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -148,66 +157,111 @@ class UnitEncoder:
             out.extend(array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[i : i + self.TOGETHER], add_special_tokens=False))
         return out
 
-    def _new(self, units: set[str]) -> dict[str, bytes | None]:
-        """Ids of units that are not known yet."""
-        known, marks, out, split = self.known, self.marks, {}, []
-        whole: set[str] = set()
-        for u in units:
-            if not u or u[0].isspace() or u[-1].isspace():
-                out[u] = None
-                continue
-            # The unit's first line ends at its mark, if a letter precedes it; later lines follow a feed.
-            if "\n" not in u:
-                if u[-1] not in marks or not u[-2:-1].isalpha():
-                    whole.add(u)
-                    continue
-                parts, mark = [u[:-1]], marks[u[-1]]
+    def _kind(self, char: str) -> int:
+        for kind, like in ((self._LETTER, "a"), (self._NUMBER, "1"), (self._OTHER, "!")):
+            if len(self.tokenizer.pre_tokenizer.pre_tokenize_str(like + char + like)) == 1:
+                return kind
+        self.spaces.add(char)
+        return self._SPACE
+
+    def _begins(self, codes: np.ndarray) -> np.ndarray:
+        """For each code point but the first, whether a unit begins there."""
+        kinds = self.kinds[codes]
+        unseen = codes[kinds == self._UNSEEN]
+        if len(unseen):
+            for c in np.unique(unseen).tolist():
+                self.kinds[c] = self._kind(chr(c))
+            kinds = self.kinds[codes]
+        before, after = kinds[:-1], kinds[1:]
+        return (before != after) & (before != self._SPACE) & ((codes[:-1] != ord("'")) | (after != self._LETTER))
+
+    def _parts(self, text: str) -> list[str]:
+        """A text in parts of about PART characters, each of whole units."""
+        parts, start, size = [], 0, self.PART
+        while len(text) - start > size:
+            places = np.flatnonzero(self._begins(_codes(text[start : start + size])))
+            if len(places):
+                stop = start + int(places[-1]) + 1
+                parts.append(text[start:stop])
+                start, size = stop, self.PART
             else:
-                first, *lines = u.split("\n")
-                if not all([x and not x[0].isspace() and not x[-1].isspace() for x in (first, *lines)]):
-                    whole.add(u)
-                    continue
-                mark = marks.get(first[-1], b"") if first[-2:-1].isalpha() else b""
-                parts = [first[:-1] if mark else first, *["\n" + x for x in lines]]
-            whole.update([p for p in parts if p not in known])
-            split.append((u, parts, mark))
-        fresh = list(whole)
-        ids = dict(zip(fresh, self._bytes([u if u[0] == "\n" else " " + u for u in fresh])))
-        for u, parts, mark in split:
-            head, *rest = [ids.get(p) or known[p] for p in parts]
-            out[u] = b"".join([head, mark, *rest])
-        out.update(ids)
-        return out
+                size *= 2
+        return [*parts, text[start:]]
+
+    def _new(self, units: list[str]) -> list[bytes]:
+        """Ids of units that are not known, many in one text: between line feeds, each of which is a piece.
+
+        A feed would take white space into its piece, other than one space before the unit's first character.
+        """
+        spaces = self.spaces
+        alone = [(u[1:2] if u[0] == " " else u[0]) in spaces for u in units]
+        rest = [u for u, a in zip(units, alone) if not a]
+        found: list[bytes] = []
+        for k in range(0, len(rest), self.TOGETHER):
+            some = rest[k : k + self.TOGETHER]
+            raw = self._bytes(["\n".join(some)])[0]
+            feeds = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.feed)).tolist()
+            found.extend([raw[a:b] for _, a, b in zip(some, [0, *[f + 4 for f in feeds]], [*feeds, len(raw)], strict=True)])
+        if len(rest) == len(units):
+            return found
+        of_rest, of_alone = iter(found), iter(self._bytes([u for u, a in zip(units, alone) if a]))
+        return [next(of_alone if a else of_rest) for a in alone]
+
+    def _ids(self, units: list[bytes]) -> list[bytes]:
+        """Ids of different units."""
+        found = list(map(self.known.get, units))
+        gaps = [k for k, v in enumerate(found) if v is None]
+        if not gaps:
+            return found
+        fresh = [units[k] for k in gaps]
+        new = self._new([u.decode() for u in fresh])
+        for k, ids in zip(gaps, new):
+            found[k] = ids
+        room = self.MAX_UNITS - len(self.known)
+        if room > 0:
+            self.known.update([(u, ids) for u, ids in zip(fresh[:room], new) if len(u) <= self.MAX_BYTES])
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; texts that hold an added token are encoded whole."""
-        holds = [any([a in t for a in self.added]) for t in texts]
-        if not any(holds):
-            return self._by_units(texts)
+        holds = [not self.cuts or any([a in t for a in self.added]) for t in texts]
         whole = iter(self._bytes([t for t, h in zip(texts, holds) if h]))
-        others = iter(self._by_units([t for t, h in zip(texts, holds) if not h]))
+        others = self._by_units([t for t, h in zip(texts, holds) if not h])
         return [next(whole if h else others) for h in holds]
 
-    def _by_units(self, texts: list[str]) -> list[bytes]:
-        rows = [t.split(" ") for t in texts]
-        heads = [r.pop(0) for r in rows]
-        # Units that begin with a line feed are known for its sake; in a text they are no units.
-        get = self.known.get
-        ids = [list(map(get, row)) for row in rows]
-        missing = [[k for k, v in enumerate(row) if v is None] for row in ids]
-        new = self._new({row[k] for row, gaps in zip(rows, missing) for k in gaps})
-        out = []
-        for text, head, row, found, gaps in zip(texts, self._bytes(heads), rows, ids, missing):
-            for k in gaps:
-                found[k] = new[row[k]]
-            if None in found or " \n" in text or (row and text[: text.index(" ")][-1:].strip() == ""):
-                first, *rest = self._cut.split(text)
-                out.append(b"".join(self._bytes([first, *[" " + u for u in rest]])))
-            else:
-                out.append(head + b"".join(found))
-        if len(self.known) < self.MAX_UNITS:
-            self.known.update((u, v) for u, v in new.items() if v is not None and len(u) <= self.MAX_CHARS and "\n" not in u[1:])
-        return out
+    def _by_units(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; long texts are taken part by part, others together."""
+        together: list[str] = []
+        for t in texts:
+            if len(t) <= self.PART:
+                together.append(t)
+                continue
+            yield from self._encode(together)
+            together = []
+            yield b"".join([ids for part in self._parts(t) for ids in self._encode([part])])
+        yield from self._encode(together)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        joined = "".join(texts)
+        if not joined:
+            return [b""] * len(texts)
+        codes, edges = _codes(joined), np.cumsum([0, *map(len, texts)])
+        begins = np.concatenate([[True], self._begins(codes), [True]])
+        begins[edges] = True
+        places = np.flatnonzero(begins)
+        # Bytes of UTF-8 before each place: one for each character, and those that some have more.
+        more = (codes > 0x7F).view(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF)
+        offsets = places + np.concatenate([[0], np.cumsum(more)])[places]
+        units = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())])
+        coded = units.dictionary_encode()
+        ids = pa.array(self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        _, starts, data = ids.buffers()
+        stops = np.frombuffer(starts, np.int64)[np.searchsorted(places, edges)].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(stops, stops[1:])]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
 
 
 @lru_cache(maxsize=1)
@@ -242,7 +296,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
                 "shard": shard, "segment": number, "n_values": len(values), "doc_ids": ids,
                 "lengths": [len(h) // 4 for h in held], "payload": encode_segment(values)}], schema=schema)
 
-        for b in slices(batches, size=1 << 20):
+        for b in slices(batches, size=4 << 20):
             for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder(as_texts(b.column("text")))):
                 ids.append(doc_id)
                 held.append(data + end)
