@@ -251,7 +251,8 @@ class UnitEncoder:
         places = np.flatnonzero(begins)
         # Bytes of UTF-8 before each place: one for each character, and those that some have more.
         more = (codes > 0x7F).view(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF)
-        offsets = places + np.concatenate([[0], np.cumsum(more)])[places]
+        offsets = places.astype(np.int64)
+        offsets[1:] += np.cumsum(more, dtype=np.int32)[places[1:] - 1]
         units = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())])
         coded = units.dictionary_encode()
         ids = pa.array(self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
@@ -296,7 +297,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
                 "shard": shard, "segment": number, "n_values": len(values), "doc_ids": ids,
                 "lengths": [len(h) // 4 for h in held], "payload": encode_segment(values)}], schema=schema)
 
-        for b in slices(batches, size=4 << 20):
+        for b in slices(batches, size=2 << 20):
             for doc_id, data in zip(b.column("doc_id").to_pylist(), encoder(as_texts(b.column("text")))):
                 ids.append(doc_id)
                 held.append(data + end)
