@@ -35,7 +35,7 @@ from decklens.llm.components import components
 COSINE = 0.98
 BLOCKS = 8
 #: Bytes of codes that a cell of a block is meant to hold; labels beyond it are cut.
-CELL = 1 << 24
+CELL = 1 << 26
 #: Vectors that are seen for each cell of such a label. They place the cuts, and change no result.
 SEEN = 256
 #: Vectors of small labels, or of small sets of candidates, that one call works on.

@@ -7,7 +7,7 @@ from contextlib import contextmanager, suppress
 import numpy as np
 import pytest
 
-from decklens.llm import embedding_dedup
+from decklens.llm import common, embedding_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -90,7 +90,8 @@ def test_links_when_cells_and_sets_are_cut(spark, monkeypatch):
     expected = brute(rows)
     assert sum(n for n, _ in expected.values()) > 5000
     assert linked(spark, rows) == expected
-    # Cells of 64 vectors and parts of 128; small labels and sets in packs of 50.
+    # Cells of 64 vectors and parts of 128; small labels and sets in packs of 50; no measured side is broadcast.
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     for name, value in (("CELL", 1 << 12), ("SEEN", 16), ("PART", 1 << 13), ("PACK", 50)):
         monkeypatch.setattr(embedding_dedup, name, value)
     assert linked(spark, rows) == expected
